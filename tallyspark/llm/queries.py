@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import chat, decontaminate, mixing, quality, sharding, toxicity
 
 QUERIES = {
+    "op2_chat": chat.query,
     "op5_mixing": mixing.query,
     "op7_sharding": sharding.query,
+    "op8_decontamination": decontaminate.query,
+    "op9_toxicity": toxicity.query,
+    "op10_quality": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": decontaminate.SQL,
+}
