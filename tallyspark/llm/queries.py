@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, sharding, toxicity
+from . import chat, decontaminate, mixing, neardup, quality, sharding, toxicity
 
 QUERIES = {
     "op2_chat": chat.query,
+    "op4_jaccard_join": neardup.query,
     "op5_mixing": mixing.query,
     "op7_sharding": sharding.query,
     "op8_decontamination": decontaminate.query,
