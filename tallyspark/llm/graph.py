@@ -34,3 +34,16 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
         raise RuntimeError(f"components did not settle in {STEPS} steps")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def to_blocks(members: DataFrame, n_members: int, block: int) -> DataFrame:
+    """Deal members(cluster, q, chunk, id, ...) into blocks (alone, g, a, b) that hold two chunks at most.
+
+    A cluster of one chunk goes to a bin with other such clusters. A cluster of q chunks has a block for each
+    two of its chunks, so that every pair of its members meets in exactly one block.
+    """
+    bins = -(-n_members // block) or 1
+    alone = F.col("q") == 1
+    other = F.explode(F.sequence(F.lit(0), F.col("q").cast("int") - 1)).alias("__other")
+    place = [alone.alias("alone"), F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("g"), F.least("chunk", "__other").alias("a"), F.greatest("chunk", "__other").alias("b")]
+    return members.select("*", other).select(*members.columns, *place)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._work import Workspace, small, table
-from .graph import connected_components
+from .graph import connected_components, to_blocks
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
 #: P(no common band) at similarity 0.8: (1 - 0.8**7)**40 < 1e-4.
@@ -198,13 +198,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spread = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).alias("q"))
     members = work.save(members.join(spread, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("q")).cast("int")), "members")
     n_members = members.count()
-    bins = -(-n_members // BLOCK_DOCS) or 1
     with_text = texts.join(small(members, n_members, BROADCAST_ROWS // 10), "id")
     sets = with_text.select("id", "size", "component", "q", "chunk", "brief", "text").mapInPandas(cut_sets, "id long, size long, component long, q long, chunk int, brief binary, shingles binary")
-    # a cluster of one chunk goes to a bin with others; one of more chunks has a block for each two of its chunks
-    alone = F.col("q") == 1
-    other = F.explode(F.sequence(F.lit(0), F.col("q").cast("int") - 1)).alias("other")
-    blocks = sets.select("*", other).select("id", "size", "chunk", "brief", "shingles", F.col("component").alias("cluster"), alone.alias("alone"), F.when(alone, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("component")).alias("g"), F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    blocks = to_blocks(sets.withColumnRenamed("component", "cluster"), n_members, BLOCK_DOCS)
     compared = work.save(blocks.groupBy("alone", "g", "a", "b").applyInPandas(compare_block, "id long, links long, root long"), "compared")
     found = connected_components(compared.select(F.col("id").alias("src"), F.col("root").alias("dst")), work, "links")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))

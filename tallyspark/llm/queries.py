@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, neardup, quality, sharding, toxicity
+from . import chat, decontaminate, embeddings, mixing, neardup, ngram, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_lm_scoring": ngram.query,
     "op2_chat": chat.query,
+    "op3_embedding_dedup": embeddings.query,
     "op4_jaccard_join": neardup.query,
     "op5_mixing": mixing.query,
     "op7_sharding": sharding.query,
