@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, mixing, neardup, ngram, quality, sharding, toxicity
+from . import chat, decontaminate, embeddings, lines, mixing, neardup, ngram, quality, sharding, toxicity
 
 QUERIES = {
     "op1_lm_scoring": ngram.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_embedding_dedup": embeddings.query,
     "op4_jaccard_join": neardup.query,
     "op5_mixing": mixing.query,
+    "op6_line_dedup": lines.query,
     "op7_sharding": sharding.query,
     "op8_decontamination": decontaminate.query,
     "op9_toxicity": toxicity.query,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": lines.SQL,
     "op8_decontamination": decontaminate.SQL,
 }
