@@ -29,7 +29,8 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.text(f"{root.rstrip('/')}/devices", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{jsonl,txt}")
     path = F.col("_metadata.file_path")
     folder = F.regexp_replace(F.regexp_extract(path, r"(devices/[^/]+/.*)$", 1), r"/part-[^/]*$", "")
-    place = F.when(F.startswith(folder, F.lit("devices/place=")), F.url_decode(F.substring(folder, 15, 10_000))).otherwise(folder)
+    # the folder's name is encoded by the partitioned write, and once more in the path
+    place = F.when(F.startswith(folder, F.lit("devices/place=")), F.url_decode(F.url_decode(F.substring(folder, 15, 10_000)))).otherwise(folder)
     return rows.select(path.alias("file"), place.alias("place"), F.col("value").alias("text"))
 
 
