@@ -41,6 +41,15 @@ def fingerprints(words: Column, short: list[int], k: int, window: int) -> Column
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.concat(winnow(h, k, window), *[F.array_distinct(grams(h, n)) for n in short]))
 
 
+# Spark counts the parameters of a function, defaults too; so these bind n outside.
+def whole(n: int):
+    return lambda h: grams(h, n)
+
+
+def of_length(n: int):
+    return lambda p: p["n"] == n
+
+
 def windows_at(words: Column, starts: Column, n: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(n).alias("n"), F.array_join(F.slice(words, s + 1, F.lit(n)), " ").alias("window")))
 
@@ -65,7 +74,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
     prints = long_items.select(F.explode(let(hashed(F.col("words")), lambda h: winnow(h, k, window))).alias("fp"), F.lit(window).alias("n"))
     for n in short:
-        prints = prints.unionByName(short_items.where(F.size("words") == n).select(F.explode(let(hashed(F.col("words")), lambda h, n=n: grams(h, n))).alias("fp"), F.lit(n).alias("n")))
+        prints = prints.unionByName(short_items.where(F.size("words") == n).select(F.explode(let(hashed(F.col("words")), whole(n))).alias("fp"), F.lit(n).alias("n")))
     prints = work.save(prints.distinct(), "prints")
     n_prints = prints.count()
     look_up = small(prints.select("fp", F.lit(1).alias("hit")).distinct(), n_prints, BROADCAST_ROWS)
@@ -87,7 +96,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     hits = hits.withColumnsRenamed({"id": "cid", "text_hash": "chash"})
     last = F.size("words") - window
     around = F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda p: p["n"] == window), lambda p: F.sequence(F.greatest(p["pos"] - (window - k), F.lit(0)), F.least(p["pos"], last)))))
-    exact = [windows_at(F.col("words"), F.transform(F.filter("hits", lambda p, n=n: p["n"] == n), lambda p: p["pos"]), n) for n in short]
+    exact = [windows_at(F.col("words"), F.transform(F.filter("hits", of_length(n)), lambda p: p["pos"]), n) for n in short]
     spans = found.join(hits, same).select("id", "text_hash", F.explode(F.concat(windows_at(F.col("words"), around, window), *exact)).alias("w")).select("id", "text_hash", "w.*")
     n_windows = windows.count()
     spans = work.save(spans.join(small(windows.select("window").distinct(), n_windows, BROADCAST_ROWS), "window", "left_semi"), "spans")

@@ -6,10 +6,10 @@ number), has Jaccard similarity of at least the threshold with it; lines without
 Lines of equal sets form a class, and its first line stands for it. Words are ordered by rarity, taken from a
 count sketch of fixed size, ties by hash. Two classes are compared if the prefixes of their ordered words
 share one, and length, position and a parity bitmap of the words leave the threshold in reach; what stays is
-verified on the words. The shorter line of a pair needs a shorter prefix than the longer one.
+verified on the words. The position filter leaves the shorter line of a pair a shorter prefix than the longer one.
 
 A template with thousands of variants would make pairs of all of them. So a first pass compares each class
-with the first line of its group under two minima of word hashes; those it removes ("settled") need no further
+with the first line of its group under extremes of word hashes; those it removes ("settled") need no further
 partner, and the join then leaves out pairs of two settled classes.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import Workspace, small, table
+from ._work import SPACES, Workspace, small, table
 
 THRESHOLD = 0.8
 #: Buckets of the count sketch, which comes to the driver and goes into plans: so many bytes, whatever the input.
@@ -36,7 +36,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def rarity_sketch(docs: DataFrame, text_col: str) -> bytearray:
     """For each bucket of word hashes a byte that grows with the logarithm of its number of words."""
-    words = docs.select(F.explode(F.expr(WORDS.replace("line", f"`{text_col}`"))).alias("w"))
+    words = docs.select(F.explode(F.split(F.lower(F.col(f"`{text_col}`")), r"[\x20\x09-\x0D]+")).alias("w"))
     rows = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << SKETCH_LOG2) - 1)).alias("b")).agg(F.count("*").alias("c")).select("b", F.floor(F.log2("c") * 3).cast("int").alias("code")).collect()
     out = bytearray(1 << SKETCH_LOG2)
     for b, code in rows:
@@ -45,20 +45,24 @@ def rarity_sketch(docs: DataFrame, text_col: str) -> bytearray:
 
 
 def encode_lines(lines: DataFrame, sketch: bytearray, threshold: float) -> DataFrame:
-    """Lines with words: place, class key (k, bits, n), prefix (ints, rarest first) and two minima of hashes."""
-    mask = (1 << SKETCH_LOG2) - 1
-    hashed = lines.select(F.struct("id", "th", "line_no").alias("place"), F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("h"), F.lit(sketch).alias("s"))
-    code = f"ascii(cast(substring(s, cast(x & {mask} as int) + 1, 1) as string))"
-    tokens = hashed.where("size(h) > 0").select("place", F.expr(f"sort_array(transform(h, x -> shiftleft(cast({code} as bigint), 56) | shiftrightunsigned(x, 8)))").alias("t"))
-    tokens = tokens.select("place", "t", F.size("t").alias("n"), F.expr("transform(t, x -> x & 72057594037927935)").alias("r"))
+    """Lines with words: id, th, line_no, class key (k, bits, n), prefix (ints, rarest first) and two group keys."""
+    mask, flip = (1 << SKETCH_LOG2) - 1, 6364136223846793005
+    worded = lines.where(F.btrim("line", F.lit(SPACES)) != "")  # a test on the words would cut every line twice
+    hashed = worded.select("id", "th", "line_no", F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("h"))
+    # the sketch stays inside the expression: as a column it would be copied into every row
+    code = lambda x: F.ascii(F.substring(F.lit(sketch), x.bitwiseAND(F.lit(mask)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    ranked = F.sort_array(F.transform("h", lambda x: F.shiftleft(code(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    tokens = hashed.select("id", "th", "line_no", "h", ranked.alias("t"), F.size("h").alias("n"), F.transform("h", lambda x: x.bitwiseXOR(F.lit(flip))).alias("g"))
     return tokens.select(
-        "place",
-        F.xxhash64("r").alias("k"),
-        F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftright(x, 40) & 63 as int)))").alias("bits"),
+        "id",
+        "th",
+        "line_no",
+        F.xxhash64("t").alias("k"),
+        F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))").alias("bits"),
         "n",
         F.expr(f"transform(slice(t, 1, n - cast(ceil({threshold} * n - 1e-9) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
-        F.array_min("r").alias("low"),
-        F.array_max("r").alias("high"),
+        F.xxhash64(F.array_min("h"), F.array_max("h")).alias("group1"),
+        F.xxhash64(F.array_min("g"), F.array_max("g"), F.lit(1)).alias("group2"),
     )
 
 
@@ -69,60 +73,70 @@ def fits(a: str, b: str, threshold: float) -> Column:
     return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= apart)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, work: Workspace, name: str, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Pairs of places (a, b) whose lines reach the threshold, by their words."""
-    pairs = work.save(pairs, f"{name}-pairs")
-    places = work.save(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), f"{name}-places")
-    n = places.count()
-    wanted = places.groupBy("place.id", "place.th").agg(F.collect_set("place.line_no").alias("wanted")).withColumnsRenamed({"id": "wid", "th": "wth"})
-    th = F.xxhash64(F.col(text_col))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), th.alias("th")).join(small(wanted, n, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
-    found = found.select("id", "th", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.array_contains("wanted", F.col("line_no")))
-    words = work.save(found.select(F.struct("id", "th", "line_no").alias("place"), F.expr(f"array_distinct({WORDS})").alias("words")).dropDuplicates(["place"]), f"{name}-words")
-    left, right = words.select(F.col("place").alias("a"), F.col("words").alias("x")), words.select(F.col("place").alias("b"), F.col("words").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(common >= threshold / (1 + threshold) * (F.size("x") + F.size("y")) - 1e-9).select("a", "b")
-
-
-def line_classes(lines: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(classes of several lines with their first place, one row for every class)."""
-    repeated = work.save(lines.groupBy(*CLASS).agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
-    known = small(repeated, repeated.count(), BROADCAST_ROWS)
-    joined = lines.join(known, CLASS, "left")
+def place() -> Column:
+    return F.struct("id", "th", "line_no")
+
+
+def first_places(lines: DataFrame, work: Workspace) -> DataFrame:
+    """CLASS and first (place) of the classes that have several lines; only those lines are sorted by place."""
+    several = work.save(lines.groupBy(*CLASS).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "several")
+    again = lines.select("id", "th", "line_no", *CLASS).join(small(several, several.count(), BROADCAST_ROWS), CLASS)
+    return work.save(again.groupBy(*CLASS).agg(F.min(place()).alias("first")), "repeated")
+
+
+def representatives(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row of lines for every class, that of its first place."""
+    joined = lines.join(repeated, CLASS, "left")
     once = joined.where("first is null").drop("first")
-    first = joined.where("first = place").drop("first").dropDuplicates(CLASS)  # rows that repeat id and text
-    return repeated, once.unionByName(first.select(*once.columns))
+    first = joined.where(F.col("first") == place()).drop("first").dropDuplicates(CLASS)  # rows that repeat id and text
+    return once.unionByName(first.select(*once.columns))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, work: Workspace, name: str, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Of pairs (a, b) of classes those that reach the threshold by their words, as CLASS of the later one."""
+    pairs = work.save(pairs, f"{name}-pairs")
+    classes = work.save(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().select("c.*"), f"{name}-classes")
+    n = classes.count()
+    places = work.save(reps.select("id", "th", "line_no", *CLASS).join(small(classes, n, BROADCAST_ROWS), CLASS, "left_semi"), f"{name}-places")
+    wanted = places.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("line_no", *CLASS)).alias("wanted"))
+    same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th")).join(small(wanted, n, BROADCAST_ROWS), same)
+    line = found.select("id", "th", F.explode("wanted").alias("x"), F.split("text", "\n").alias("lines")).select(F.struct("id", "th", "x.line_no").alias("place"), F.struct("x.k", "x.bits", "x.n").alias("c"), F.get("lines", F.col("x.line_no")).alias("line"))
+    words = work.save(line.select("place", "c", F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("words")), f"{name}-words")
+    left, right = (words.select(F.col("c").alias(side), F.struct("place", "words").alias(f"w{side}")) for side in ("a", "b"))
+    x, y = F.col("wa.words"), F.col("wb.words")
+    met = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect(x, y)) >= threshold / (1 + threshold) * (F.size(x) + F.size(y)) - 1e-9)
+    return met.select(F.when(F.col("wa.place") < F.col("wb.place"), F.col("b")).otherwise(F.col("a")).alias("later")).distinct().select("later.*")
 
 
 def removed_classes(docs: DataFrame, reps: DataFrame, work: Workspace, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Places of the first lines of all classes that match an earlier class."""
-    same = [docs, work]
+    """CLASS of all classes that match an earlier one."""
+    check = lambda pairs, name: work.save(verified(pairs, docs, reps, work, name, threshold, id_col, text_col), f"{name}-later")
+    own = F.struct(*CLASS)
     # classes against the first line of their group
-    own = F.struct("place", "bits", "n").alias("own")
-    keys = reps.select(F.explode(F.array("low", "high")).alias("key"), own)
-    pivots = keys.groupBy("key").agg(F.min("own").alias("p"), F.count("*").alias("c")).where("c > 1").select("key", "p")
-    near = keys.join(pivots, "key").where((F.col("own.place") != F.col("p.place")) & fits("own", "p", threshold)).select(F.col("p.place").alias("a"), F.col("own.place").alias("b")).distinct()
-    settled = work.save(verified(near, *same, "first", threshold, id_col, text_col).select(F.col("b").alias("place")).distinct(), "settled")
-
-    # prefixes against prefixes
+    keys = reps.select(F.explode(F.array("group1", "group2")).alias("key"), *CLASS, place().alias("place"))
+    several = work.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "groups")
+    keys = keys.join(small(several, several.count(), BROADCAST_ROWS), "key")
+    pivots = keys.groupBy("key").agg(F.min(F.struct("place", *CLASS)).alias("p")).select("key", "p.*").drop("place")
+    near = keys.drop("place").alias("m").join(pivots.alias("p"), "key").where((F.col("m.k") != F.col("p.k")) & fits("m", "p", threshold))
+    settled = check(near.select(F.struct("p.k", "p.bits", "p.n").alias("a"), F.struct("m.k", "m.bits", "m.n").alias("b")).distinct(), "first")
+
+    # prefixes against prefixes; both sides of a join are one exchange
     n_settled = settled.count()
-    marked = reps.join(small(settled, n_settled, BROADCAST_ROWS).withColumn("settled", F.lit(True)), "place", "left")
-    entries = marked.select("place", "bits", "n", "settled", F.posexplode("prefix").alias("pos", "word"))
-    a_few = 2 * threshold / (1 + threshold)
-    short_prefix = F.col("s.pos") <= F.col("s.n") - F.ceil(a_few * F.col("s.n") - 1e-9)
+    marked = work.save(reps.select(*CLASS, "prefix").join(small(settled, n_settled, BROADCAST_ROWS).withColumn("settled", F.lit(True)), CLASS, "left"), "marked")
+    entries = marked.select(*CLASS, "settled", F.posexplode("prefix").alias("pos", "word"))
     reach = F.least(F.col("s.n") - F.col("s.pos"), F.col("l.n") - F.col("l.pos")) >= threshold / (1 + threshold) * (F.col("s.n") + F.col("l.n")) - 1e-9
-    ordered = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.place") < F.col("l.place")))
+    ordered = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.k") < F.col("l.k")))
     met = None
     for s, l in ((False, False), (False, True), (True, False)):  # never both settled
         if (s or l) and not n_settled:
             continue
         state = lambda x: F.col("settled").isNotNull() if x else F.col("settled").isNull()
-        shorter, longer = (entries.where(state(x)).select("word", "place", "bits", "n", "pos") for x in (s, l))
-        on = (F.col("s.word") == F.col("l.word")) & ordered & reach & fits("s", "l", threshold)
-        pairs = shorter.alias("s").where(short_prefix).join(longer.alias("l"), on).select(F.least("s.place", "l.place").alias("a"), F.greatest("s.place", "l.place").alias("b"))
+        shorter, longer = (entries.where(state(x)).select("word", *CLASS, "pos") for x in (s, l))
+        pairs = shorter.alias("s").join(longer.alias("l"), (F.col("s.word") == F.col("l.word")) & ordered & reach & fits("s", "l", threshold))
+        pairs = pairs.select(F.struct("s.k", "s.bits", "s.n").alias("a"), F.struct("l.k", "l.bits", "l.n").alias("b"))
         met = pairs if met is None else met.unionByName(pairs)
-    found = verified(met.distinct(), *same, "join", threshold, id_col, text_col)
-    return settled.unionByName(found.select(F.col("b").alias("place"))).distinct()
+    return settled.unionByName(check(met.distinct(), "join")).distinct()
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,14 +145,13 @@ def repeated_lines(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str
     an empty result."""
     work = Workspace(docs.sparkSession)
     lines = work.save(encode_lines(lines_of(docs, id_col, text_col), rarity_sketch(docs, text_col), threshold), "lines")
-    repeated, reps = line_classes(lines, work)
-    removed = work.save(removed_classes(docs, reps, work, threshold, id_col, text_col), "removed")
+    repeated = first_places(lines, work)
+    repeated = small(repeated, repeated.count(), BROADCAST_ROWS)
+    removed = work.save(removed_classes(docs, representatives(lines, repeated), work, threshold, id_col, text_col), "removed")
     # all lines of a removed class go, of the others all but the first
-    n_removed = removed.count()
-    known = small(repeated, repeated.count(), BROADCAST_ROWS)
-    occurring = lines.select("place", *CLASS).join(known, CLASS, "left").withColumn("first", F.coalesce("first", "place"))
-    gone = occurring.join(small(removed.select(F.col("place").alias("first"), F.lit(True).alias("gone")), n_removed, BROADCAST_ROWS), "first", "left").where("gone or first <> place")
-    return gone.groupBy("place.id", "place.th").agg(F.array_sort(F.collect_set("place.line_no")).alias("removed"))
+    marked = lines.select("id", "th", "line_no", *CLASS).join(repeated, CLASS, "left").join(small(removed, removed.count(), BROADCAST_ROWS).withColumn("gone", F.lit(True)), CLASS, "left")
+    gone = marked.where(F.col("gone") | (F.col("first") != place()))
+    return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
