@@ -43,7 +43,10 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         bits = max((top // max(n, 1)).bit_length() - 1, 0)
-        low = to_words(((values[:, None] >> np.arange(bits, dtype=np.uint64)) & U(1)).astype(np.uint8).reshape(-1))
+        each = np.empty((n, bits), dtype=np.uint8)  # bit by bit, so that no array of n * bits words is made
+        for b in range(bits):
+            each[:, b] = (values >> U(b)) & U(1)
+        low = to_words(each.reshape(-1))
         place = (values >> U(bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros((int(place[-1]) if n else 0) + 2, dtype=np.uint8)
         unary[place] = 1

@@ -12,11 +12,11 @@ of single words too. One task for each shard adds up and writes the shard's trie
   gain, rest smoothed probabilities and back-off weights, as bytes into tables of 256 values
 
 Scoring maps the files into memory and, for each batch of texts, looks up distinct words and distinct pairs
-only: a successor is searched relative to its context's range. All whole texts count; nothing is pruned but
-pairs seen once.
+only: a successor is searched relative to its context's range. All whole texts and all pairs count, those seen
+once as well; nothing is pruned.
 
 Probabilities: absolute discounting, p(w) = (c - d) / N, what the discount frees goes to unknown words;
-p(w | v) = gain(v, w) + rest(v) * p(w), where gain is the discounted share of a kept pair, else 0.
+p(w | v) = gain(v, w) + rest(v) * p(w), where gain is the discounted share of a pair that was seen, else 0.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from ._work import Workspace, table
 from .eliasfano import EliasFano, from_buffer, quantise, to_bytes
 from .quality import id_hash
 
-LEAST_PAIRS, DISCOUNT = 2, 0.75
+DISCOUNT = 0.75
 #: Text bytes for each shard, which bounds what one task builds; tokens that a task holds before it sends.
 SHARD_BYTES, FLUSH_TOKENS = 16_000_000, 3_000_000
 SUCCESSOR_BITS = 40
@@ -121,7 +121,7 @@ def build_trie(rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], dict[str, int
     total = np.add.reduceat(counts, heads)
     rank = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(first))))
 
-    keep = (second != np.uint64(int(NONE))) & (counts >= LEAST_PAIRS)
+    keep = second != np.uint64(int(NONE))
     rank, second, counts = rank[keep], everything[second[keep].astype(np.int64)] >> np.uint64(64 - SUCCESSOR_BITS), counts[keep]
     share = (counts - DISCOUNT) / total[rank]
     rest = 1 - np.bincount(rank, share, len(own))
