@@ -24,14 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates; of rows that repeat an id, one."""
+    """The document of least (id, text hash) of each group of near-duplicates; of rows equal in id and text, one."""
     work = Workspace(spark)
     found = work.save(neardup.near_duplicates(docs), "near")
-    repeats = found.count() - found.select("id").distinct().count()
-    dropped = found.where("class_id <> id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(small(dropped, dropped.count(), BROADCAST_ROWS), "doc_id", "left_anti")
+    repeats = found.count() - found.select("id", "text_hash").distinct().count()
+    dropped = found.where("class_id <> id or class_hash <> text_hash").select("id", "text_hash").distinct()
+    same = (docs["doc_id"] == dropped["id"]) & (F.xxhash64(docs["text"]) == dropped["text_hash"])
+    kept = docs.join(small(dropped, dropped.count(), BROADCAST_ROWS), same, "left_anti")
     if repeats:
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+        least = kept.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+        kept = kept.where("doc_id is null").unionByName(least.select("row.*"))
     return kept.select(*docs.columns)
 
 

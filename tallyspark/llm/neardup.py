@@ -1,5 +1,6 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
+A document is an id with a text: rows equal in both are one document, an id with several texts is several.
 Documents are sets of five-word shingles. Those with equal sets form a class, and one document stands for it.
 MinHash bands bring representatives together: sharing one band is enough, and the bands link to the least
 document that has it, so links are as many as band entries. Linked representatives are compared in blocks of
@@ -83,17 +84,17 @@ def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lo in range(0, len(batch), 512):
             part = batch.iloc[lo : lo + 512]
-            found = [(i, s) for i, t in zip(part["id"], part["text"], strict=True) if len(s := shingles(t, cache))]
+            found = [(i, h, s) for i, h, t in zip(part["id"], part["text_hash"], part["text"], strict=True) if len(s := shingles(t, cache))]
             if not found:
                 continue
-            low = minhashes([s for _, s in found])
+            low = minhashes([s for _, _, s in found])
             keys = low.reshape(-1, BANDS, ROWS).astype(np.uint64)
             keys = (keys * weights).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             keys ^= keys >> np.uint64(31)
             keys *= np.uint64(0xBF58476D1CE4E5B9)
             keys ^= keys >> np.uint64(29)
             brief = ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-            yield pd.DataFrame({"id": [i for i, _ in found], "same": [xxhash.xxh3_128_digest(s.tobytes()) for _, s in found], "n": [len(s) for _, s in found], "bands": list(keys.astype(np.int64)), "brief": [b.tobytes() for b in brief]})
+            yield pd.DataFrame({"id": [i for i, _, _ in found], "text_hash": [h for _, h, _ in found], "same": [xxhash.xxh3_128_digest(s.tobytes()) for _, _, s in found], "n": [len(s) for _, _, s in found], "bands": list(keys.astype(np.int64)), "brief": [b.tobytes() for b in brief]})
 
 
 def least_matches(seen: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> int:
@@ -176,38 +177,46 @@ def cut_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs with an id: id, class_id, n_links.
+    """One row for each row of docs with an id: id, text_hash, class_id, class_hash, n_links.
 
-    class_id is the least id that links of similarity >= 0.8 reach; n_links counts the other documents of
-    similarity >= 0.8, copies included. Texts without words link with nothing. Rows without an id are left out,
-    rows that repeat an id stand for one document. An empty table gives an empty result.
+    (class_id, class_hash) is the least (id, text_hash) that links of similarity >= 0.8 reach; n_links counts the
+    other documents of similarity >= 0.8, copies included. Texts without words link with nothing. Rows without an
+    id are left out, rows equal in id and text stand for one document. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     work = Workspace(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sketches = work.save(texts.mapInPandas(sketch, "id long, same binary, n int, bands array<long>, brief binary"), "sketches")
-    classes = work.save(sketches.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    chosen = sketches.join(classes, (sketches["same"] == classes["same"]) & (sketches["id"] == classes["rep"])).select("id", "size", "n", "bands", "brief")
-    reps = work.save(chosen.dropDuplicates(["id"]), "reps")
-
-    keys = reps.select(F.explode("bands").alias("key"), "id")
-    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
-    near = keys.join(pivots, "key").select(F.col("id").alias("src"), F.col("pivot").alias("dst"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).where("id is not null")
+    # nodes are numbers of rows, fixed once they are written; the graph needs them to differ, not their order
+    sketched = texts.mapInPandas(sketch, "id long, text_hash long, same binary, n int, bands array<long>, brief binary")
+    sketches = work.save(sketched.withColumn("node", F.monotonically_increasing_id()), "sketches")
+    single = work.save(sketches.groupBy("same", "id", "text_hash").agg(F.min("node").alias("node"), F.count("*").alias("rows")), "single")
+    classes = work.save(single.groupBy("same").agg(F.min("node").alias("rep"), F.count("*").alias("size"), F.max("rows").alias("rows"), F.min(F.struct("id", "text_hash")).alias("least")), "classes")
+    repeats = (classes.agg(F.max("rows")).first()[0] or 0) > 1
+    reps = work.save(sketches.join(classes.select("rep", "size"), F.col("node") == F.col("rep")).select("node", "id", "text_hash", "size", "n", "bands", "brief"), "reps")
+
+    keys = reps.select(F.explode("bands").alias("key"), "node")
+    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
+    near = keys.join(pivots, "key").select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
     clusters = work.save(connected_components(near, work, "near"), "clusters")
-    members = clusters.withColumnRenamed("node", "id").join(reps.select("id", "size", "n", "brief"), "id")
+    members = clusters.join(reps.select("node", "id", "text_hash", "size", "n", "brief"), "node")
     spread = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).alias("q"))
-    members = work.save(members.join(spread, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("q")).cast("int")), "members")
+    members = work.save(members.join(spread, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int")), "members")
     n_members = members.count()
-    with_text = texts.join(small(members, n_members, BROADCAST_ROWS // 10), "id")
-    sets = with_text.select("id", "size", "component", "q", "chunk", "brief", "text").mapInPandas(cut_sets, "id long, size long, component long, q long, chunk int, brief binary, shingles binary")
+    with_text = texts.join(small(members, n_members, BROADCAST_ROWS // 10), ["id", "text_hash"])
+    if repeats:
+        with_text = with_text.dropDuplicates(["node"])
+    sets = with_text.select(F.col("node").alias("id"), "size", "component", "q", "chunk", "brief", "text").mapInPandas(cut_sets, "id long, size long, component long, q long, chunk int, brief binary, shingles binary")
     blocks = to_blocks(sets.withColumnRenamed("component", "cluster"), n_members, BLOCK_DOCS)
     compared = work.save(blocks.groupBy("alone", "g", "a", "b").applyInPandas(compare_block, "id long, links long, root long"), "compared")
-    found = connected_components(compared.select(F.col("id").alias("src"), F.col("root").alias("dst")), work, "links")
+    found = connected_components(compared.select(F.col("id").alias("src"), F.col("root").alias("dst")), work, "links").withColumnRenamed("node", "rep")
+    tops = work.save(found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("top")), "tops")
+    found = found.join(small(tops, tops.count(), BROADCAST_ROWS), "component").select("rep", "top")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
-    by_rep = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("id", "rep"), "rep", "left")
-    by_class = work.save(by_rep.select("same", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "by_class")
-    linked = sketches.select("id", "same").join(by_class, "same").groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    return texts.select("id").join(linked, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_rep = classes.join(found, "rep", "left").join(links.withColumnRenamed("id", "rep"), "rep", "left")
+    by_class = work.save(by_rep.select("same", F.coalesce("top", "least").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "by_class")
+    linked = single.select("id", "text_hash", "same").join(by_class, "same").select("id", "text_hash", "top", "n_links")
+    own = texts.select("id", "text_hash").join(linked, ["id", "text_hash"], "left")
+    return own.select("id", "text_hash", F.coalesce("top.id", "id").alias("class_id"), F.coalesce("top.text_hash", "text_hash").alias("class_hash"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
