@@ -1,27 +1,35 @@
-"""LM scoring with an Elias-Fano n-gram trie.
-
-Counting: every task cuts its texts into words, numbers them by hash and sends, for each shard of the hash
-range, its distinct word pairs with counts; each token is the first of one pair, so the pairs give the counts
-of single words too. One task for each shard adds up and writes the shard's trie to the shared folder:
-
-  words      Elias-Fano sequence of word hashes; the rank of a word is its place in all other arrays
-  counts     Elias-Fano sequence of running counts
-  pointers   Elias-Fano sequence: where the successors of a word begin
-  successors for each word the hashes of words seen after it, raised by the last value of the word before,
-             which makes the whole level one ascending Elias-Fano sequence
-  gain, rest smoothed probabilities and back-off weights, as bytes into tables of 256 values
-
-Scoring maps the files into memory and, for each batch of texts, looks up distinct words and distinct pairs
-only: a successor is searched relative to its context's range. All whole texts and all pairs count, those seen
-once as well; nothing is pruned.
-
-Probabilities: absolute discounting, p(w) = (c - d) / N, what the discount frees goes to unknown words;
-p(w | v) = gain(v, w) + rest(v) * p(w), where gain is the discounted share of a pair that was seen, else 0.
+"""LM scoring with an Elias-Fano n-gram trie of three levels.
+
+Counting: every task cuts its texts into words, numbers them by hash and sends, for each shard of pairs, its
+distinct word triples with counts, and its word counts to the words' shards; each token but an end is the first
+of one triple, so triples give the counts of pairs too. The shard of a pair comes from both its words, so the
+successors of a frequent word are spread over all shards. One task for each shard adds up and writes a file:
+
+  heads       Elias-Fano sequence of the hashes of first words
+  pointers2   Elias-Fano sequence: where the second words of a first word begin
+  successors2 for each first word the hashes of its second words, raised by the last value of the word before,
+              which makes the whole level one ascending Elias-Fano sequence
+  pointers3, successors3 the same for the third words of each pair
+  gain2, gain3, rest3 smoothed probabilities and back-off weights, as bytes into tables of 256 values
+
+Words with their counts (a running Elias-Fano sequence) and back-off weights make files of their own, from the
+sums of all shards. Scoring maps the files into memory and, for each batch of texts, looks up distinct words,
+pairs and triples only: a successor is searched relative to its context's range. All whole texts, pairs and
+triples count, those seen once as well; nothing is pruned.
+
+Probabilities, with c the counts, d the discount and n the number of distinct followers:
+  p(w)       = (c(w) - d1) / N; the d1 * V / N that this frees is shared by as many unseen words as there are
+               known ones, or by more, so that an unseen word is less likely than one seen once
+  p(w | v)   = (c(vw) - d) / c(v) + d * n(v) / c(v) * p(w)
+  p(w | u v) = (c(uvw) - d) / c(uv) + d * n(uv) / c(uv) * p(w | v)
+A first part is 0 where the sequence was never seen, and a context never seen leaves the shorter one's
+probability. The first token of a text has no context.
 """
 
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,12 +45,15 @@ from .eliasfano import EliasFano, from_buffer, quantise, to_bytes
 from .quality import id_hash
 
 DISCOUNT = 0.75
-#: Text bytes for each shard, which bounds what one task builds; tokens that a task holds before it sends.
-SHARD_BYTES, FLUSH_TOKENS = 16_000_000, 3_000_000
+#: Text bytes for each shard, which bounds what one task builds, as long as shards are not more than MOST_SHARDS.
+SHARD_BYTES, MOST_SHARDS_LOG2 = 32_000_000, 16
+#: Tokens that a task counts, or scores, at once. Three numbers below COUNT_TOKENS + 4 fit into 64 bits.
+COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 1_000_000
 SUCCESSOR_BITS = 40
 CACHE = 400_000
 NONE = np.uint32(0xFFFFFFFF)
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
+U = np.uint64
 
 
 class Words(dict):
@@ -59,83 +70,126 @@ class Words(dict):
         return out
 
 
-def pair_rows(hashes: np.ndarray, shards_log2: int) -> pd.DataFrame:
-    """The distinct pairs of a run of whole texts: a row for each shard of the first word."""
+def top_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
+
+
+def pair_shard(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    h = (first * U(0x9E3779B97F4A7C15)) ^ second
+    h *= U(0xD6E8FEB86659FD93)
+    return top_bits((h ^ (h >> U(32))) * U(0x9E3779B97F4A7C15), bits)
+
+
+def local(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers in use, ascending; where each of ids is among them)."""
+    used = np.zeros(size, dtype=bool)
+    used[ids] = True
+    return np.flatnonzero(used), (np.cumsum(used, dtype=np.int64) - 1)[ids]
+
+
+def ngram_rows(hashes: np.ndarray, n: int, bits: int) -> pd.DataFrame:
+    """Triples that begin with the first n of hashes (texts, each with its end), and counts of these words: a row
+    for each shard. Up to two hashes more tell how the last ones go on."""
     words, ids = np.unique(hashes, return_inverse=True)
-    end = np.searchsorted(words, np.uint64(END))
-    follow = np.append(ids[1:], 0)
-    pairs, counts = np.unique((ids.astype(np.uint64) << np.uint64(32)) | np.where(ids == end, int(NONE), follow).astype(np.uint64), return_counts=True)
-    first, second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    shard = (words >> np.uint64(64 - shards_log2)).astype(np.int64) if shards_log2 else np.zeros(len(words), dtype=np.int64)
-    cuts = np.searchsorted(shard[first], np.arange((1 << shards_log2) + 1))
-    rows = []
-    for s in range(1 << shards_log2):
-        lo, hi = cuts[s], cuts[s + 1]
-        if lo == hi:
-            continue
-        context, fan = np.unique(first[lo:hi], return_counts=True)
-        used = np.zeros(len(words), dtype=bool)
-        known = second[lo:hi] != NONE
-        used[second[lo:hi][known]] = True
-        place = np.cumsum(used, dtype=np.int64) - 1
-        local = np.full(hi - lo, NONE, dtype=np.uint32)
-        local[known] = place[second[lo:hi][known]]
-        rows.append((s, words[context].tobytes(), fan.astype(np.uint32).tobytes(), words[used].tobytes(), local.tobytes(), counts[lo:hi].astype(np.uint32).tobytes()))
-    return pd.DataFrame(rows, columns=["shard", "context", "fan", "words", "second", "counts"])
-
-
-def count_pairs(shards_log2: int):
+    none, end = len(words), np.searchsorted(words, U(END))
+    follow = np.append(ids[1:], none)
+    follow[ids == end] = none
+    a, b, c = ids[:n], follow[:n], np.append(follow[1:], none)[:n]
+    keep = b != none
+    step = U(none + 1)
+    key, counts = np.unique((a[keep].astype(U) * step + b[keep].astype(U)) * step + c[keep].astype(U), return_counts=True)
+    third, pair = (key % step).astype(np.int64), key // step
+    second, first = (pair % step).astype(np.int64), (pair // step).astype(np.int64)
+    shard = pair_shard(words[first], words[second], bits)
+    order = np.argsort(shard, kind="stable")  # within a shard triples stay in order
+    cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+    rows: dict[int, dict[str, bytes]] = {}
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        at = order[lo:hi]
+        x, y, z = first[at], second[at], third[at]
+        known = z != none
+        used, place = local(np.concatenate([x, y, z[known]]), none)
+        zz = np.full(hi - lo, NONE, dtype=np.uint32)
+        zz[known] = place[2 * (hi - lo) :]
+        x, y = place[: hi - lo], place[hi - lo : 2 * (hi - lo)]
+        starts = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
+        fan = np.diff(np.append(starts, hi - lo))
+        rows[int(shard[at[0]])] = {"words": words[used].tobytes(), "first": x[starts].astype(np.uint32).tobytes(), "second": y[starts].astype(np.uint32).tobytes(), "fan": fan.astype(np.uint32).tobytes(), "third": zz.tobytes(), "counts": counts[at].astype(np.uint32).tobytes()}
+    seen = np.bincount(a, minlength=none)
+    own = np.flatnonzero(seen)
+    home = top_bits(words[own], bits)  # ascending, as words are
+    cuts = np.append(np.flatnonzero(np.diff(home, prepend=-1)), len(own))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        rows.setdefault(int(home[lo]), {}).update({"own": words[own[lo:hi]].tobytes(), "own_counts": seen[own[lo:hi]].astype(np.uint32).tobytes()})
+    return pd.DataFrame([{"shard": s} | {k: r.get(k, b"") for k in ROW} for s, r in rows.items()])
+
+
+ROW = ("words", "first", "second", "fan", "third", "counts", "own", "own_counts")
+
+
+def count_ngrams(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, held, n = Words(), [], 0
         for batch in batches:
             for text in batch["text"]:
-                held.append(np.array(cache.tokens(text), dtype=np.uint64))
+                held.append(np.array(cache.tokens(text), dtype=U))
                 n += len(held[-1])
-                if n >= FLUSH_TOKENS:
-                    yield pair_rows(np.concatenate(held), shards_log2)
-                    held, n = [], 0
-        if held:
-            yield pair_rows(np.concatenate(held), shards_log2)
+                if n >= COUNT_TOKENS + 2:
+                    tokens, at = np.concatenate(held), 0
+                    while len(tokens) - at >= COUNT_TOKENS + 2:
+                        yield ngram_rows(tokens[at : at + COUNT_TOKENS + 2], COUNT_TOKENS, bits)
+                        at += COUNT_TOKENS
+                    held, n = [tokens[at:].copy()], len(tokens) - at
+        if n:
+            tokens = np.concatenate(held)
+            yield ngram_rows(tokens, len(tokens), bits)
 
     return run
 
 
-def build_trie(rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    """Arrays of one shard's trie, and its sums."""
-    as_ints = lambda column, kind: [np.frombuffer(x, dtype=kind) for x in rows[column]]
-    contexts, fans, words, seconds, counts = (as_ints(c, k) for c, k in (("context", np.uint64), ("fan", np.uint32), ("words", np.uint64), ("second", np.uint32), ("counts", np.uint32)))
-    everything = np.unique(np.concatenate([*contexts, *words]))
-    keys = []
-    for c, f, w, s in zip(contexts, fans, words, seconds, strict=True):
-        first = np.repeat(np.searchsorted(everything, c), f).astype(np.uint64) << np.uint64(32)
-        place = np.append(np.searchsorted(everything, w), 0).astype(np.uint64)
-        keys.append(first | np.where(s == NONE, np.uint64(int(NONE)), place[np.minimum(s, len(w))]))
-    keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    keys, counts = keys[starts], np.add.reduceat(counts, starts)
-    first, second = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
-    heads = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-    own = everything[first[heads]]  # ascending, as everything is
-    total = np.add.reduceat(counts, heads)
-    rank = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(first))))
-
-    keep = second != np.uint64(int(NONE))
-    rank, second, counts = rank[keep], everything[second[keep].astype(np.int64)] >> np.uint64(64 - SUCCESSOR_BITS), counts[keep]
-    share = (counts - DISCOUNT) / total[rank]
-    rest = 1 - np.bincount(rank, share, len(own))
-    fan = np.bincount(rank, minlength=len(own))
-    last = np.zeros(len(own), dtype=np.uint64)
+def raised(second: np.ndarray, fan: np.ndarray) -> EliasFano:
+    """Values that ascend within ranges of lengths fan, raised to ascend throughout; none is 0."""
     ends = np.cumsum(fan)
     some = np.flatnonzero(fan)
-    last[some] = second[ends[some] - 1] + np.uint64(1)
-    base = np.cumsum(last) - last
-    gain_code, gain_book = quantise(np.log10(share))
-    rest_code, rest_book = quantise(np.log10(rest))
-    parts = EliasFano.build(own).parts("words") | EliasFano.build(np.cumsum(total)).parts("counts") | EliasFano.build(np.append(0, ends)).parts("pointers") | EliasFano.build(base[rank] + second + np.uint64(1)).parts("successors")
-    parts |= {"gain": gain_code, "gain_book": gain_book, "rest": rest_code, "rest_book": rest_book}
-    return parts, {"words": len(own), "tokens": int(total.sum()), "once": int((total == 1).sum()), "twice": int((total == 2).sum()), "pairs": len(counts)}
+    last = np.zeros(len(fan), dtype=U)
+    last[some] = second[ends[some] - 1] + U(1)
+    return EliasFano.build(np.repeat(np.cumsum(last) - last, fan) + second + U(1))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def build_trie(rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Arrays of one shard's trie; the first words and the number of their pairs."""
+    rows = rows[rows["words"].str.len() > 0]
+    as_ints = lambda column, kind: [np.frombuffer(x, dtype=kind) for x in rows[column]]
+    words = as_ints("words", U)
+    everything = np.unique(np.concatenate([*words, np.empty(0, dtype=U)]))
+    pairs, thirds = [], []
+    for w, x, y, fan, z in zip(words, as_ints("first", np.uint32), as_ints("second", np.uint32), as_ints("fan", np.uint32), as_ints("third", np.uint32), strict=True):
+        place = np.append(np.searchsorted(everything, w), int(NONE)).astype(U)
+        pairs.append(np.repeat((place[x] << U(32)) | place[y], fan))
+        thirds.append(place[np.minimum(z, len(w))])
+    join = lambda parts: np.concatenate([*parts, np.empty(0, dtype=U)])
+    pair_keys, pair_of = np.unique(join(pairs), return_inverse=True)
+    keys, counts = summed((pair_of.astype(U) << U(32)) | join(thirds), join(as_ints("counts", np.uint32)).astype(np.int64))
+    pair_of, third = (keys >> U(32)).astype(np.int64), keys & U(0xFFFFFFFF)
+    pair_counts = np.bincount(pair_of, counts, len(pair_keys)).astype(np.int64)
+    keep = third != U(int(NONE))
+    pair_of, third, counts = pair_of[keep], everything[third[keep].astype(np.int64)] >> U(64 - SUCCESSOR_BITS), counts[keep]
+    fan3 = np.bincount(pair_of, minlength=len(pair_keys))
+    first, second = (pair_keys >> U(32)).astype(np.int64), everything[(pair_keys & U(0xFFFFFFFF)).astype(np.int64)] >> U(64 - SUCCESSOR_BITS)
+    heads, fan2 = np.unique(first, return_counts=True)
+    codes = {"gain2": np.log10(pair_counts - DISCOUNT), "gain3": np.log10((counts - DISCOUNT) / pair_counts[pair_of]), "rest3": np.log10(np.maximum(fan3, 1) * DISCOUNT / pair_counts)}
+    parts = EliasFano.build(everything[heads]).parts("heads") | EliasFano.build(np.append(0, np.cumsum(fan2))).parts("pointers2") | raised(second, fan2).parts("successors2")
+    parts |= EliasFano.build(np.append(0, np.cumsum(fan3))).parts("pointers3") | raised(third, fan3).parts("successors3")
+    for name, values in codes.items():
+        parts[name], parts[f"{name}_book"] = quantise(values)
+    return parts, everything[heads], fan2
 
 
 def shared_files(uri: str):
@@ -144,52 +198,96 @@ def shared_files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shard(root: str):
+def write_file(root: str, name: str, parts: dict[str, np.ndarray]) -> str:
+    files, folder = shared_files(root)
+    files.create_dir(folder, recursive=True)
+    name = f"{name}-{uuid.uuid4().hex}.trie"  # a task that runs twice leaves two files; the table names one
+    with files.open_output_stream(f"{folder}/{name}") as out:
+        out.write(to_bytes(parts))
+    return name
+
+
+def write_pairs(root: str):
+    """Writes a shard of pairs; gives its file, the counts of its own words and the fans of its first words."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        shard = int(rows["shard"].iloc[0])
+        parts, heads, fan = build_trie(rows)
+        name = write_file(root, f"pairs-{shard:06d}", parts)
+        own = [np.frombuffer(b"".join(rows[c]), dtype=kind) for c, kind in (("own", U), ("own_counts", np.uint32))]
+        own, counts = summed(own[0], own[1].astype(np.int64))
+        words = np.concatenate([own, heads]).view(np.int64)
+        count, fans = np.concatenate([counts, np.zeros(len(heads), dtype=np.int64)]), np.concatenate([np.zeros(len(own), dtype=np.int64), fan])
+        found = pd.DataFrame({"shard": shard, "word": words, "count": count, "fan": fans})
+        return pd.concat([pd.DataFrame({"shard": [shard], "file": [name], "word": [0], "count": [0], "fan": [0]}), found.assign(file="")])
+
+    return run
+
+
+def write_words(root: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
-        parts, sums = build_trie(rows)
-        files, folder = shared_files(root)
-        files.create_dir(folder, recursive=True)
-        name = f"{shard:06d}-{uuid.uuid4().hex}.trie"  # a task that runs twice leaves two files; the table names one
-        with files.open_output_stream(f"{folder}/{name}") as out:
-            out.write(to_bytes(parts))
-        return pd.DataFrame([{"shard": shard, "file": name} | sums])
+        words = rows["word"].to_numpy().view(U)
+        order = np.argsort(words)
+        words, count, fan = words[order], rows["count"].to_numpy()[order], rows["fan"].to_numpy()[order]
+        parts = EliasFano.build(words).parts("words") | EliasFano.build(np.cumsum(count)).parts("counts")
+        parts["rest2"], parts["rest2_book"] = quantise(np.log10(np.where(fan > 0, fan * DISCOUNT / count, 1.0)))
+        name = write_file(root, f"words-{shard:06d}", parts)
+        return pd.DataFrame([{"shard": shard, "file": name, "words": len(words), "tokens": int(count.sum()), "once": int((count == 1).sum()), "twice": int((count == 2).sum())}])
 
     return run
 
 
+def mapped(root: str, name: str) -> np.ndarray:
+    """A file of the shared folder in memory: mapped where the folder is a mounted one, else through a copy, once for
+    each worker process, that goes with the process."""
+    from pyarrow import fs
+
+    files, folder = shared_files(root)
+    if isinstance(files, fs.LocalFileSystem):
+        return np.memmap(f"{folder}/{name}", dtype=np.uint8, mode="r")
+    handle, path = tempfile.mkstemp()
+    with files.open_input_stream(f"{folder}/{name}") as read, os.fdopen(handle, "wb") as out:
+        while part := read.read(1 << 22):
+            out.write(part)
+    try:
+        return np.memmap(path, dtype=np.uint8, mode="r")
+    finally:
+        os.unlink(path)
+
+
+def unseen_words(n_words: int, discount: float) -> int:
+    return max(n_words, int(n_words * discount / (1 - discount))) + 1
+
+
 class Model:
-    """All shards, mapped into memory."""
+    """All shards, mapped into memory when they are first asked."""
 
-    def __init__(self, root: str, names: dict[int, str], shards_log2: int, sums: dict[str, int]):
-        self.shards_log2, self.sums = shards_log2, sums
-        self.shards = {s: from_buffer(self.mapped(root, name)) for s, name in names.items()}
+    def __init__(self, root: str, pairs: dict[int, str], words: dict[int, str], bits: int, sums: dict[str, int]):
+        self.root, self.pairs, self.words, self.bits, self.sums = root, pairs, words, bits, sums
         once, twice = sums["once"], sums["twice"]
         self.discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
-
-    @staticmethod
-    def mapped(root: str, name: str) -> np.ndarray:
-        from pyarrow import fs
-
-        files, folder = shared_files(root)
-        if isinstance(files, fs.LocalFileSystem):
-            return np.memmap(f"{folder}/{name}", dtype=np.uint8, mode="r")
-        handle, path = tempfile.mkstemp()
-        with files.open_input_stream(f"{folder}/{name}") as read, os.fdopen(handle, "wb") as out:
-            while part := read.read(1 << 22):
-                out.write(part)
-        try:
-            return np.memmap(path, dtype=np.uint8, mode="r")
-        finally:
-            os.unlink(path)  # the map stays until the task ends
-
-    def parts_of(self, hashes: np.ndarray) -> Iterator[tuple[dict, slice]]:
-        """Shards and the slices of ascending hashes that belong to them."""
-        shard = (hashes >> np.uint64(64 - self.shards_log2)).astype(np.int64) if self.shards_log2 else np.zeros(len(hashes), dtype=np.int64)
-        cuts = np.searchsorted(shard, np.arange((1 << self.shards_log2) + 1))
-        for s, parts in self.shards.items():
-            if cuts[s] < cuts[s + 1]:
-                yield parts, slice(int(cuts[s]), int(cuts[s + 1]))
+        # functions come to a worker by value, so what it keeps from task to task hangs on a module of its own
+        self.open = sys.__dict__.setdefault("_tallyspark_tries", {})
+        for key in [k for k in self.open if k[0] != root]:
+            del self.open[key]
+
+    def part(self, names: dict[int, str], shard: int) -> dict[str, np.ndarray] | None:
+        if shard not in names:
+            return None
+        key = (self.root, names[shard])
+        if key not in self.open:
+            self.open[key] = from_buffer(mapped(*key))
+        return self.open[key]
+
+    def shards(self, names: dict[int, str], shard: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
+        """Shards, and which of the questions go to them."""
+        order = np.argsort(shard, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part = self.part(names, int(shard[order[lo]]))
+            if part is not None:
+                yield part, order[lo:hi]
 
     def score(self, texts: list[np.ndarray]) -> pd.DataFrame:
         """n_tokens, n_known, base_score and score of texts given as word hashes, each with its end."""
@@ -198,63 +296,87 @@ class Model:
         lengths = np.array([len(t) for t in texts])
         starts = np.cumsum(lengths) - lengths
         words, ids = np.unique(tokens, return_inverse=True)
-        counts = np.zeros(len(words), dtype=np.int64)
-        rest, begin, until, base = np.zeros(len(words)), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.uint64)
-        for parts, own in self.parts_of(words):
-            rank, known = EliasFano.of(parts, "words").successor(words[own])
-            at, r = np.flatnonzero(known) + own.start, rank[known]
-            if not len(at):
-                continue
-            running, pointers = EliasFano.of(parts, "counts"), EliasFano.of(parts, "pointers")
-            upto = running.get(r).astype(np.int64)
-            before = np.where(r > 0, running.get(np.maximum(r - 1, 0)).astype(np.int64), 0)
-            counts[at] = upto - before
-            rest[at] = parts["rest_book"][parts["rest"][r]]
-            begin[at], until[at] = pointers.get(r).astype(np.int64), pointers.get(r + 1).astype(np.int64)
-            some = at[begin[at] > 0]
-            base[some] = EliasFano.of(parts, "successors").get(begin[some] - 1)
-        unknown = self.discount * n_words / n_all if n_all else 1.0
+        counts, rest2 = np.zeros(len(words), dtype=np.int64), np.zeros(len(words))
+        for part, at in self.shards(self.words, top_bits(words, self.bits)):
+            rank, known = EliasFano.of(part, "words").successor(words[at])
+            at, r = at[known], rank[known]
+            running = EliasFano.of(part, "counts")
+            counts[at] = running.get(r).astype(np.int64) - np.where(r > 0, running.get(np.maximum(r - 1, 0)).astype(np.int64), 0)
+            rest2[at] = part["rest2_book"][part["rest2"][r]]
+        unknown = self.discount * n_words / n_all / unseen_words(n_words, self.discount) if n_all else 1.0
         single = np.where(counts > 0, (counts - self.discount) / max(n_all, 1), unknown)
 
-        inner = np.ones(len(tokens), dtype=bool)
-        inner[starts] = False  # first tokens have no context
-        follow = np.flatnonzero(inner)
-        pairs, back = np.unique((ids[follow - 1].astype(np.uint64) << np.uint64(32)) | ids[follow].astype(np.uint64), return_inverse=True)
-        first, second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        gain = np.zeros(len(pairs))
-        for parts, own in self.parts_of(words):
-            lo, hi = np.searchsorted(first, [own.start, own.stop])
-            ask = np.arange(lo, hi)
-            ask = ask[begin[first[ask]] < until[first[ask]]]
-            if not len(ask):
-                continue
-            want = base[first[ask]] + (words[second[ask]] >> np.uint64(64 - SUCCESSOR_BITS)) + np.uint64(1)
-            place, equal = EliasFano.of(parts, "successors").successor(want)
-            equal &= (place >= begin[first[ask]]) & (place < until[first[ask]])
-            gain[ask[equal]] = 10 ** parts["gain_book"][parts["gain"][place[equal]]]
+        order = np.ones(len(tokens), dtype=np.int64)  # how many tokens of context each has, two at most
+        order[starts] = 0
+        order[1:] += order[1:] & order[:-1]
+        follow = np.flatnonzero(order > 0)
+        keys, pair_at = np.unique(ids[follow - 1] * len(words) + ids[follow], return_inverse=True)
+        first, second = keys // len(words), keys % len(words)
+        pair_of = np.zeros(len(tokens), dtype=np.int64)
+        pair_of[follow] = pair_at
+        deep = np.flatnonzero(order > 1)
+        keys, where, triple_at = np.unique(pair_of[deep - 1] * len(words) + ids[deep], return_index=True, return_inverse=True)
+        context, third, inner = keys // max(len(words), 1), keys % max(len(words), 1), pair_of[deep[where]]
+        gain2, rest3, gain3 = np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(third))
+        of_context = np.searchsorted(context, np.arange(len(first) + 1))
+        for part, at in self.shards(self.pairs, pair_shard(words[first], words[second], self.bits)):
+            pointers, level2, level3 = EliasFano.of(part, "pointers2"), EliasFano.of(part, "successors2"), EliasFano.of(part, "successors3")
+            rank, known = EliasFano.of(part, "heads").successor(words[first[at]])
+            at, r = at[known], rank[known]
+            place, at = self.within(level2, pointers, r, words[second[at]], at)
+            gain2[at] = 10 ** part["gain2_book"][part["gain2"][place]] / np.maximum(counts[first[at]], 1)
+            rest3[at] = part["rest3_book"][part["rest3"][place]]
+            rest3[at[words[second[at]] == U(END)]] = 0.0
+            n_asked = of_context[at + 1] - of_context[at]
+            asked = np.repeat(of_context[at], n_asked) + np.arange(n_asked.sum()) - np.repeat(np.cumsum(n_asked) - n_asked, n_asked)
+            found, asked = self.within(level3, EliasFano.of(part, "pointers3"), np.repeat(place, n_asked), words[third[asked]], asked)
+            gain3[asked] = 10 ** part["gain3_book"][part["gain3"][found]]
+        double = np.minimum(gain2 + 10 ** rest2[first] * single[second], 1.0)
+        triple = np.minimum(gain3 + 10 ** rest3[context] * double[inner], 1.0)
         value = np.log10(single)[ids]
-        value[follow] = np.log10(np.minimum(gain + 10 ** rest[first] * single[second], 1.0))[back]
+        value[follow] = np.log10(double)[pair_at]
+        value[deep] = np.log10(triple)[triple_at]
         plain = np.log10((counts + 1) / (n_all + n_words + 1))[ids]
         return pd.DataFrame({"n_tokens": lengths, "n_known": np.add.reduceat((counts > 0).astype(np.int64)[ids], starts), "base_score": np.add.reduceat(plain, starts), "score": np.add.reduceat(value, starts)})
 
-
-def train(texts: DataFrame, work: Workspace) -> tuple[str, dict[int, str], int, dict[str, int]]:
-    """Build the model of texts(text) in the shared folder: (root, files by shard, log2 of the shards, sums)."""
+    @staticmethod
+    def within(level: EliasFano, pointers: EliasFano, rank: np.ndarray, want: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Search words among the successors of contexts (by rank): (places, at) of those that are there."""
+        if not len(rank):
+            return rank, at
+        begin, until = pointers.get(rank).astype(np.int64), pointers.get(rank + 1).astype(np.int64)
+        some = np.flatnonzero(begin < until)
+        begin, until, want, at = begin[some], until[some], want[some], at[some]
+        if not len(some):
+            return begin, at
+        base = np.where(begin > 0, level.get(np.maximum(begin - 1, 0)), U(0))
+        place, equal = level.successor(base + (want >> U(64 - SUCCESSOR_BITS)) + U(1))
+        equal &= (place >= begin) & (place < until)
+        return place[equal], at[equal]
+
+
+def train(texts: DataFrame, work: Workspace) -> tuple[str, dict[int, str], dict[int, str], int, dict[str, int]]:
+    """Build the model of texts(text) in the shared folder: (root, files of pairs and of words by shard, log2 of the
+    number of shards, sums)."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards_log2 = max(-(-size // SHARD_BYTES) - 1, 0).bit_length()
-    pairs = texts.select("text").mapInPandas(count_pairs(shards_log2), "shard int, context binary, fan binary, words binary, second binary, counts binary")
+    bits = min(max(-(-size // SHARD_BYTES) - 1, 0).bit_length(), MOST_SHARDS_LOG2)
+    rows = texts.select("text").mapInPandas(count_ngrams(bits), "shard int, " + ", ".join(f"{c} binary" for c in ROW))
     root = f"{work.root}/trie"
-    built = work.save(pairs.groupBy("shard").applyInPandas(write_shard(root), "shard int, file string, words long, tokens long, once long, twice long, pairs long"), "shards")
-    rows = built.collect()  # one for each shard
-    return root, {r["shard"]: r["file"] for r in rows}, shards_log2, {k: sum(r[k] for r in rows) for k in ("words", "tokens", "once", "twice", "pairs")}
+    built = work.save(rows.groupBy("shard").applyInPandas(write_pairs(root), "shard int, file string, word long, count long, fan long"), "pairs")
+    pairs = {r["shard"]: r["file"] for r in built.where("file <> ''").select("shard", "file").collect()}  # one for each shard
+    words = built.where("file = ''").groupBy("word").agg(F.sum("count").alias("count"), F.sum("fan").alias("fan"))
+    home = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
+    rows = work.save(words.withColumn("shard", home).groupBy("shard").applyInPandas(write_words(root), "shard int, file string, words long, tokens long, once long, twice long"), "words").collect()
+    return root, pairs, {r["shard"]: r["file"] for r in rows}, bits, {k: sum(r[k] for r in rows) for k in ("words", "tokens", "once", "twice")}
 
 
-def score_texts(docs: DataFrame, model: tuple[str, dict[int, str], int, dict[str, int]], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, model: tuple, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id (as string), n_tokens, n_known, train_tokens, base_score, score.
 
-    Null and empty texts are their end alone. A model of no text knows no word.
+    Null and empty texts are their end alone, null ids stay null, repeated rows are scored each. A model of no text
+    knows no word and gives every token probability 1. Other columns are not read; an empty table gives an empty result.
     """
-    n_all = model[3]["tokens"]
+    n_all = model[4]["tokens"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, cache = Model(*model), Words()
@@ -262,19 +384,19 @@ def score_texts(docs: DataFrame, model: tuple[str, dict[int, str], int, dict[str
         def scored(ids, texts):
             return pd.concat([pd.DataFrame({"id": ids}), trie.score(texts)], axis=1).assign(train_tokens=n_all)
 
+        ids, texts, n = [], [], 0
         for batch in batches:
-            ids, texts, n = [], [], 0
             for i, text in zip(batch["id"], batch["text"], strict=True):
-                texts.append(np.array(cache.tokens(text), dtype=np.uint64))
+                texts.append(np.array(cache.tokens(text), dtype=U))
                 ids.append(i)
                 n += len(texts[-1])
-                if n >= FLUSH_TOKENS // 3:
+                if n >= SCORE_TOKENS:
                     yield scored(ids, texts)
                     ids, texts, n = [], [], 0
-            if ids:
-                yield scored(ids, texts)
+        if ids:
+            yield scored(ids, texts)
 
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInPandas(run, "id string, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
