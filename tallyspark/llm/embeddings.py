@@ -1,16 +1,19 @@
 """Embedding near-dedup by iterative quantisation.
 
 A rotation of the principal axes, learnt on a bounded sample, makes the signs of the coordinates balanced codes
-that keep angles. Codes are looked up in multi-index Hamming tables: two codes that differ in few bits agree, up
-to one bit, in one of their substrings. What the tables bring together is reranked with the original vectors.
+that keep angles. Codes are looked up in multi-index Hamming tables: each code is cut into substrings, and codes
+that differ in fewer bits than there are substrings agree in one of them. Substrings grow with the logarithm of
+the number of vectors, so buckets don't grow, and so many codes are learnt that a pair at the threshold is missed
+by all tables with a probability of MISS. What the tables bring together is reranked with the original vectors.
 
 Links are counted without listing them. Vectors that agree in long substrings are first gathered around the
-least of them (each such star link is verified by cosine); the tables are then probed for each bucket by one
-vector of each gathered group. Groups that may touch are compared in full, in blocks of bounded size.
+least of them (each such star link is verified by cosine); in the tables each gathered group has one vector in a
+bucket. Groups that may touch are compared in full, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +21,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import Workspace, table
+from ._work import Workspace, small, table
 from .graph import connected_components, to_blocks
 
 THRESHOLD = 0.9
-#: The rotations are learnt on at most so many vectors; every vector is indexed.
+#: The rotations of each length are learnt on at most so many of its vectors; every vector is indexed.
 SAMPLE_ROWS, ROUNDS = 20_000, 40
-CODES, BITS, TABLE_BITS = 2, 64, 16
-#: Substrings that gather groups: so many of so many bits, for each code.
-STARS, STAR_BITS = 6, 28
+BITS, MISS = 64, 0.04
+#: Substrings that gather groups: so many of so many bits, for each of the first codes.
+STARS, STAR_BITS, STAR_CODES = 6, 28, 2
 #: Codes further apart than this are not reranked: at cosine 0.9, 9 of 64 bits differ on average.
 RADIUS = 18
 #: Groups are compared in full if a pair of theirs from one bucket comes this near.
@@ -34,6 +37,14 @@ TOUCH = 0.8
 BLOCK = 1024
 
 
+def table_plan(n_vectors: int) -> tuple[int, int, int]:
+    """(bits of a substring, number of tables, number of codes) for so many vectors."""
+    width = min(max(math.ceil(math.log2(max(n_vectors, 2))), 8), BITS // 2)
+    agree = (1 - math.acos(THRESHOLD) / math.pi) ** width  # P(a substring is equal) at the threshold
+    tables = math.ceil(math.log(MISS) / math.log(1 - agree))
+    return width, tables, max(math.ceil(tables / (BITS // width)), STAR_CODES)
+
+
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection) of iterative quantisation; few rows or dimensions give fewer bits."""
     mean = x.mean(0) if len(x) else np.zeros(x.shape[1])
@@ -48,9 +59,21 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS, bits: int = B
     return mean, axes @ r
 
 
+def learn_codes(x: np.ndarray, codes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A projection to BITS coordinates for each code; short vectors take several rotations for one."""
+    out, seed = [], 0
+    for _ in range(codes):
+        parts = []
+        while sum(p.shape[1] for p in parts) < BITS:
+            mean, projection = learn_rotation(x, seed)
+            parts.append(projection)
+            seed += 1
+        out.append((mean, np.concatenate(parts, axis=1)[:, :BITS]))
+    return out
+
+
 def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    signs = ((x - mean) @ projection >= 0).astype(np.uint8)
-    packed = np.packbits(np.pad(signs, ((0, 0), (0, BITS - signs.shape[1]))), axis=1)
+    packed = np.packbits(((x - mean) @ projection >= 0).astype(np.uint8), axis=1)
     return packed.view(">u8").astype(np.uint64).view(np.int64).reshape(-1)
 
 
@@ -60,7 +83,13 @@ def unit_vectors(vectors: pd.Series) -> np.ndarray:
 
 
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series((unit_vectors(a) * unit_vectors(b)).sum(1)) if len(a) else pd.Series([], dtype="float64")
+    """The two vectors of a row are of one length, those of different rows need not be."""
+    out = np.empty(len(a))
+    lengths = a.map(len).to_numpy(dtype=np.int64)
+    for n in np.unique(lengths):
+        at = lengths == n
+        out[at] = (unit_vectors(a[at]) * unit_vectors(b[at])).sum(1)
+    return pd.Series(out)
 
 
 def compare_block(block: pd.DataFrame) -> pd.DataFrame:
@@ -94,67 +123,83 @@ def substring(code: Column, at: int, bits: int) -> Column:
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row for each row of vectors: id, n_links, component_id, kept.
 
-    Vectors that are null, zero or hold null or non-finite components link with nothing, and so do those whose
-    length is not the most frequent one, and rows without an id. Rows that repeat an id are one vector each;
-    they link like others.
+    Vectors that are null, zero or hold null or non-finite components link with nothing, and so do rows without an
+    id. Vectors of each length are an index of their own. Rows that repeat an id are one vector each; they link
+    like others, and kept holds for all rows of the least id of a component. Equal vectors link with each other.
+    Other columns are not read. An empty table gives an empty result. What comes to the driver: SAMPLE_ROWS
+    vectors of one length at a time, and 512 bytes a component, length and code of the rotations.
     """
     spark = vectors.sparkSession
     work = Workspace(spark)
-    value = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    value = F.transform(F.col(f"`{vector_col}`"), lambda v: v.cast("double") + 0.0)  # no negative zero
     odd = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.col("id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~odd & F.exists("vector", lambda v: v != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), value.alias("vector"))
-    usable = rows.where(F.coalesce(good, F.lit(False)))
-    length = usable.groupBy(F.size("vector").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    dims = length["n"] if length else 1
-    usable = usable.where(F.size("vector") == dims)
-    # equal vectors are one, with a size
-    classes = work.save(usable.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("size")), "classes")
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vector").collect()]
-    x = np.array(sample, dtype=np.float64).reshape(-1, dims)
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    models = [learn_rotation(x, seed) for seed in range(CODES)]
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), value.alias("vector")).select("id", F.when(F.coalesce(good, F.lit(False)), F.col("vector")).alias("vector"))
+    # vectors are equal if two hashes of 64 bits are; nodes are numbers of rows, fixed once they are written
+    hashed = rows.select("id", "vector", *[F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(k), "vector")).alias(f"h{k}") for k in (1, 2)])
+    rows = work.save(hashed.withColumn("node", F.monotonically_increasing_id()), "rows")
+    usable = rows.where("vector is not null")
+    classes = work.save(usable.groupBy("h1", "h2").agg(F.min("node").alias("node"), F.count("*").alias("size"), F.min("id").alias("least")), "classes")
+    reps = work.save(usable.join(small(classes.select("node", "size"), classes), "node").select("node", "size", "vector", "h1", F.size("vector").alias("n")), "reps")
+    plans = {r["n"]: table_plan(r["count"]) for r in reps.groupBy("n").count().collect()}  # lengths, no vectors
+
+    def rotations(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        sample = reps.where(F.col("n") == n).orderBy("h1", "node").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks()
+        x = np.asarray(sample.flatten(), dtype=np.float64).reshape(-1, n)
+        return learn_codes(x / np.linalg.norm(x, axis=1, keepdims=True), plans[n][2])
+
+    models = {n: rotations(n) for n in plans}
 
     def add_codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                v = unit_vectors(batch["vector"])
-                yield pd.DataFrame({"id": batch["id"], "size": batch["size"]} | {f"code{k}": encode(v, *m) for k, m in enumerate(models)})
+            for n, part in batch.groupby("n"):
+                v = unit_vectors(part["vector"])
+                codes = np.stack([encode(v, *m) for m in models[n]], axis=1)
+                yield pd.DataFrame({"node": part["node"], "n": part["n"], "codes": list(codes)})
 
-    codes = work.save(classes.mapInPandas(add_codes, "id long, size long, " + ", ".join(f"code{k} long" for k in range(CODES))), "codes")
+    codes = work.save(reps.select("node", "n", "vector").mapInPandas(add_codes, "node long, n int, codes array<long>"), "codes")
     near = F.pandas_udf(cosine, "double")
-    left, right = classes.select(F.col("id").alias("src"), F.col("vector").alias("v1")), classes.select(F.col("id").alias("dst"), F.col("vector").alias("v2"))
+    left, right = reps.select(F.col("node").alias("src"), F.col("vector").alias("v1")), reps.select(F.col("node").alias("dst"), F.col("vector").alias("v2"))
     verified = lambda pairs, least: pairs.join(left, "src").join(right, "dst").where(near("v1", "v2") >= least).select("src", "dst")
 
-    # gather: equal long substrings, star links to the least id
+    # gather: equal long substrings, star links to the least node
     starts = [round(i * (BITS - STAR_BITS) / (STARS - 1)) for i in range(STARS)]
-    long_keys = codes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k * STARS + i), substring(F.col(f"code{k}"), at, STAR_BITS)) for k in range(CODES) for i, at in enumerate(starts)])).alias("key"))
-    pivots = long_keys.groupBy("key").agg(F.min("id").alias("dst"), F.count("*").alias("c")).where("c > 1").select("key", "dst")
-    stars = work.save(verified(long_keys.join(pivots, "key").where("id <> dst").select(F.col("id").alias("src"), "dst").distinct(), THRESHOLD), "stars")
+    long_keys = codes.select("node", F.explode(F.array(*[F.xxhash64("n", F.lit(k * STARS + i), substring(F.get("codes", F.lit(k)), at, STAR_BITS)) for k in range(STAR_CODES) for i, at in enumerate(starts)])).alias("key"))
+    pivots = long_keys.groupBy("key").agg(F.min("node").alias("dst"), F.count("*").alias("c")).where("c > 1").select("key", "dst")
+    lengths = codes.select(F.col("node").alias("src"), F.col("n").alias("n1")), codes.select(F.col("node").alias("dst"), F.col("n").alias("n2"))
+    met = long_keys.join(pivots, "key").where("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    if len(plans) > 1:  # hashes of keys may be equal by chance
+        met = met.join(lengths[0], "src").join(lengths[1], "dst").where("n1 = n2").select("src", "dst")
+    stars = work.save(verified(met, THRESHOLD), "stars")
     grouped = connected_components(stars, work, "gather")
-    coded = work.save(codes.join(grouped.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component"), "coded")
-
-    # multi-index tables: one vector of each group in a bucket, probes one bit around
-    tables = [(k, at) for k in range(CODES) for at in range(0, BITS, TABLE_BITS)]
-    slots = F.array(*[F.struct(F.lit(i).alias("t"), substring(F.col(f"code{k}"), at, TABLE_BITS).alias("sub"), F.col(f"code{k}").alias("code")) for i, (k, at) in enumerate(tables)])
-    homes = coded.select("id", "group", F.explode(slots).alias("s")).select("group", "s.t", "s.sub", F.struct("id", "s.code").alias("own"))
-    homes = homes.groupBy("t", "sub", "group").agg(F.min("own").alias("own"))
-    probes = homes.select("t", "group", "own", F.explode(F.array(F.col("sub"), *[F.col("sub").bitwiseXOR(F.lit(1 << b)) for b in range(TABLE_BITS)])).alias("sub"))
-    h, p = homes.alias("h"), probes.alias("p")
-    met = h.join(p, (F.col("h.t") == F.col("p.t")) & (F.col("h.sub") == F.col("p.sub")) & (F.col("h.group") < F.col("p.group")) & (F.bit_count(F.col("h.own.code").bitwiseXOR(F.col("p.own.code"))) <= RADIUS))
-    touching = work.save(verified(met.select(F.col("h.own.id").alias("src"), F.col("p.own.id").alias("dst")).distinct(), TOUCH), "touching")
-    clusters = connected_components(stars.unionByName(touching), work, "clusters")
-
-    members = clusters.withColumnsRenamed({"node": "id", "component": "cluster"}).join(classes, "id")
-    q = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("q"))
+    coded = work.save(codes.join(grouped, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "coded")
+
+    # multi-index tables: one vector of each group in a bucket
+    homes = None
+    for n, (width, tables, _) in plans.items():
+        per = BITS // width
+        slots = F.array(*[F.struct(F.lit((n << 32) + t).alias("t"), substring(F.get("codes", F.lit(t // per)), t % per * width, width).alias("sub"), F.get("codes", F.lit(t // per)).alias("code")) for t in range(tables)])
+        part = coded.where(F.col("n") == n).select("node", "group", F.explode(slots).alias("s")).select("group", "s.t", "s.sub", F.struct("node", "s.code").alias("own"))
+        homes = part if homes is None else homes.unionByName(part)
+    if homes is not None:
+        homes = homes.groupBy("t", "sub", "group").agg(F.min("own").alias("own"))
+        h, p = homes.alias("h"), homes.alias("p")
+        met = h.join(p, (F.col("h.t") == F.col("p.t")) & (F.col("h.sub") == F.col("p.sub")) & (F.col("h.group") < F.col("p.group")) & (F.bit_count(F.col("h.own.code").bitwiseXOR(F.col("p.own.code"))) <= RADIUS))
+        touching = work.save(verified(met.select(F.col("h.own.node").alias("src"), F.col("p.own.node").alias("dst")).distinct(), TOUCH), "touching")
+        stars = stars.unionByName(touching)
+    clusters = connected_components(stars, work, "clusters")
+
+    members = clusters.withColumnsRenamed({"component": "cluster"}).join(reps.select("node", "size", "vector"), "node").withColumnRenamed("node", "id")
+    q = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).alias("q"))
     members = work.save(members.join(q, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("q")).cast("int")), "members")
     compared = work.save(to_blocks(members, members.count(), BLOCK).groupBy("alone", "g", "a", "b").applyInPandas(compare_block, "id long, links long, root long"), "compared")
     found = connected_components(compared.select(F.col("id").alias("src"), F.col("root").alias("dst")), work, "links")
-    links = compared.groupBy("id").agg(F.sum("links").alias("links"))
-    by_class = classes.join(found.withColumnRenamed("node", "id"), "id", "left").join(links, "id", "left")
-    by_class = work.save(by_class.select("vector", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "by_class")
-    usual = F.when(F.coalesce(good, F.lit(False)) & (F.size("vector") == dims), F.col("vector"))
-    out = rows.withColumn("vector", usual).join(by_class, "vector", "left")
+    tops = found.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("top"))
+    links = compared.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    by_class = classes.join(found.join(tops, "component").select("node", "top"), "node", "left").join(links, "node", "left")
+    by_class = work.save(by_class.select("h1", "h2", F.coalesce("top", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "by_class")
+    work.drop("reps", "codes", "coded", "stars", "touching", "members", "compared", "classes")
+    out = rows.select("id", "h1", "h2").join(by_class, ["h1", "h2"], "left")
     return out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))
 
 

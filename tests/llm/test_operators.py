@@ -111,21 +111,47 @@ def components(pairs, nodes):
     return {n: top(n) for n in nodes}
 
 
-def test_embedding_links(spark):
-    rng = np.random.default_rng(2)
-    base = rng.normal(size=(40, 32))
-    x = np.concatenate([base, base[:20] + rng.normal(size=(20, 32)) * 0.25, np.repeat(base[:1], 30, 0), base[1] + rng.normal(size=(60, 32)) * 0.3])
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 32), (902, [float("nan")] + [1.0] * 31), (903, [None] + [1.0] * 31), (904, [1.0])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+def brute_links(x, threshold=0.9):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = unit @ unit.T >= 0.9
+    near = unit @ unit.T >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
+@pytest.mark.parametrize("dims", [12, 64])
+def test_embedding_links(spark, dims):
+    """Recall of pairs just above the threshold, planted among other vectors; none below it."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(1500, dims))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.normal(size=(300, dims))
+    side -= (side * base[:300]).sum(1, keepdims=True) * base[:300]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.901, 0.93, size=(300, 1))
+    x = np.concatenate([base, c * base[:300] + np.sqrt(1 - c**2) * side, np.repeat(base[400:401], 30, 0), base[500] + rng.normal(size=(60, dims)) * 0.3 / np.sqrt(dims)])
+    near = brute_links(x)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r["id"]: r for r in embeddings.near_vectors(frame).collect()}
-    want = {(i, j) for i in range(len(x)) for j in range(len(x)) if i != j and near[i, j]}
-    assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.9 * len(want)
-    assert all(got[i]["n_links"] <= near[i].sum() - 1 for i in range(len(x)))
+    assert len(got) == len(x) and all(got[i]["n_links"] <= near[i].sum() for i in range(len(x)))
+    planted = [i for i in range(1500, 1800)]
+    assert np.mean([got[i]["n_links"] >= 1 for i in planted]) >= 0.95
+    assert sum(got[i]["n_links"] for i in range(len(x))) >= 0.95 * near.sum()
+    want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True)}
     whole = components(want, range(len(x)))
-    assert np.mean([got[i]["component_id"] == whole[i] for i in range(len(x))]) > 0.9
-    assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(900, 905))
+    assert np.mean([got[i]["component_id"] == whole[i] for i in range(len(x))]) >= 0.95
+
+
+def test_embedding_rows_of_all_kinds(spark):
+    """Repeated ids with other vectors, lengths of their own, odd vectors, clashing columns, no rows."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3, 32))
+    near = v[1] + rng.normal(size=32) * 0.02
+    rows = [(1, v[0]), (1, v[1]), (2, near), (3, v[2]), (3, v[2]), (None, v[2]), (10, v[0][:7]), (11, 2 * v[0][:7]), (12, [1.0]), (13, [3.0]), (14, [-1.0])]
+    rows = [(i, [float(a) for a in x]) for i, x in rows] + [(900, None), (901, [0.0] * 32), (902, [float("nan")] + [1.0] * 31), (903, [None] + [1.0] * 31), (904, []), (905, [float("inf")] * 32)]
+    frame = spark.createDataFrame([(i, x, 0, 0, 0) for i, x in rows], "vec_id long, embedding array<double>, id int, node int, vector int")
+    got = sorted(((r["id"] is not None, r["id"] or 0), r["n_links"], r["component_id"]) for r in embeddings.near_vectors(frame).collect())
+    want = [(None, 0, None), (1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 1, 3), (3, 1, 3), (10, 1, 10), (11, 1, 10), (12, 1, 12), (13, 1, 12), (14, 0, 14), *[(i, 0, i) for i in range(900, 906)]]
+    assert got == [((i is not None, i or 0), n, c) for i, n, c in want]
     assert embeddings.near_vectors(frame.where("false")).isEmpty()
 
 
