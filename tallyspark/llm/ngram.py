@@ -3,7 +3,7 @@
 Counting: every task cuts its texts into words, numbers them by hash and sends, for each shard of pairs, its
 distinct word triples with counts, and its word counts to the words' shards; each token but an end is the first
 of one triple, so triples give the counts of pairs too. The shard of a pair comes from both its words, so the
-successors of a frequent word are spread over all shards. One task for each shard adds up and writes a file:
+successors of a frequent word are spread over many shards. One task for each shard adds up and writes a file:
 
   heads       Elias-Fano sequence of the hashes of first words
   pointers2   Elias-Fano sequence: where the second words of a first word begin
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +47,13 @@ from .quality import id_hash
 
 DISCOUNT = 0.75
 #: Text bytes for each shard, which bounds what one task builds, as long as shards are not more than MOST_SHARDS.
-SHARD_BYTES, MOST_SHARDS_LOG2 = 32_000_000, 16
+SHARD_BYTES, MOST_SHARDS_LOG2 = 16_000_000, 16
+#: Words are in 2 ** HOME_BITS files at most.
+HOME_BITS = 8
 #: Tokens that a task counts, or scores, at once. Three numbers below COUNT_TOKENS + 4 fit into 64 bits.
 COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 1_000_000
-SUCCESSOR_BITS = 40
+#: Bits of a word's hash: in contexts (two of a billion words may be one there), and relative to a context.
+WORD_BITS, SUCCESSOR_BITS = 60, 36
 CACHE = 400_000
 NONE = np.uint32(0xFFFFFFFF)
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
@@ -70,14 +74,34 @@ class Words(dict):
         return out
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed: most high bytes are 0."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8) if packed else np.empty(0, dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def top_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
 
 
 def pair_shard(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    h = (first * U(0x9E3779B97F4A7C15)) ^ second
-    h *= U(0xD6E8FEB86659FD93)
-    return top_bits((h ^ (h >> U(32))) * U(0x9E3779B97F4A7C15), bits)
+    """Half of the bits from the first word, so that few shards hold a rare one, the rest from the second."""
+    low = bits // 2
+    return (top_bits(first, bits - low) << low) | top_bits((second ^ (second >> U(32))) * U(0x9E3779B97F4A7C15), low)
+
+
+def pack_words(words: np.ndarray) -> bytes:
+    """Ascending hashes, as steps."""
+    return pack(np.diff(words, prepend=U(0)))
+
+
+def unpack_words(packed: bytes) -> np.ndarray:
+    return np.cumsum(unpack(packed, U), dtype=U)
 
 
 def local(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +138,13 @@ def ngram_rows(hashes: np.ndarray, n: int, bits: int) -> pd.DataFrame:
         x, y = place[: hi - lo], place[hi - lo : 2 * (hi - lo)]
         starts = np.flatnonzero((np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
         fan = np.diff(np.append(starts, hi - lo))
-        rows[int(shard[at[0]])] = {"words": words[used].tobytes(), "first": x[starts].astype(np.uint32).tobytes(), "second": y[starts].astype(np.uint32).tobytes(), "fan": fan.astype(np.uint32).tobytes(), "third": zz.tobytes(), "counts": counts[at].astype(np.uint32).tobytes()}
+        rows[int(shard[at[0]])] = {"words": pack_words(words[used] >> U(64 - WORD_BITS))} | {k: pack(v.astype(np.uint32)) for k, v in (("first", np.diff(x[starts], prepend=0)), ("second", y[starts]), ("fan", fan), ("third", zz), ("counts", counts[at]))}
     seen = np.bincount(a, minlength=none)
     own = np.flatnonzero(seen)
     home = top_bits(words[own], bits)  # ascending, as words are
     cuts = np.append(np.flatnonzero(np.diff(home, prepend=-1)), len(own))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        rows.setdefault(int(home[lo]), {}).update({"own": words[own[lo:hi]].tobytes(), "own_counts": seen[own[lo:hi]].astype(np.uint32).tobytes()})
+        rows.setdefault(int(home[lo]), {}).update({"own": pack_words(words[own[lo:hi]]), "own_counts": pack(seen[own[lo:hi]].astype(np.uint32))})
     return pd.DataFrame([{"shard": s} | {k: r.get(k, b"") for k in ROW} for s, r in rows.items()])
 
 
@@ -157,8 +181,9 @@ def raised(second: np.ndarray, fan: np.ndarray) -> EliasFano:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with their summed counts."""
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys, counts = keys[order], counts[order].astype(np.int64)
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
@@ -166,23 +191,25 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def build_trie(rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Arrays of one shard's trie; the first words and the number of their pairs."""
     rows = rows[rows["words"].str.len() > 0]
-    as_ints = lambda column, kind: [np.frombuffer(x, dtype=kind) for x in rows[column]]
-    words = as_ints("words", U)
+    words = [unpack_words(x) for x in rows["words"]]
     everything = np.unique(np.concatenate([*words, np.empty(0, dtype=U)]))
-    pairs, thirds = [], []
-    for w, x, y, fan, z in zip(words, as_ints("first", np.uint32), as_ints("second", np.uint32), as_ints("fan", np.uint32), as_ints("third", np.uint32), strict=True):
+    pairs, thirds = [np.empty(0, dtype=U)], [np.empty(0, dtype=np.uint32)]
+    for w, x, y, fan, z in zip(words, *[rows[c] for c in ("first", "second", "fan", "third")], strict=True):
         place = np.append(np.searchsorted(everything, w), int(NONE)).astype(U)
-        pairs.append(np.repeat((place[x] << U(32)) | place[y], fan))
-        thirds.append(place[np.minimum(z, len(w))])
-    join = lambda parts: np.concatenate([*parts, np.empty(0, dtype=U)])
-    pair_keys, pair_of = np.unique(join(pairs), return_inverse=True)
-    keys, counts = summed((pair_of.astype(U) << U(32)) | join(thirds), join(as_ints("counts", np.uint32)).astype(np.int64))
+        x, y, fan, z = (unpack(part, np.uint32) for part in (x, y, fan, z))
+        pairs.append(np.repeat((place[np.cumsum(x)] << U(32)) | place[y], fan))
+        thirds.append(place[np.minimum(z, len(w))].astype(np.uint32))
+    pairs, thirds = np.concatenate(pairs), np.concatenate(thirds)
+    pair_keys, pair_of = np.unique(pairs, return_inverse=True)
+    del pairs
+    keys, counts = summed((pair_of.astype(U) << U(32)) | thirds, np.concatenate([np.empty(0, dtype=np.uint32), *[unpack(x, np.uint32) for x in rows["counts"]]]))
+    del thirds
     pair_of, third = (keys >> U(32)).astype(np.int64), keys & U(0xFFFFFFFF)
     pair_counts = np.bincount(pair_of, counts, len(pair_keys)).astype(np.int64)
     keep = third != U(int(NONE))
-    pair_of, third, counts = pair_of[keep], everything[third[keep].astype(np.int64)] >> U(64 - SUCCESSOR_BITS), counts[keep]
+    pair_of, third, counts = pair_of[keep], everything[third[keep].astype(np.int64)] >> U(WORD_BITS - SUCCESSOR_BITS), counts[keep]
     fan3 = np.bincount(pair_of, minlength=len(pair_keys))
-    first, second = (pair_keys >> U(32)).astype(np.int64), everything[(pair_keys & U(0xFFFFFFFF)).astype(np.int64)] >> U(64 - SUCCESSOR_BITS)
+    first, second = (pair_keys >> U(32)).astype(np.int64), everything[(pair_keys & U(0xFFFFFFFF)).astype(np.int64)] >> U(WORD_BITS - SUCCESSOR_BITS)
     heads, fan2 = np.unique(first, return_counts=True)
     codes = {"gain2": np.log10(pair_counts - DISCOUNT), "gain3": np.log10((counts - DISCOUNT) / pair_counts[pair_of]), "rest3": np.log10(np.maximum(fan3, 1) * DISCOUNT / pair_counts)}
     parts = EliasFano.build(everything[heads]).parts("heads") | EliasFano.build(np.append(0, np.cumsum(fan2))).parts("pointers2") | raised(second, fan2).parts("successors2")
@@ -207,33 +234,40 @@ def write_file(root: str, name: str, parts: dict[str, np.ndarray]) -> str:
     return name
 
 
-def write_pairs(root: str):
-    """Writes a shard of pairs; gives its file, the counts of its own words and the fans of its first words."""
+def write_pairs(root: str, homes: int):
+    """Writes a shard of pairs; gives its file and, for each file of words, the counts of its own words and the fans
+    of its first words."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         parts, heads, fan = build_trie(rows)
         name = write_file(root, f"pairs-{shard:06d}", parts)
-        own = [np.frombuffer(b"".join(rows[c]), dtype=kind) for c, kind in (("own", U), ("own_counts", np.uint32))]
-        own, counts = summed(own[0], own[1].astype(np.int64))
-        words = np.concatenate([own, heads]).view(np.int64)
-        count, fans = np.concatenate([counts, np.zeros(len(heads), dtype=np.int64)]), np.concatenate([np.zeros(len(own), dtype=np.int64), fan])
-        found = pd.DataFrame({"shard": shard, "word": words, "count": count, "fan": fans})
-        return pd.concat([pd.DataFrame({"shard": [shard], "file": [name], "word": [0], "count": [0], "fan": [0]}), found.assign(file="")])
+        counts = [unpack(x, np.uint32) for x in rows["own_counts"]]
+        own, counts = summed(np.concatenate([unpack_words(x) for x in rows["own"]]), np.concatenate(counts))
+        out = [{"shard": shard, "home": -1, "file": name}]
+        heads = heads << U(64 - WORD_BITS)
+        for home in range(1 << homes):
+            mine, met = (x[lo:hi] for x, (lo, hi) in ((x, np.searchsorted(top_bits(x, homes), [home, home + 1])) for x in (own, heads)))
+            if len(mine) or len(met):
+                at, ft = np.searchsorted(own, mine), np.searchsorted(heads, met)
+                out.append({"shard": shard, "home": home, "file": "", "words": pack_words(mine), "counts": pack(counts[at]), "heads": pack_words(met), "fans": pack(fan[ft].astype(np.int64))})
+        return pd.DataFrame(out, columns=["shard", "home", "file", "words", "counts", "heads", "fans"])
 
     return run
 
 
 def write_words(root: str):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shard = int(rows["shard"].iloc[0])
-        words = rows["word"].to_numpy().view(U)
-        order = np.argsort(words)
-        words, count, fan = words[order], rows["count"].to_numpy()[order], rows["fan"].to_numpy()[order]
+        home = int(rows["home"].iloc[0])
+        gather = lambda words, values: summed(np.concatenate([unpack_words(x) for x in rows[words]]), np.concatenate([unpack(x, np.int64) for x in rows[values]]))
+        words, count = gather("words", "counts")
+        heads, fans = gather("heads", "fans")
+        fan = np.zeros(len(words), dtype=np.int64)
+        fan[np.searchsorted(words >> U(64 - WORD_BITS), heads >> U(64 - WORD_BITS))] = fans
         parts = EliasFano.build(words).parts("words") | EliasFano.build(np.cumsum(count)).parts("counts")
         parts["rest2"], parts["rest2_book"] = quantise(np.log10(np.where(fan > 0, fan * DISCOUNT / count, 1.0)))
-        name = write_file(root, f"words-{shard:06d}", parts)
-        return pd.DataFrame([{"shard": shard, "file": name, "words": len(words), "tokens": int(count.sum()), "once": int((count == 1).sum()), "twice": int((count == 2).sum())}])
+        name = write_file(root, f"words-{home:06d}", parts)
+        return pd.DataFrame([{"home": home, "file": name, "words": len(words), "tokens": int(count.sum()), "once": int((count == 1).sum()), "twice": int((count == 2).sum())}])
 
     return run
 
@@ -297,7 +331,7 @@ class Model:
         starts = np.cumsum(lengths) - lengths
         words, ids = np.unique(tokens, return_inverse=True)
         counts, rest2 = np.zeros(len(words), dtype=np.int64), np.zeros(len(words))
-        for part, at in self.shards(self.words, top_bits(words, self.bits)):
+        for part, at in self.shards(self.words, top_bits(words, min(self.bits, HOME_BITS))):
             rank, known = EliasFano.of(part, "words").successor(words[at])
             at, r = at[known], rank[known]
             running = EliasFano.of(part, "counts")
@@ -321,7 +355,7 @@ class Model:
         of_context = np.searchsorted(context, np.arange(len(first) + 1))
         for part, at in self.shards(self.pairs, pair_shard(words[first], words[second], self.bits)):
             pointers, level2, level3 = EliasFano.of(part, "pointers2"), EliasFano.of(part, "successors2"), EliasFano.of(part, "successors3")
-            rank, known = EliasFano.of(part, "heads").successor(words[first[at]])
+            rank, known = EliasFano.of(part, "heads").successor(words[first[at]] >> U(64 - WORD_BITS))
             at, r = at[known], rank[known]
             place, at = self.within(level2, pointers, r, words[second[at]], at)
             gain2[at] = 10 ** part["gain2_book"][part["gain2"][place]] / np.maximum(counts[first[at]], 1)
@@ -361,13 +395,13 @@ def train(texts: DataFrame, work: Workspace) -> tuple[str, dict[int, str], dict[
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(-(-size // SHARD_BYTES) - 1, 0).bit_length(), MOST_SHARDS_LOG2)
     rows = texts.select("text").mapInPandas(count_ngrams(bits), "shard int, " + ", ".join(f"{c} binary" for c in ROW))
-    root = f"{work.root}/trie"
-    built = work.save(rows.groupBy("shard").applyInPandas(write_pairs(root), "shard int, file string, word long, count long, fan long"), "pairs")
-    pairs = {r["shard"]: r["file"] for r in built.where("file <> ''").select("shard", "file").collect()}  # one for each shard
-    words = built.where("file = ''").groupBy("word").agg(F.sum("count").alias("count"), F.sum("fan").alias("fan"))
-    home = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
-    rows = work.save(words.withColumn("shard", home).groupBy("shard").applyInPandas(write_words(root), "shard int, file string, words long, tokens long, once long, twice long"), "words").collect()
-    return root, pairs, {r["shard"]: r["file"] for r in rows}, bits, {k: sum(r[k] for r in rows) for k in ("words", "tokens", "once", "twice")}
+    root, homes = f"{work.root}/trie", min(bits, HOME_BITS)
+    built = work.save(rows.groupBy("shard").applyInPandas(write_pairs(root, homes), "shard int, home int, file string, words binary, counts binary, heads binary, fans binary"), "pairs")
+    pairs = {r["shard"]: r["file"] for r in built.where("home < 0").select("shard", "file").collect()}  # one for each shard
+    rows = built.where("home >= 0").groupBy("home").applyInPandas(write_words(root), "home int, file string, words long, tokens long, once long, twice long")
+    rows = work.save(rows, "words").collect()  # one for each file of words
+    work.drop("pairs", "words")
+    return root, pairs, {r["home"]: r["file"] for r in rows}, bits, {k: sum(r[k] for r in rows) for k in ("words", "tokens", "once", "twice")}
 
 
 def score_texts(docs: DataFrame, model: tuple, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
