@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from ._work import Workspace, ascii_lower, let, small, table
 
 WINDOW, GRAM = 10, 5
-#: Fingerprints, windows or document keys up to this number are broadcast (some 50 MB), more are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -76,8 +74,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
     for n in short:
         prints = prints.unionByName(short_items.where(F.size("words") == n).select(F.explode(let(hashed(F.col("words")), whole(n))).alias("fp"), F.lit(n).alias("n")))
     prints = work.save(prints.distinct(), "prints")
-    n_prints = prints.count()
-    look_up = small(prints.select("fp", F.lit(1).alias("hit")).distinct(), n_prints, BROADCAST_ROWS)
+    look_up = small(prints.select("fp", F.lit(1).alias("hit")).distinct(), prints)
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
     seen = keyed.select("id", "text_hash", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(fingerprints(F.col("words"), short, k, window)).alias("at", "fp"))
@@ -86,29 +83,26 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", tex
 
     chosen = keys.where("hit = 1").select(F.col("id").alias("cid"), F.col("text_hash").alias("chash"))
     same = F.col("id").eqNullSafe(F.col("cid")) & (F.col("text_hash") == F.col("chash"))
-    n_chosen = chosen.count()
-    found = work.save(keyed.join(small(chosen, n_chosen, BROADCAST_ROWS), same, "left_semi").dropDuplicates(["id", "text_hash"]), "found")
+    found = work.save(keyed.join(small(chosen), same, "left_semi").dropDuplicates(["id", "text_hash"]), "found")
     empty = F.array().cast("array<struct<fp:bigint,pos:int,n:int>>")
     tagged = lambda h, g, n: F.when(F.size(h) >= n, F.transform(grams(h, g), lambda x, i: F.struct(x.alias("fp"), i.alias("pos"), F.lit(n).alias("n")))).otherwise(empty)
     places = found.select("id", "text_hash", F.explode(let(hashed(F.col("words")), lambda h: F.concat(tagged(h, k, window), *[tagged(h, n, n) for n in short]))).alias("p")).select("id", "text_hash", "p.*")
-    hits = places.join(small(prints, n_prints, BROADCAST_ROWS), ["fp", "n"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set(F.struct("pos", "n")).alias("hits"))
+    hits = places.join(small(prints), ["fp", "n"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set(F.struct("pos", "n")).alias("hits"))
     # extend every hit to the windows that hold it
     hits = hits.withColumnsRenamed({"id": "cid", "text_hash": "chash"})
     last = F.size("words") - window
     around = F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda p: p["n"] == window), lambda p: F.sequence(F.greatest(p["pos"] - (window - k), F.lit(0)), F.least(p["pos"], last)))))
     exact = [windows_at(F.col("words"), F.transform(F.filter("hits", of_length(n)), lambda p: p["pos"]), n) for n in short]
     spans = found.join(hits, same).select("id", "text_hash", F.explode(F.concat(windows_at(F.col("words"), around, window), *exact)).alias("w")).select("id", "text_hash", "w.*")
-    n_windows = windows.count()
-    spans = work.save(spans.join(small(windows.select("window").distinct(), n_windows, BROADCAST_ROWS), "window", "left_semi"), "spans")
+    spans = work.save(spans.join(small(windows.select("window").distinct(), windows), "window", "left_semi"), "spans")
     sorted_spans = F.array_sort(F.collect_set(F.struct("start", "n")))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("words"))
     covered = lambda acc, x: F.struct(F.greatest(acc["end"], x["start"] + x["n"]).alias("end"), (acc["words"] + F.greatest(x["start"] + x["n"] - F.greatest(acc["end"], x["start"]), F.lit(0))).alias("words"))
     n_hit = spans.groupBy("id", "text_hash").agg(sorted_spans.alias("s")).select("id", "text_hash", F.aggregate("s", start, covered, lambda acc: acc["words"].cast("long")).alias("n_hit"))
-    named = spans.select("id", "text_hash", "window").distinct().join(small(windows, n_windows, BROADCAST_ROWS), "window").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = spans.select("id", "text_hash", "window").distinct().join(small(windows), "window").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
     leaks = n_hit.join(named.withColumnsRenamed({"id": "nid", "text_hash": "nhash"}), F.col("id").eqNullSafe(F.col("nid")) & (F.col("text_hash") == F.col("nhash"))).select(F.col("id").alias("cid"), F.col("text_hash").alias("chash"), "n_hit", "items")
     leaks = work.save(leaks, "leaks")
-    n_leaks = leaks.count()
-    joined = keys.join(small(leaks, n_leaks, BROADCAST_ROWS), same, "left")
+    joined = keys.join(small(leaks), same, "left")
     return joined.select("id", "text_hash", "n_rows", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

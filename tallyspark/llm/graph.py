@@ -9,25 +9,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import Workspace
+from ._work import Workspace, small
 
 STEPS = 60
 
 
 def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """links(src long, dst long) -> (node, component): every node of a link, and the least node it can reach."""
+    """links(src long, dst long) -> (node, component): every node of a link, and the least node it can reach.
+
+    Links are kept as (u, v) with u > v, so the least neighbour of a node is the least v of its rows, or the node
+    itself. Least neighbours are written before they are joined: both sides of the join are then plain exchanges,
+    and one that a hub makes uneven is split.
+    """
     oriented = lambda df: df.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     now, seen = work.save(oriented(links), f"{name}-0"), None
     for step in range(1, STEPS + 1):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = oriented(both.join(least, "u").where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst")))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("src"), F.col("m").alias("dst")), F.struct(F.col("u").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.*")
-        now = work.save(oriented(small), f"{name}-{step}")
+        low = work.save(now.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        moved = now.join(small(low.withColumnRenamed("u", "v")), "v", "left").select(F.col("u").alias("src"), F.coalesce("m", "v").alias("dst"))
+        large = work.save(oriented(moved), f"{name}-large")
+        low = work.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low2")
+        # a node's own link to m comes once from low, the links of its other neighbours from large
+        others = large.join(small(low), "u").where("v > m").select(F.col("v").alias("src"), F.col("m").alias("dst"))
+        now = work.save(oriented(others.unionByName(low.select(F.col("u").alias("src"), F.col("m").alias("dst")))), f"{name}-{step}")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        work.drop(f"{name}-{step - 1}")
-        if state == seen:
+        work.drop(f"{name}-{step - 1}", f"{name}-low", f"{name}-large", f"{name}-low2")
+        if state == seen or not state[0]:
             break
         seen = state
     else:

@@ -4,83 +4,97 @@ A line is its set of words (lower case, cut at white space). A line goes if an e
 number), has Jaccard similarity of at least the threshold with it; lines without words stay.
 
 Lines of equal sets form a class, and its first line stands for it. Words are ordered by rarity, taken from a
-count sketch of fixed size, ties by hash. Two classes are compared if the prefixes of their ordered words
-share one, and length, position and a parity bitmap of the words leave the threshold in reach; what stays is
-verified on the words. The position filter leaves the shorter line of a pair a shorter prefix than the longer one.
+count sketch of fixed size, ties by hash. An earlier and a later class are compared if the prefixes of their
+ordered words share one, and length, position and a parity bitmap of the words leave the threshold in reach;
+what stays is verified on the words.
 
 A template with thousands of variants would make pairs of all of them. So a first pass compares each class
 with the first line of its group under extremes of word hashes; those it removes ("settled") need no further
-partner, and the join then leaves out pairs of two settled classes.
+partner: of the join only pairs count whose later class is not settled.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import SPACES, Workspace, small, table
+from ._work import Workspace, small, table
 
 THRESHOLD = 0.8
 #: Buckets of the count sketch, which comes to the driver and goes into plans: so many bytes, whatever the input.
 SKETCH_LOG2 = 17
-#: Sides up to this number of rows (some 60 MB) are broadcast, longer ones are shuffled.
-BROADCAST_ROWS = 1_000_000
-WORDS = r"array_remove(split(lower(line), '[\\x20\\x09-\\x0D]+'), '')"
-CLASS = ["k", "bits", "n"]
+#: Words of a line that holds no separator but blanks; cutting at one character is much faster than at a pattern.
+WORDS = "array_remove(split(lower(line), ' '), '')"
+#: Separators of words other than blanks (a line break ends a line).
+OTHERS = "\t\x0b\x0c\r"
+CLASS = ["k", "even", "odd", "n"]
+#: Parity bitmaps of the words with even and with odd hashes.
+BITS = ["even", "odd"]
+PLACE = ["id", "th", "line_no"]
+
+
+def blanks(text: Column) -> Column:
+    """The text with blanks for the other separators of words. Few texts hold any, and a search for each is cheap."""
+    some = F.lit(False)
+    for c in OTHERS:
+        some = some | F.contains(text, F.lit(c))
+    return F.when(some, F.translate(text, OTHERS, " " * len(OTHERS))).otherwise(text)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th (hash of the text), line_no (from 0), line of every line; null text: none."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    """id, th (hash of the text), line_no (from 0), line of every line with words; null text: none."""
+    text = F.col(f"`{text_col}`")
+    lines = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(blanks(text), "\n")).alias("line_no", "line"))
+    return lines.where(F.trim("line") != "")  # a test on the words would cut every line twice
 
 
-def rarity_sketch(docs: DataFrame, text_col: str) -> bytearray:
-    """For each bucket of word hashes a byte that grows with the logarithm of its number of words."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(f"`{text_col}`")), r"[\x20\x09-\x0D]+")).alias("w"))
+def rarity_sketch(docs: DataFrame, text_col: str) -> list[int]:
+    """For each bucket of word hashes a number up to 126 that grows with the logarithm of its number of words."""
+    words = docs.select(F.replace(blanks(F.col(f"`{text_col}`")), F.lit("\n"), F.lit(" ")).alias("line")).select(F.explode(F.expr("split(lower(line), ' ')")).alias("w"))
     rows = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << SKETCH_LOG2) - 1)).alias("b")).agg(F.count("*").alias("c")).select("b", F.floor(F.log2("c") * 3).cast("int").alias("code")).collect()
-    out = bytearray(1 << SKETCH_LOG2)
+    out = [0] * (1 << SKETCH_LOG2)
     for b, code in rows:
         out[b] = min(code, 126)
     return out
 
 
-def encode_lines(lines: DataFrame, sketch: bytearray, threshold: float) -> DataFrame:
-    """Lines with words: id, th, line_no, class key (k, bits, n), prefix (ints, rarest first) and two group keys."""
+def encode_lines(lines: DataFrame, sketch: list[int], threshold: float) -> DataFrame:
+    """Lines with words: id, th, line_no, class key (k, even, odd, n), prefix (ints, rarest first) and two group keys."""
     mask, flip = (1 << SKETCH_LOG2) - 1, 6364136223846793005
-    worded = lines.where(F.btrim("line", F.lit(SPACES)) != "")  # a test on the words would cut every line twice
-    hashed = worded.select("id", "th", "line_no", F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("h"))
-    # the sketch stays inside the expression: as a column it would be copied into every row
-    code = lambda x: F.ascii(F.substring(F.lit(sketch), x.bitwiseAND(F.lit(mask)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    ranked = F.sort_array(F.transform("h", lambda x: F.shiftleft(code(x), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
-    tokens = hashed.select("id", "th", "line_no", "h", ranked.alias("t"), F.size("h").alias("n"), F.transform("h", lambda x: x.bitwiseXOR(F.lit(flip))).alias("g"))
+    hashed = lines.select(*PLACE, F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("h"))
+    # the sketch is a literal inside the expression, folded once; as a column it would be copied into every row
+    codes = F.from_json(F.lit(json.dumps(sketch, separators=(",", ":"))), "array<tinyint>")
+    ranked = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.get(codes, x.bitwiseAND(F.lit(mask)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    tokens = hashed.select(*PLACE, "h", ranked.alias("t"), F.size("h").alias("n"), F.transform("h", lambda x: x.bitwiseXOR(F.lit(flip))).alias("g"))
     return tokens.select(
-        "id",
-        "th",
-        "line_no",
+        *PLACE,
         F.xxhash64("t").alias("k"),
-        F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))").alias("bits"),
+        *[F.expr(f"aggregate(h, 0L, (a, x) -> if((x & 1) = {i}, a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)), a))").alias(c) for i, c in enumerate(BITS)],
         "n",
-        F.expr(f"transform(slice(t, 1, n - cast(ceil({threshold} * n - 1e-9) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
+        F.expr(f"transform(slice(t, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
         F.xxhash64(F.array_min("h"), F.array_max("h")).alias("group1"),
         F.xxhash64(F.array_min("g"), F.array_max("g"), F.lit(1)).alias("group2"),
     )
 
 
 def fits(a: str, b: str, threshold: float) -> Column:
-    """Whether sizes and parity bitmaps of sides a and b leave the threshold in reach."""
+    """Whether parity bitmaps and sizes of sides a and b leave the threshold in reach."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9  # words in one of the sets only, at most
-    return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= apart)
+    most = (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9  # words in one of the sets only, at most
+    apart = [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITS]
+    return (apart[0] <= most) & (apart[0] + apart[1] <= most) & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
 
 
 def place() -> Column:
-    return F.struct("id", "th", "line_no")
+    return F.struct(*PLACE)
 
 
 def first_places(lines: DataFrame, work: Workspace) -> DataFrame:
     """CLASS and first (place) of the classes that have several lines; only those lines are sorted by place."""
     several = work.save(lines.groupBy(*CLASS).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "several")
-    again = lines.select("id", "th", "line_no", *CLASS).join(small(several, several.count(), BROADCAST_ROWS), CLASS)
+    again = lines.select(*PLACE, *CLASS).join(small(several), CLASS)
     return work.save(again.groupBy(*CLASS).agg(F.min(place()).alias("first")), "repeated")
 
 
@@ -92,64 +106,81 @@ def representatives(lines: DataFrame, repeated: DataFrame) -> DataFrame:
     return once.unionByName(first.select(*once.columns))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, work: Workspace, name: str, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Of pairs (a, b) of classes those that reach the threshold by their words, as CLASS of the later one."""
-    pairs = work.save(pairs, f"{name}-pairs")
-    classes = work.save(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().select("c.*"), f"{name}-classes")
-    n = classes.count()
-    places = work.save(reps.select("id", "th", "line_no", *CLASS).join(small(classes, n, BROADCAST_ROWS), CLASS, "left_semi"), f"{name}-places")
-    wanted = places.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("line_no", *CLASS)).alias("wanted"))
+def words_at(places: DataFrame, docs: DataFrame, work: Workspace, name: str, id_col: str, text_col: str) -> DataFrame:
+    """r, place and words (hashes) for each of places (r, id, th, line_no)."""
+    places = work.save(places, f"{name}-places")
+    wanted = work.save(places.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("line_no", "r")).alias("wanted")), f"{name}-wanted")
     same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th")).join(small(wanted, n, BROADCAST_ROWS), same)
-    line = found.select("id", "th", F.explode("wanted").alias("x"), F.split("text", "\n").alias("lines")).select(F.struct("id", "th", "x.line_no").alias("place"), F.struct("x.k", "x.bits", "x.n").alias("c"), F.get("lines", F.col("x.line_no")).alias("line"))
-    words = work.save(line.select("place", "c", F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("words")), f"{name}-words")
-    left, right = (words.select(F.col("c").alias(side), F.struct("place", "words").alias(f"w{side}")) for side in ("a", "b"))
-    x, y = F.col("wa.words"), F.col("wb.words")
-    met = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect(x, y)) >= threshold / (1 + threshold) * (F.size(x) + F.size(y)) - 1e-9)
-    return met.select(F.when(F.col("wa.place") < F.col("wb.place"), F.col("b")).otherwise(F.col("a")).alias("later")).distinct().select("later.*")
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    found = texts.join(small(wanted), same).select("id", "th", F.explode("wanted").alias("x"), F.split(blanks(F.col("text")), "\n").alias("lines"))
+    line = found.select("x.r", F.struct("id", "th", "x.line_no").alias("place"), F.get("lines", F.col("x.line_no")).alias("line"))
+    words = line.select("r", "place", F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("words"))
+    words = work.save(words, f"{name}-words")
+    return words if words.count() == places.count() else words.dropDuplicates(["r"])  # rows that repeat id and text
 
 
-def removed_classes(docs: DataFrame, reps: DataFrame, work: Workspace, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """CLASS of all classes that match an earlier one."""
-    check = lambda pairs, name: work.save(verified(pairs, docs, reps, work, name, threshold, id_col, text_col), f"{name}-later")
-    own = F.struct(*CLASS)
-    # classes against the first line of their group
-    keys = reps.select(F.explode(F.array("group1", "group2")).alias("key"), *CLASS, place().alias("place"))
+def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of classes those that reach the threshold by their words: r of the later one, once."""
+    left, right = words.select(F.col("r").alias("a"), F.col("place").alias("pa"), F.col("words").alias("x")), words.select(F.col("r").alias("b"), F.col("place").alias("pb"), F.col("words").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= threshold / (1 + threshold) * (F.size("x") + F.size("y")) - 1e-9)
+    return met.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("r")).distinct()
+
+
+def settled_first(reps: DataFrame, docs: DataFrame, work: Workspace, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """r of the classes that match the first line of a group of theirs."""
+    keys = reps.select(F.explode(F.array("group1", "group2")).alias("key"))
     several = work.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "groups")
-    keys = keys.join(small(several, several.count(), BROADCAST_ROWS), "key")
-    pivots = keys.groupBy("key").agg(F.min(F.struct("place", *CLASS)).alias("p")).select("key", "p.*").drop("place")
-    near = keys.drop("place").alias("m").join(pivots.alias("p"), "key").where((F.col("m.k") != F.col("p.k")) & fits("m", "p", threshold))
-    settled = check(near.select(F.struct("p.k", "p.bits", "p.n").alias("a"), F.struct("m.k", "m.bits", "m.n").alias("b")).distinct(), "first")
-
-    # prefixes against prefixes; both sides of a join are one exchange
-    n_settled = settled.count()
-    marked = work.save(reps.select(*CLASS, "prefix").join(small(settled, n_settled, BROADCAST_ROWS).withColumn("settled", F.lit(True)), CLASS, "left"), "marked")
-    entries = marked.select(*CLASS, "settled", F.posexplode("prefix").alias("pos", "word"))
+    grouped = reps.select(F.explode(F.array("group1", "group2")).alias("key"), "r", *BITS, "n", place().alias("place")).join(small(several), "key")
+    grouped = work.save(grouped, "grouped")
+    pivots = work.save(grouped.groupBy("key").agg(F.min(F.struct("place", "r", *BITS, "n")).alias("p")).select("key", "p.r", *[f"p.{x}" for x in BITS], "p.n"), "pivots")
+    near = grouped.drop("place").alias("m").join(small(pivots).alias("p"), "key").where((F.col("m.r") != F.col("p.r")) & fits("m", "p", threshold))
+    near = work.save(near.select(F.col("p.r").alias("a"), F.col("m.r").alias("b")).distinct(), "near")
+    places = reps.select("r", *PLACE).join(small(work.save(near.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "near-ids")), "r", "left_semi")
+    settled = work.save(verified(near, words_at(places, docs, work, "near", id_col, text_col), threshold), "settled")
+    work.drop("groups", "grouped", "pivots", "near", "near-ids", "near-places", "near-wanted", "near-words")
+    return settled
+
+
+def joined_prefixes(reps: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of classes whose prefixes share a word and that may reach the threshold, not both settled."""
+    marked = reps.select("r", *BITS, "n", "prefix").join(small(settled.withColumn("settled", F.lit(1))), "r", "left")
+    # one narrow row for each word of a prefix: n, place in the order and state share a long
+    meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.coalesce("settled", F.lit(0)).cast("long"))
+    packed = marked.select("r", *BITS, "n", "settled", F.posexplode("prefix").alias("pos", "word")).select("word", "r", *BITS, meta.alias("meta"))
+    parts = {"n": F.shiftright("meta", 32), "pos": F.shiftright(F.col("meta").bitwiseAND(F.lit(0xFFFFFFFE)), 1), "done": F.col("meta").bitwiseAND(F.lit(1))}
+    s, l = packed.withColumns(parts).alias("s"), packed.withColumns(parts).alias("l")  # noqa: E741
     reach = F.least(F.col("s.n") - F.col("s.pos"), F.col("l.n") - F.col("l.pos")) >= threshold / (1 + threshold) * (F.col("s.n") + F.col("l.n")) - 1e-9
-    ordered = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.k") < F.col("l.k")))
-    met = None
-    for s, l in ((False, False), (False, True), (True, False)):  # never both settled
-        if (s or l) and not n_settled:
-            continue
-        state = lambda x: F.col("settled").isNotNull() if x else F.col("settled").isNull()
-        shorter, longer = (entries.where(state(x)).select("word", *CLASS, "pos") for x in (s, l))
-        pairs = shorter.alias("s").join(longer.alias("l"), (F.col("s.word") == F.col("l.word")) & ordered & reach & fits("s", "l", threshold))
-        pairs = pairs.select(F.struct("s.k", "s.bits", "s.n").alias("a"), F.struct("l.k", "l.bits", "l.n").alias("b"))
-        met = pairs if met is None else met.unionByName(pairs)
-    return settled.unionByName(check(met.distinct(), "join")).distinct()
+    once = (F.col("s.r") < F.col("l.r")) & (F.col("s.done") + F.col("l.done") < 2)
+    met = s.join(l, (F.col("s.word") == F.col("l.word")) & once & fits("s", "l", threshold) & reach)
+    return met.select(F.col("s.r").alias("a"), F.col("l.r").alias("b")).distinct()
+
+
+def removed_classes(docs: DataFrame, reps: DataFrame, work: Workspace, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """CLASS of all classes that match an earlier one."""
+    settled = settled_first(reps, docs, work, threshold, id_col, text_col)
+    pairs = work.save(joined_prefixes(reps, settled, threshold), "pairs")
+    places = reps.select("r", *PLACE).join(small(work.save(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "pair-ids")), "r", "left_semi")
+    words = words_at(places, docs, work, "pair", id_col, text_col)
+    later = work.save(settled.unionByName(verified(pairs, words, threshold)).distinct(), "later")
+    removed = work.save(reps.join(small(later), "r", "left_semi").select(*CLASS), "removed")
+    work.drop("pairs", "pair-ids", "pair-places", "pair-wanted", "pair-words", "later", "settled")
+    return removed
 
 
 def repeated_lines(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each (id, th) that has lines to remove: id, th (xxhash64 of the text), removed (ascending line
-    numbers from 0). Rows that repeat id and text are one document; null ids come first. An empty table gives
-    an empty result."""
+    numbers from 0). Rows that repeat id and text are one document; null ids come first. Lines of any length are
+    compared whole. Other columns of docs are not read. An empty table gives an empty result."""
     work = Workspace(docs.sparkSession)
     lines = work.save(encode_lines(lines_of(docs, id_col, text_col), rarity_sketch(docs, text_col), threshold), "lines")
-    repeated = first_places(lines, work)
-    repeated = small(repeated, repeated.count(), BROADCAST_ROWS)
-    removed = work.save(removed_classes(docs, representatives(lines, repeated), work, threshold, id_col, text_col), "removed")
+    repeated = small(first_places(lines, work))
+    # classes get numbers, fixed once they are written
+    reps = work.save(representatives(lines, repeated).withColumn("r", F.monotonically_increasing_id()), "reps")
+    removed = small(removed_classes(docs, reps, work, threshold, id_col, text_col))
+    work.drop("reps", "several")
     # all lines of a removed class go, of the others all but the first
-    marked = lines.select("id", "th", "line_no", *CLASS).join(repeated, CLASS, "left").join(small(removed, removed.count(), BROADCAST_ROWS).withColumn("gone", F.lit(True)), CLASS, "left")
+    marked = lines.select(*PLACE, *CLASS).join(repeated, CLASS, "left").join(removed.withColumn("gone", F.lit(True)), CLASS, "left")
     gone = marked.where(F.col("gone") | (F.col("first") != place()))
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 

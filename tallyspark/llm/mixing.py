@@ -9,7 +9,7 @@ by cumulative rounding from long to short documents, then single copies move to
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._work import Workspace, count_words, table
@@ -35,6 +35,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return w.withColumn("target", F.least(F.col("cap"), F.coalesce(first["level"], F.lit(float("inf"))) * F.col("w"))).select("sk", "source_size", "n", "target")
 
 
+def exact_sum(value: Column) -> Column:
+    """A sum of doubles that does not depend on the order of rows, so that reruns agree."""
+    return F.sum(value.cast("decimal(38,6)")).cast("double")
+
+
 def balance(hist: DataFrame, targets: DataFrame, work: Workspace) -> DataFrame:
     """sk, target, source_size, mean, lam: the dual solution by safeguarded Newton steps."""
     inf = float("inf")
@@ -43,8 +48,8 @@ def balance(hist: DataFrame, targets: DataFrame, work: Workspace) -> DataFrame:
         tilt = F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0)))
         words = F.col("n") * F.col("size")
         sums = hist.join(state, "sk").groupBy("sk", "target", "source_size", "mean", "lam", "lo", "hi").agg(
-            F.sum(words * F.least(F.lit(float(MOST)), tilt)).alias("got"),
-            F.sum(F.when(tilt < MOST, words * tilt * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"),
+            exact_sum(words * F.least(F.lit(float(MOST)), tilt)).alias("got"),
+            exact_sum(F.when(tilt < MOST, words * tilt * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"),
         )
         gap = F.col("got") - F.col("target")
         lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap >= 0, F.col("lam")).otherwise(F.col("hi"))
@@ -55,9 +60,10 @@ def balance(hist: DataFrame, targets: DataFrame, work: Workspace) -> DataFrame:
         sums = sums.withColumns({"lam": F.when(full, F.lit(inf)).otherwise(moved), "error": F.when(full, F.lit(0.0)).otherwise(F.col("error"))})
         state = work.save(sums.select(*state.columns), f"dual{step}")
         worst = state.agg(F.max("error")).first()[0]
+        work.drop(f"dual{step - 1}")
         if worst is None or worst < 1e-6:
-            break
-    return state
+            return state
+    raise RuntimeError(f"the multipliers did not settle in {STEPS} steps; relative error {worst}")
 
 
 def copies_by_size(hist: DataFrame, dual: DataFrame, work: Workspace) -> DataFrame:

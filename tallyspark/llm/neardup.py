@@ -29,8 +29,6 @@ BANDS, ROWS = 40, 7
 HASHES, STEP = BANDS * ROWS, 40
 #: A block holds about so many documents and shingles on each side.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
-#: Member lists up to this many rows (some 30 MB) are broadcast, longer ones are shuffled.
-BROADCAST_ROWS = 1_000_000
 CACHE = 400_000
 
 _rng = np.random.default_rng(11)
@@ -202,7 +200,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spread = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).alias("q"))
     members = work.save(members.join(spread, "component").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("q")).cast("int")), "members")
     n_members = members.count()
-    with_text = texts.join(small(members, n_members, BROADCAST_ROWS // 10), ["id", "text_hash"])
+    with_text = texts.join(small(members), ["id", "text_hash"])
     if repeats:
         with_text = with_text.dropDuplicates(["node"])
     sets = with_text.select(F.col("node").alias("id"), "size", "component", "q", "chunk", "brief", "text").mapInPandas(cut_sets, "id long, size long, component long, q long, chunk int, brief binary, shingles binary")
@@ -210,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     compared = work.save(blocks.groupBy("alone", "g", "a", "b").applyInPandas(compare_block, "id long, links long, root long"), "compared")
     found = connected_components(compared.select(F.col("id").alias("src"), F.col("root").alias("dst")), work, "links").withColumnRenamed("node", "rep")
     tops = work.save(found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("top")), "tops")
-    found = found.join(small(tops, tops.count(), BROADCAST_ROWS), "component").select("rep", "top")
+    found = found.join(small(tops), "component").select("rep", "top")
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))
     by_rep = classes.join(found, "rep", "left").join(links.withColumnRenamed("id", "rep"), "rep", "left")
     by_class = work.save(by_rep.select("same", F.coalesce("top", "least").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "by_class")
