@@ -7,52 +7,62 @@ are null or empty are neither toxic, near-duplicates nor leaks, but the mix take
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate, mixing, neardup, sharding, toxicity
-from tallyspark.llm._work import Workspace, small, table
+from tallyspark.llm._work import Workspace, fresh, passing, small, table
 
-#: Keys up to this number (some 50 MB) are broadcast, more are shuffled.
-BROADCAST_ROWS = 1_000_000
+
+def keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined with keys (id, text_hash, perhaps source and more, under names of their own) by those columns."""
+    names = dict(zip(keys.columns, fresh(docs.columns, *keys.columns), strict=True))
+    keys = keys.withColumnsRenamed(names)
+    same = F.col("`doc_id`").eqNullSafe(F.col(f"`{names['id']}`")) & (F.xxhash64("`text`") == F.col(f"`{names['text_hash']}`"))
+    if "source" in names:
+        same = same & F.col("`source`").cast("string").eqNullSafe(F.col(f"`{names['source']}`"))
+    return docs.join(small(keys), same, how)
+
+
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not reject."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return docs.where(toxicity.score_of(F.col("`text`"), model) < toxicity.REJECT_AT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least (id, text hash) of each group of near-duplicates; of rows equal in id and text, one."""
+    """The document of least (id, text hash) of each group of near-duplicates; of rows equal in id and text, the
+    least by their other columns."""
     work = Workspace(spark)
     found = work.save(neardup.near_duplicates(docs), "near")
-    repeats = found.count() - found.select("id", "text_hash").distinct().count()
     dropped = found.where("class_id <> id or class_hash <> text_hash").select("id", "text_hash").distinct()
-    same = (docs["doc_id"] == dropped["id"]) & (F.xxhash64(docs["text"]) == dropped["text_hash"])
-    kept = docs.join(small(dropped, dropped.count(), BROADCAST_ROWS), same, "left_anti")
-    if repeats:
-        least = kept.where("doc_id is not null").groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
-        kept = kept.where("doc_id is null").unionByName(least.select("row.*"))
-    return kept.select(*docs.columns)
+    kept = keyed(docs, work.save(dropped, "dropped"), "left_anti")
+    repeated = work.save(found.groupBy("id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select("id", "text_hash"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    others = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    first = Window.partitionBy("`doc_id`", F.xxhash64("`text`")).orderBy(*[F.col(f"`{c}`") for c in others])
+    (place,) = fresh(docs.columns, "place")
+    least = keyed(kept, repeated, "left_semi").withColumn(place, F.row_number().over(first)).where(f"{place} = 1")
+    return keyed(kept, repeated, "left_anti").unionByName(least.select(*columns(docs)))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    work = Workspace(spark)
     leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("id", "text_hash")
-    leaks = work.save(leaks, "leaks")
-    same = docs["doc_id"].eqNullSafe(leaks["id"]) & (F.xxhash64(docs["text"]) == leaks["text_hash"])
-    return docs.join(small(leaks, leaks.count(), BROADCAST_ROWS), same, "left_anti").select(*docs.columns)
+    return keyed(docs, Workspace(spark).save(leaks, "leaks"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
-    work = Workspace(spark)
-    taken = work.save(mixing.mix_sources(docs).where("copies > 0").select("id", "text_hash", F.col("source").alias("of"), "copies"), "taken")
-    same = docs["doc_id"].eqNullSafe(taken["id"]) & (F.xxhash64(docs["text"]) == taken["text_hash"]) & docs["source"].cast("string").eqNullSafe(taken["of"])
-    chosen = docs.join(small(taken, taken.count(), BROADCAST_ROWS), same)
-    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    taken = Workspace(spark).save(mixing.mix_sources(docs).where("copies > 0").select("id", "text_hash", "source", "copies"), "taken")
+    copies, copy = fresh(docs.columns, "id", "text_hash", "source", "copies", "copy")[3:]
+    chosen = keyed(docs, taken, "inner")
+    return chosen.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`").cast("int")))).select(*columns(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,5 +85,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, work = table(spark, sf_dir, "documents"), Workspace(spark)
     for k, (name, stage) in enumerate(STAGES):
-        docs = work.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        with passing(spark):  # what a stage wrote on its way goes once its result is written
+            docs = work.save(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            work.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
