@@ -57,6 +57,19 @@ def join_check(rollout_threads: DataFrame, inventory: DataFrame) -> DataFrame:
     return check("source-join", counts, warn_if((F.col("left_only") > 0) | (F.col("right_only") > 0)), says("%d in logs only, %d in the inventory only", "left_only", "right_only"))
 
 
+def state_database(candidates: DataFrame) -> DataFrame:
+    """candidates(version): state databases that were found. None is an error, several of the last version too."""
+    c = candidates.agg(F.count("*").alias("n"), F.count_if(F.col("version") == F.lit(candidates.agg(F.max("version")).first()[0])).alias("last"))
+    return check("state-db", c, F.when(F.col("last") == 1, "ok").otherwise("error"), says("%d found, %d of the last version", "n", "last"))
+
+
+def local_state(tables: DataFrame, version: int) -> DataFrame:
+    """tables(name, schema_version, readable): newer or unreadable is an error, older a warning."""
+    c = tables.agg(F.count_if(~F.col("readable")).alias("broken"), F.count_if(F.col("schema_version") > version).alias("newer"), F.count_if(F.col("schema_version") < version).alias("older"))
+    status = F.when((F.col("broken") > 0) | (F.col("newer") > 0), "error").otherwise(warn_if(F.col("older") > 0))
+    return check("local-state", c, status, says("%d unreadable, %d newer, %d older", "broken", "newer", "older"))
+
+
 def run_history(name: str, runs: DataFrame) -> DataFrame:
     """runs(run_id, status, finished_at); the last run must have succeeded."""
     last = runs.agg(F.max_by("status", "run_id").alias("status"), F.max(F.when(F.col("status") == "succeeded", F.col("finished_at"))).alias("success"))

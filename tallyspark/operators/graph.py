@@ -55,22 +55,22 @@ def terminals(edges: DataFrame, work: Scratch, name: str) -> DataFrame:
 
 
 def flatten_aliases(edges: DataFrame, work: Scratch, name: str = "aliases") -> tuple[DataFrame, DataFrame]:
-    """(aliases, cycles). aliases: source, target (terminal), depth; cycle nodes stand for themselves (depth 0),
-    and tails that lead into a cycle end at its first node. cycles: node."""
+    """(aliases, cycles). aliases: source, target (terminal), depth; tails that lead into a cycle end at its first
+    node, and the nodes of cycles have no alias. cycles: node."""
     edges = work.save(edges.select("src", "dst"), f"{name}-edges")
     cycles = work.save(cycle_nodes(edges, work, f"{name}-cycles"), f"{name}-cyclic")
     open_edges = edges.join(cycles.select(F.col("node").alias("src")), "src", "left_anti")
     flat = terminals(open_edges, work, name).select(F.col("node").alias("source"), F.col("terminal").alias("target"), "depth")
-    own = cycles.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0).cast("long").alias("depth"))
-    return flat.unionByName(own), cycles
+    return flat, cycles
 
 
 def would_close_cycle(edges: DataFrame, new: DataFrame, work: Scratch, name: str = "new") -> DataFrame:
-    """Rows of new(src, dst) that would each close a cycle: dst is src or leads to it."""
+    """Rows of new(src, dst) that would each close a cycle: dst is src or leads to it. The sources of new rows lose
+    the edges they had, so whoever leads to one ends there."""
     known = edges.join(new.select("src"), "src", "left_anti").select("src", "dst")
     cyclic = cycle_nodes(known, work, f"{name}-cycles")
     open_edges = known.join(cyclic.withColumnRenamed("node", "src"), "src", "left_anti")
-    reach = ancestors(open_edges, work, f"{name}-reach").select(F.col("node").alias("dst"), F.col("ancestor").alias("src"))
+    reach = terminals(open_edges, work, f"{name}-reach").select(F.col("node").alias("dst"), F.col("terminal").alias("src"))
     return new.where("src = dst").unionByName(new.where("src <> dst").join(reach, ["dst", "src"], "left_semi").select(*new.columns))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import logical_key
 from ..schemas import COUNTERS
 from ..work import Scratch
-from .graph import ancestors, cycle_nodes
+from .graph import cycle_nodes, terminals
 
 
 def consistent(counts: Column) -> Column:
@@ -55,8 +55,8 @@ def fork_depths(threads: DataFrame, work: Scratch) -> DataFrame:
     edges = work.save(edges, "fork-edges")
     if not cycle_nodes(edges, work, "fork-cycles").isEmpty():
         raise ValueError("threads fork from each other in a cycle")
-    depth = ancestors(edges, work, "fork-ancestors").groupBy("node").agg(F.max("depth").alias("fork_depth"))
-    return known.select("thread_id").join(depth.withColumnRenamed("node", "thread_id"), "thread_id", "left").select("thread_id", F.coalesce("fork_depth", F.lit(0)).cast("int").alias("fork_depth"))
+    depth = terminals(edges, work, "fork-depths").select(F.col("node").alias("thread_id"), F.col("depth").alias("fork_depth"))
+    return known.select("thread_id").join(depth, "thread_id", "left").select("thread_id", F.coalesce("fork_depth", F.lit(0)).cast("int").alias("fork_depth"))
 
 
 def keyed(events: DataFrame) -> DataFrame:
@@ -85,3 +85,8 @@ def deduplicate_events(events: DataFrame, depths: DataFrame) -> DataFrame:
     flags = F.array_sort(F.array_distinct(F.concat("all_flags", F.array_compact(F.array(F.when(seen("model", "model"), F.lit("metadata_conflict:model")), F.when(seen("reasoning_effort", "effort"), F.lit("metadata_conflict:effort")))))))
     kept = lambda c, f: F.when(~F.exists("all_flags", lambda x: x == f"metadata_conflict:{f}"), one(c))  # noqa: E731  a conflict stays one
     return merged.select("row.*", kept("model", "model").alias("model"), kept("reasoning_effort", "effort").alias("reasoning_effort"), flags.alias("flags"), "logical_key")
+
+
+def event_order(events: DataFrame) -> DataFrame:
+    """Deduplicated events by time, then logical key and thread."""
+    return events.orderBy("occurred_at", "logical_key.kind", "logical_key.id", "logical_key.n", "thread_id")

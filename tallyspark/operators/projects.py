@@ -31,6 +31,11 @@ def unresolved_reasons(usage: DataFrame) -> DataFrame:
     return usage.where("effective_project_id is null").groupBy("project_resolution").agg(F.count("*").alias("events"), F.count_distinct("thread_key").alias("threads"))
 
 
+def unresolved_thread_count(usage: DataFrame) -> DataFrame:
+    """Distinct threads without a project, over all reasons: one row."""
+    return usage.where("effective_project_id is null").agg(F.count_distinct("thread_key").alias("threads"))
+
+
 def with_raw_threads(unresolved: DataFrame, threads: DataFrame) -> DataFrame:
     """Adds the local raw id of a thread key, where one is known: threads(thread_key, thread_id)."""
     return unresolved.join(threads, "thread_key", "left")

@@ -26,9 +26,15 @@ class Replay(NamedTuple):
     input_events: int
 
 
+def payload_conflicts(events: DataFrame, payload: str = "payload_json") -> DataFrame:
+    """event_ids under which payloads differ: the least and the greatest digest do."""
+    digest = F.sha2(F.coalesce(F.col(payload), F.lit("")), 256)
+    return events.groupBy("event_id").agg(F.min(digest).alias("least"), F.max(digest).alias("most")).where("least <> most").select("event_id")
+
+
 def event_id_conflicts(events: DataFrame, payload: str = "payload_json") -> DataFrame:
-    """event_ids under which payloads differ."""
-    return events.groupBy("event_id").agg(F.count_distinct(payload).alias("payloads")).where("payloads > 1")
+    """event_ids under which payloads differ, and how many there are."""
+    return events.join(payload_conflicts(events, payload), "event_id", "left_semi").groupBy("event_id").agg(F.count_distinct(payload).alias("payloads"))
 
 
 def exact_events(events: DataFrame) -> DataFrame:
@@ -104,10 +110,16 @@ def require_empty(violations: DataFrame, what: str) -> None:
         raise LedgerError(f"{what}: {[r.asDict() for r in found]}")
 
 
+def time_order(events: DataFrame) -> DataFrame:
+    """Replayed events in the order of time, then of ids."""
+    return events.orderBy(utc_instant(F.col("occurred_at")), "event_id")
+
+
 def replay(events: DataFrame, work: Scratch, *, expected_key: str | None = None) -> Replay:
     """events: the columns of schemas.EVENT and payload_json. Raises LedgerError where a rule fails."""
+    events = work.save(events, "input")  # read, parsed and checked once
     require_empty(normalisation_violations(events), "events cannot be replayed")
-    require_empty(event_id_conflicts(events), "one event_id, several payloads")
+    require_empty(payload_conflicts(events), "one event_id, several payloads")
     rows = work.save(exact_events(events), "events")
     require_empty(key_violations(rows, expected_key), "key ids differ")
     usage, mappings, quotas = (rows.where(F.col("event_type") == t) for t in ("usage_checkpoint", "mapping", "quota_snapshot"))

@@ -142,6 +142,11 @@ def daily_usage_utc(usage: DataFrame) -> DataFrame:
     return rows.groupBy(F.substring("occurred_at", 1, 10).alias("utc_date"), "effective_project_id", "device_id", "model").agg(*sums, F.count("*").alias("event_count"))
 
 
+def daily_order(daily: DataFrame) -> DataFrame:
+    """The daily view by its keys, nulls first."""
+    return daily.orderBy("utc_date", "effective_project_id", "device_id", "model")
+
+
 @dataclass
 class Rendered:
     """A report's rows on the driver, for the renderers; reports are as long as their groups."""

@@ -59,9 +59,9 @@ def _as(doc: Column, path: str, kind: str) -> Column:
 
 
 def _ok(doc: Column, name: str, kind: str, arg) -> Column:
-    path, t = f"$.{name}", _type(doc, f"$.{name}")
+    path, t, text = f"$.{name}", F.col(f"__t_{name}"), F.col(f"__s_{name}")
     nullable, kind = kind.endswith("?"), kind.rstrip("?")
-    text, number = _as(doc, path, "string"), _as(doc, path, "double")
+    number = text.try_cast("double")
     is_int = t == "BIGINT"
     numeric = is_int | t.startswith("DECIMAL") | (t == "DOUBLE")
     within = lambda v, lo, hi: (v >= lo) & (v <= hi if hi is not None else F.lit(True))
@@ -102,8 +102,12 @@ def _closed(json: Column, names) -> Column:
 
 def schema_violations(lines: DataFrame, column: str = "value") -> DataFrame:
     """lines with violations: sorted codes `json`, `event_type`, `unexpected:<key>`, `missing:<key>`, `<field>`."""
-    rows = lines.withColumn("__v", F.try_parse_json(F.col(column)))
-    doc, keys = F.col("__v"), F.json_object_keys(F.col(column))
+    # parsed once: columns that are used often stay in a projection of their own
+    rows = lines.withColumns({"__v": F.try_parse_json(F.col(column)), "__k": F.json_object_keys(F.col(column))})
+    doc, keys = F.col("__v"), F.col("__k")
+    fields = sorted({f for rules in RULES.values() for f in rules})
+    seen = {f"__t_{f}": _type(doc, f"$.{f}") for f in fields} | {f"__s_{f}": _as(doc, f"$.{f}", "string") for f in fields}
+    rows = rows.withColumns(seen)
     kind = _as(doc, "$.event_type", "string")
     found = F.when(doc.isNull() | ~F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False)), F.array(F.lit("json"))).when(~F.coalesce(kind.isin(*RULES), F.lit(False)), F.array(F.lit("event_type")))
     for name, rules in RULES.items():
@@ -111,12 +115,14 @@ def schema_violations(lines: DataFrame, column: str = "value") -> DataFrame:
         wrong = F.array_compact(F.array(*[F.when(F.array_contains(keys, f) & ~_ok(doc, f, *rule), F.lit(f)) for f, rule in rules.items()]))
         codes = F.concat(F.transform(F.array_except(keys, own), lambda k: F.concat(F.lit("unexpected:"), k)), F.transform(F.array_except(own, keys), lambda k: F.concat(F.lit("missing:"), k)), wrong)
         found = found.when(kind == name, codes)
-    return rows.withColumn("violations", F.array_sort(found)).drop("__v")
+    return rows.withColumn("violations", F.array_sort(found)).drop("__v", "__k", *seen)
 
 
 def location_codes(value: Column) -> Column:
-    """Codes of what a text gives away."""
-    tests = {"control_character": value.rlike(CONTROL)} | {k: value.rlike(p) for k, p in LOCATIONS.items()}
+    """Codes of what a text gives away. The patterns run only over texts that hold a character they need."""
+    has = lambda c: F.contains(value, F.lit(c))
+    needs = {"network_location": has("://") | has("@"), "host_path": has("/"), "filesystem_path": has("/") | has("\\")}
+    tests = {"control_character": value.rlike(CONTROL)} | {k: needs[k] & value.rlike(p) for k, p in LOCATIONS.items()}
     return F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
 
 

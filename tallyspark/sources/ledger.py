@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_json, is_uuid, utc_instant
-from ..operators.replay import event_id_conflicts, require_empty
+from ..operators.replay import payload_conflicts, require_empty
 from ..operators.validate import privacy_violations, schema_violations
 from ..schemas import EVENT, EVENT_FIELDS
 
@@ -85,7 +85,7 @@ def append_events(spark: SparkSession, root: str, events: DataFrame, *, device_i
         if "PATH_NOT_FOUND" not in str(error):
             raise
         there = rows.select("event_id", "payload_json").where("false")
-    require_empty(event_id_conflicts(there.unionByName(rows.select("event_id", "payload_json"))), "an event_id is there with other content")
+    require_empty(payload_conflicts(there.unionByName(rows.select("event_id", "payload_json"))), "an event_id is there with other content")
     new = rows.dropDuplicates(["event_id"]).join(there.select("event_id"), "event_id", "left_anti").persist()
     try:
         new.select("place", F.col("payload_json").alias("value")).write.mode("append").partitionBy("place").text(f"{root.rstrip('/')}/devices")

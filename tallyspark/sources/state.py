@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_relative
-from ..operators.replay import event_id_conflicts, require_empty
+from ..operators.replay import payload_conflicts, require_empty
 
 
 def merge_cursors(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -19,9 +19,14 @@ def merge_cursors(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__r", best).where("__r = 1").drop("__r", "__new")
 
 
+def cursors_of(cursors: DataFrame, sources: DataFrame) -> DataFrame:
+    """The cursors of sources(source_id); all of them are the table itself."""
+    return cursors.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+
+
 def enqueue(outbox: DataFrame, events: DataFrame) -> DataFrame:
     """outbox(event_id, payload_json, sequence, flushed_at) with new events behind; same id and payload is nothing new."""
-    require_empty(event_id_conflicts(outbox.select("event_id", "payload_json").unionByName(events.select("event_id", "payload_json"))), "outbox")
+    require_empty(payload_conflicts(outbox.select("event_id", "payload_json").unionByName(events.select("event_id", "payload_json"))), "outbox")
     new = events.dropDuplicates(["event_id"]).join(outbox, "event_id", "left_anti").select("event_id", "payload_json")
     last = outbox.agg(F.coalesce(F.max("sequence"), F.lit(0))).first()[0]
     numbered = new.withColumn("sequence", F.lit(last) + 1 + F.monotonically_increasing_id()).withColumn("flushed_at", F.lit(None).cast("timestamp"))
@@ -53,6 +58,20 @@ def record_issues(issues: DataFrame, new: DataFrame) -> DataFrame:
     return issues.unionByName(new).dropDuplicates(["source_id", "record_index", "code"])
 
 
+def begin_run(runs: DataFrame, kind: str) -> DataFrame:
+    """runs with a running row behind; its id is one more than the last."""
+    last = runs.agg((F.coalesce(F.max("run_id"), F.lit(0)) + 1).alias("run_id"))
+    new = {"status": F.lit("running"), "detail": F.lit(kind), "started_at": F.current_timestamp(), "finished_at": F.lit(None)}
+    return runs.unionByName(last.select(*[new.get(f.name, F.col("run_id")).cast(f.dataType).alias(f.name) for f in runs.schema.fields]))
+
+
+def flush_totals(batches: DataFrame) -> DataFrame:
+    """One row of sums over batches(selected, appended, present, flushed); a batch that does not flush all it
+    selected is an error, since the next would select the same."""
+    require_empty(batches.where("flushed < selected"), "a flush made no full progress")
+    return batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("selected", "appended", "present", "flushed")])
+
+
 def finish_run(runs: DataFrame, run_id: int, status: str, detail: str | None = None) -> DataFrame:
     """runs(run_id, status, detail, started_at, finished_at) with a running row finished."""
     mine = (F.col("run_id") == run_id) & (F.col("status") == "running")
