@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,73 +51,71 @@ RULES = {
 }
 
 
-def _type(doc: Column, path: str) -> Column:
-    """JSON type of a value: VOID for null, null where the key is absent."""
-    return F.schema_of_variant(F.variant_get(doc, path, "variant"))
-
-
 def _as(doc: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(doc, path, kind)
 
 
-def _ok(doc: Column, name: str, kind: str, arg) -> Column:
-    path, t, text = f"$.{name}", F.col(f"__t_{name}"), F.col(f"__s_{name}")
-    nullable, kind = kind.endswith("?"), kind.rstrip("?")
-    number = text.try_cast("double")
-    is_int = t == "BIGINT"
-    numeric = is_int | t.startswith("DECIMAL") | (t == "DOUBLE")
-    within = lambda v, lo, hi: (v >= lo) & (v <= hi if hi is not None else F.lit(True))
-    if kind == "const":
-        test = is_int & (number == arg)
-    elif kind == "int":
-        test = is_int & within(number, *arg)
-    elif kind == "num":
-        test = numeric & within(number, *arg)
-    elif kind == "bool":
-        test = t == "BOOLEAN"
-    elif kind == "enum":
-        test = (t == "STRING") & text.isin(*arg)
-    elif kind == "uuid":
-        test = (t == "STRING") & F.lower(text).rlike(UUID)
-    elif kind == "time":
-        test = (t == "STRING") & text.rlike(ISO + r"(Z|[+-]\d{2}:\d{2})$") & F.try_to_timestamp(text).isNotNull()
-    elif kind == "id":
-        test = (t == "STRING") & F.length(text).between(8, 256)
-    elif kind == "text":
-        test = (t == "STRING") & within(F.length(text), *arg)
-    elif kind == "strings":
-        items = _as(doc, path, "array<string>")
-        test = t.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(F.array_distinct(items)) == F.size(items))
-    else:
-        test = _closed(F.to_json(F.variant_get(doc, path, "variant")), COUNTERS) & (t.startswith("OBJECT"))
-        for c in COUNTERS:
-            ct = _type(doc, f"{path}.{c}")
-            test = test & ((ct == "VOID") | ((ct == "BIGINT") & (_as(doc, f"{path}.{c}", "bigint") >= 0)))
-    return F.coalesce(test | (t == "VOID") if nullable else test, F.lit(False))
-
-
-def _closed(json: Column, names) -> Column:
-    """Whether an object has these keys and no others."""
-    keys, own = F.json_object_keys(json), F.array(*[F.lit(n) for n in names])
-    return (F.size(F.array_except(keys, own)) == 0) & (F.size(F.array_except(own, keys)) == 0)
+def _is_count(value: Column) -> Column:
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    return (kind == "VOID") | ((kind == "BIGINT") & (_as(value, "$", "bigint") >= 0))
+
+
+def _tests(value: Column, kind: Column, text: Column, low: Column, high: Column, options: Column) -> dict[str, Column]:
+    """Whether a value of a JSON type (kind) keeps a rule, for each kind of rule."""
+    number, size = text.try_cast("double"), F.length(text)
+    is_int, is_text = kind == "BIGINT", kind == "STRING"
+    within = lambda v: (v >= low) & (high.isNull() | (v <= high))
+    items, parts = _as(value, "$", "array<string>"), _as(value, "$", "map<string,variant>")
+    counters = F.array_sort(F.array(*[F.lit(c) for c in COUNTERS]))
+    return {
+        "const": is_int & (number == low),
+        "int": is_int & within(number),
+        "num": (is_int | F.startswith(kind, F.lit("DECIMAL")) | (kind == "DOUBLE")) & within(number),
+        "bool": kind == "BOOLEAN",
+        "enum": is_text & F.array_contains(options, text),
+        "uuid": is_text & F.lower(text).rlike(UUID),
+        "time": is_text & text.rlike(ISO + r"(Z|[+-]\d{2}:\d{2})$") & F.try_to_timestamp(text).isNotNull(),
+        "id": is_text & size.between(8, 256),
+        "text": is_text & within(size),
+        "strings": kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(F.array_distinct(items)) == F.size(items)),
+        "counts": F.startswith(kind, F.lit("OBJECT")) & (F.array_sort(F.map_keys(parts)) == counters) & F.forall(F.map_values(parts), _is_count),
+    }
+
+
+def _rules() -> Column:
+    """The rules as a map from `<event type> <field>`; a constant."""
+    rows = {}
+    for name, fields in RULES.items():
+        for field, (kind, arg) in fields.items():
+            low, high = (arg, None) if kind == "const" else arg if kind.rstrip("?") in ("int", "num", "text") else (None, None)
+            rows[f"{name} {field}"] = {"kind": kind.rstrip("?"), "nullable": kind.endswith("?"), "low": low, "high": high, "options": list(arg) if kind == "enum" else None}
+    return F.from_json(F.lit(json.dumps(rows)), "map<string,struct<kind:string,nullable:boolean,low:double,high:double,options:array<string>>>")
 
 
 def schema_violations(lines: DataFrame, column: str = "value") -> DataFrame:
-    """lines with violations: sorted codes `json`, `event_type`, `unexpected:<key>`, `missing:<key>`, `<field>`."""
-    # parsed once: columns that are used often stay in a projection of their own
-    rows = lines.withColumns({"__v": F.try_parse_json(F.col(column)), "__k": F.json_object_keys(F.col(column))})
-    doc, keys = F.col("__v"), F.col("__k")
-    fields = sorted({f for rules in RULES.values() for f in rules})
-    seen = {f"__t_{f}": _type(doc, f"$.{f}") for f in fields} | {f"__s_{f}": _as(doc, f"$.{f}", "string") for f in fields}
-    rows = rows.withColumns(seen)
-    kind = _as(doc, "$.event_type", "string")
-    found = F.when(doc.isNull() | ~F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False)), F.array(F.lit("json"))).when(~F.coalesce(kind.isin(*RULES), F.lit(False)), F.array(F.lit("event_type")))
-    for name, rules in RULES.items():
-        own = F.array(*[F.lit(f) for f in EVENT_FIELDS[name]])
-        wrong = F.array_compact(F.array(*[F.when(F.array_contains(keys, f) & ~_ok(doc, f, *rule), F.lit(f)) for f, rule in rules.items()]))
-        codes = F.concat(F.transform(F.array_except(keys, own), lambda k: F.concat(F.lit("unexpected:"), k)), F.transform(F.array_except(own, keys), lambda k: F.concat(F.lit("missing:"), k)), wrong)
-        found = found.when(kind == name, codes)
-    return rows.withColumn("violations", F.array_sort(found)).drop("__v", "__k", *seen)
+    """lines with violations: sorted codes `json`, `event_type`, `unexpected:<key>`, `missing:<key>`, `<field>`.
+
+    A line is parsed once into its entries; each entry looks its rule up, so the work grows with the keys that a
+    line has, not with the number of rules.
+    """
+    parsed = {"__v": F.try_parse_json(F.col(column)), "__m": F.from_json(F.col(column), "map<string,variant>")}
+    doc, entries = F.col("__v"), F.coalesce(F.map_entries("__m"), F.array().cast("array<struct<key:string,value:variant>>"))
+    typed = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).alias("kind"), _as(e["value"], "$", "string").alias("text"), F.element_at(_rules(), F.concat_ws(" ", "__kind", e["key"])).alias("rule")))
+
+    def wrong(e: Column) -> Column:
+        r, test = e["rule"], F.lit(False)
+        for kind, ok in reversed(_tests(e["value"], e["kind"], e["text"], r["low"], r["high"], r["options"]).items()):
+            test = F.when(r["kind"] == kind, ok).otherwise(test)
+        return F.when(r.isNotNull() & ~(r["nullable"] & (e["kind"] == "VOID")) & ~F.coalesce(test, F.lit(False)), e["key"])
+
+    rows = lines.withColumns(parsed).withColumn("__kind", _as(doc, "$.event_type", "string")).withColumn("__e", typed)
+    keys, own = F.transform("__e", lambda e: e["key"]), F.when(F.lit(False), F.array().cast("array<string>"))
+    for name in RULES:
+        own = own.when(F.col("__kind") == name, F.array(*[F.lit(f) for f in EVENT_FIELDS[name]]))
+    rows = rows.withColumns({"__keys": keys, "__own": own})
+    codes = F.concat(F.transform(F.array_except("__keys", "__own"), lambda k: F.concat(F.lit("unexpected:"), k)), F.transform(F.array_except("__own", "__keys"), lambda k: F.concat(F.lit("missing:"), k)), F.array_compact(F.transform("__e", wrong)))
+    found = F.when(doc.isNull() | ~F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False)), F.array(F.lit("json"))).when(~F.coalesce(F.col("__kind").isin(*RULES), F.lit(False)), F.array(F.lit("event_type"))).otherwise(codes)
+    return rows.withColumn("violations", F.array_sort(found)).drop("__v", "__m", "__kind", "__e", "__keys", "__own")
 
 
 def location_codes(value: Column) -> Column:
@@ -126,22 +126,22 @@ def location_codes(value: Column) -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
 
 
-def json_strings(json: Column) -> Column:
+def json_strings(text: Column) -> Column:
     """All string literals of a JSON text, keys and values, unescaped."""
-    return F.transform(F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>")[0])
+    return F.transform(F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda s: F.from_json(F.concat(F.lit('["'), s, F.lit('"]')), "array<string>")[0])
 
 
-def json_keys(json: Column) -> Column:
+def json_keys(text: Column) -> Column:
     """All keys of a JSON text at any depth."""
-    return F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
 
 
 def privacy_violations(events: DataFrame, column: str = "value") -> DataFrame:
     """events with privacy: sorted codes `forbidden_key`, `control_character`, location codes and `id:<field>`."""
-    json, doc = F.col(column), F.try_parse_json(F.col(column))
+    text, doc = F.col(column), F.try_parse_json(F.col(column))
     kind = _as(doc, "$.event_type", "string")
-    forbidden = F.exists(json_keys(json), lambda k: F.lower(k).isin(*FORBIDDEN_KEYS))
-    leaks = F.array_distinct(F.flatten(F.transform(json_strings(json), location_codes)))
+    forbidden = F.exists(json_keys(text), lambda k: F.lower(k).isin(*FORBIDDEN_KEYS))
+    leaks = F.array_distinct(F.flatten(F.transform(json_strings(text), location_codes)))
     ids = [F.when(~F.coalesce(is_identifier(_as(doc, "$.key_id", "string"), "key_h1_"), F.lit(False)), F.lit("id:key_id"))]
     for name, fields in PREFIXES.items():
         for field, prefix in fields.items():

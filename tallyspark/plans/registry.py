@@ -15,7 +15,7 @@ from ..operators.attribution import activity_evidence, cascade, thread_hints
 from ..operators.report import ReportQuery, daily_usage_utc, grand_total, latest_names, records, usage_report
 from ..operators.validate import location_codes, schema_violations
 from ..sources.rollouts import parse_rollouts
-from ..work import Scratch
+from ..work import Scratch, spread
 from .views import duckdb_view as dv
 from .views import view
 
@@ -458,7 +458,7 @@ def q_schema_violations(spark, sf_dir):
     nulls = F.lit(',"supersedes":null,"target_project_id":null,"display_value":null')
     optional = F.concat(nulls, F.when(e % 5 != 0, F.lit(',"kind":"manual_assignment"')).otherwise(""), F.when(e % 3 == 0, F.lit(',"extra":[1]')).otherwise(""))
     json = F.to_json(F.struct(*[v.alias(k) for k, v in common.items()]))
-    lines = table(spark, sf_dir, "events").select("event_id", F.concat(F.regexp_replace(json, r"\}$", ""), optional, F.lit("}")).alias("value"))
+    lines = spread(table(spark, sf_dir, "events").select("event_id")).select("event_id", F.concat(F.regexp_replace(json, r"\}$", ""), optional, F.lit("}")).alias("value"))
     return schema_violations(lines).select("event_id", F.array_join("violations", ",").alias("codes"))
 
 

@@ -27,3 +27,9 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is long for each row: a table of fewer partitions than there are cores is dealt out, others stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
