@@ -128,6 +128,8 @@ def fit_lasso(sets: Sets, y: np.ndarray, gain: Sets, loss: Sets, *, lasso: float
     n, m, n_terms = len(y), len(gain.ends) - 1, sets.n_terms
     rate = (y.sum() + 0.5) / (n + 1)
     w, b = np.zeros(n_terms), float(np.log(rate / (1 - rate)))
+    if not n or not n_terms:
+        return b, w
     scale = np.sqrt(sets.back(np.ones(n)) / max(n, 1)) + 0.02  # penalise rare and common terms alike
 
     def swapped(u):
