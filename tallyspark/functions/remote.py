@@ -73,6 +73,11 @@ def normalize_remote(remote: Column, *, exotic: bool = False) -> Column:
     return F.when(~p["local"] & p["good"], name)
 
 
+def is_local(remote: Column) -> Column:
+    """Whether a remote is a path or file URL of this machine."""
+    return parts(remote, exotic=False)["local"]
+
+
 def remote_error(remote: Column, *, exotic: bool = False) -> Column:
     """Whether a remote is neither local nor a network location with host and repository path."""
     return remote.isNotNull() & ~parts(remote, exotic=exotic)["local"] & normalize_remote(remote, exotic=exotic).isNull()

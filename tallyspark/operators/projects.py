@@ -51,18 +51,22 @@ def known_projects(usage: DataFrame, mappings: DataFrame) -> DataFrame:
 def known_subjects(usage: DataFrame, mappings: DataFrame) -> DataFrame:
     """(subject_type, subject_id) that usage or mappings name."""
     of = lambda t, c: usage.select(F.lit(t).alias("subject_type"), F.col(c).alias("subject_id"))
-    rows = of("thread", "thread_key").union(of("turn", "turn_key")).union(of("project", "effective_project_id")).union(of("device", "device_id")).union(mappings.select("subject_type", "subject_id"))
+    rows = of("thread", "thread_key").union(of("turn", "turn_key")).union(known_projects(usage, mappings).select(F.lit("project"), "project_id")).union(of("device", "device_id")).union(mappings.select("subject_type", "subject_id"))
     return rows.where("subject_id is not null").distinct()
 
 
-def mapping_refusals(new: DataFrame, usage: DataFrame, mappings: DataFrame, work: Scratch) -> DataFrame:
+def mapping_refusals(new: DataFrame, usage: DataFrame, mappings: DataFrame, work: Scratch, local: DataFrame | None = None) -> DataFrame:
     """(row, code) for each row of new(row, kind, subject_type, subject_id, target_project_id) that may not be
-    written: subject_type, target_id, unknown_target, unknown_subject, device_id, alias_cycle, unchanged."""
+    written: subject_type, target_id, unknown_target, unknown_subject, device_id, alias_cycle, unchanged.
+    local(subject_type, subject_id): subjects known here beside those that usage and mappings name."""
     allowed = F.lit(False)
     for kind, subjects in SUBJECTS.items():
         allowed = allowed | ((F.col("kind") == kind) & F.col("subject_type").isin(*subjects))
     targets = known_projects(usage, mappings).withColumn("known_target", F.lit(True)).withColumnRenamed("project_id", "target_project_id")
-    subjects = known_subjects(usage, mappings).withColumn("known_subject", F.lit(True))
+    subjects = known_subjects(usage, mappings)
+    if local is not None:
+        subjects = subjects.unionByName(local.select("subject_type", "subject_id")).distinct()
+    subjects = subjects.withColumn("known_subject", F.lit(True))
     now = mappings.select("kind", "subject_type", "subject_id", F.col("target_project_id").alias("now"))
     rows = new.join(targets, "target_project_id", "left").join(subjects, ["subject_type", "subject_id"], "left").join(now, ["kind", "subject_type", "subject_id"], "left")
     target = F.col("target_project_id")

@@ -6,16 +6,21 @@ ledger knows are left out at the end.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.remote import normalize_remote, resolve_remote
+from ..functions.identity import key_id
+from ..functions.remote import is_local, normalize_remote
 from ..operators.attribution import attribute
 from ..operators.encode import encode_usage, source_ids
 from ..operators.graph import build_lineage, roots
 from ..operators.lifecycle import calculate_deltas, deduplicate_events, fork_conflicts, fork_depths
 from ..operators.replay import require_empty
-from ..sources.rollouts import Parsed, parse_rollouts
+from ..sources.ledger import append_events, read_ledger, relative_path, to_events
+from ..sources.rollouts import Parsed, changed, discover, parse_rollouts, record_lines
+from ..sources.state import enqueue, known_source_ids, mark_flushed, merge_cursors
 from ..work import Scratch
 
 STRINGS = "array<string>"
@@ -30,29 +35,46 @@ def parent_candidates(metadata: DataFrame, edges: DataFrame | None) -> DataFrame
     return rows
 
 
-def repository_activity(checkpoints: DataFrame, evidence: DataFrame, local: DataFrame | None) -> DataFrame:
-    """Rows for activity_evidence from working directories: evidence(workdir, status, repository_root, remotes),
-    local(repository_root, project)."""
+def probed_remotes(evidence: DataFrame) -> DataFrame:
+    """(workdir, repository, kind, canonical) of each repository among evidence(workdir, status, repository_root,
+    remotes): origin, one unique remote, several (ambiguous), only local ones, none. Hosts of any script."""
+    rows = evidence.where("status = 'repository'").select("workdir", F.col("repository_root").alias("repository"), F.explode_outer("remotes").alias("remote"))
+    url = F.col("remote.url")
+    rows = rows.select("workdir", "repository", F.col("remote.name").alias("name"), normalize_remote(url, exotic=True).alias("canonical"), is_local(url).alias("local"))
+    rows = rows.groupBy("workdir", "repository").agg(
+        F.max(F.when(F.col("name") == "origin", F.col("canonical"))).alias("own"),
+        F.array_sort(F.collect_set("canonical")).alias("names"),
+        F.coalesce(F.bool_or("local"), F.lit(False)).alias("local"),
+    )
+    n = F.size("names")
+    kind = F.when(F.col("own").isNotNull(), "self_origin").when(n == 1, "unique_remote").when(n > 1, "ambiguous_remote").when(F.col("local"), "local_only").otherwise("unclassified")
+    return rows.select("workdir", "repository", kind.alias("kind"), F.coalesce("own", F.when(n == 1, F.get("names", F.lit(0)))).alias("canonical"))
+
+
+def repository_activity(checkpoints: DataFrame, probed: DataFrame, local: DataFrame | None) -> DataFrame:
+    """Rows for activity_evidence from working directories: probed (see probed_remotes), local(repository_root,
+    project)."""
     dirs = checkpoints.select("checkpoint", F.explode("activity_workdirs").alias("workdir"))
-    urls = F.transform("remotes", lambda r: r["url"])
-    origin = F.get(F.filter("remotes", lambda r: r["name"] == "origin"), F.lit(0))["url"]
-    known = evidence.where("status = 'repository'").select("workdir", F.col("repository_root").alias("repository"), resolve_remote(origin, urls).alias("r"))
-    rows = dirs.join(known, "workdir").select("checkpoint", "repository", F.col("r.canonical").alias("canonical"), (F.col("r.kind") == "ambiguous_remote").alias("ambiguous"))
+    rows = dirs.join(probed, "workdir").select("checkpoint", "repository", "canonical", (F.col("kind") == "ambiguous_remote").alias("ambiguous"))
     if local is None:
         return rows.withColumn("mapped", F.array().cast(STRINGS))
-    return rows.join(local.select(F.col("repository_root").alias("repository"), F.array("project").alias("mapped")), "repository", "left")
+    mapped = local.groupBy(F.col("repository_root").alias("repository")).agg(F.collect_set("project").alias("mapped"))
+    return rows.join(mapped, "repository", "left")
 
 
-def self_remotes(metadata: DataFrame, inventory: DataFrame | None, evidence: DataFrame) -> DataFrame:
-    """Own remote of each thread: the session's URL, else the inventory's, else that of its working directory."""
+def self_remotes(metadata: DataFrame, inventory: DataFrame | None, probed: DataFrame) -> DataFrame:
+    """Own remote of each thread: the session's URL, else the inventory's, else that of its working directory, which
+    the inventory gives where the session has none."""
     rows = metadata.groupBy("thread_id").agg(F.first("git_repository_url", ignorenulls=True).alias("url"), F.first("cwd", ignorenulls=True).alias("cwd"))
-    if inventory is not None:
-        rows = rows.join(inventory.select("thread_id", F.col("git_origin_url").alias("stored")), "thread_id", "left").withColumn("url", F.coalesce(F.when(normalize_remote(F.col("url")).isNotNull(), F.col("url")), "stored"))
-    urls = F.transform("remotes", lambda r: r["url"])
-    origin = F.get(F.filter("remotes", lambda r: r["name"] == "origin"), F.lit(0))["url"]
-    probed = evidence.where("status = 'repository'").select(F.col("workdir").alias("cwd"), resolve_remote(origin, urls).alias("p"))
-    rows = rows.join(probed, "cwd", "left").withColumn("own", normalize_remote(F.col("url")))
-    return rows.select("thread_id", F.when(F.col("own").isNotNull(), "self_origin").otherwise(F.col("p.kind")).alias("self_kind"), F.coalesce("own", "p.canonical").alias("self_canonical"))
+    if inventory is None:
+        rows = rows.withColumns({"stored": F.lit(None).cast("string"), "workdir": F.col("cwd")})
+    else:
+        stored = inventory.select("thread_id", F.col("git_origin_url").alias("stored"), F.col("cwd").alias("stored_cwd"))
+        rows = rows.join(stored, "thread_id", "left").withColumn("workdir", F.coalesce("cwd", "stored_cwd"))
+    found = probed.dropDuplicates(["workdir"]).select("workdir", "kind", "canonical")
+    own = F.coalesce(normalize_remote(F.col("url"), exotic=True), normalize_remote(F.col("stored"), exotic=True))
+    rows = rows.withColumn("own", own).join(found, "workdir", "left")
+    return rows.select("thread_id", F.when(F.col("own").isNotNull(), "self_origin").otherwise(F.col("kind")).alias("self_kind"), F.coalesce("own", "canonical").alias("self_canonical"))
 
 
 def collect(spark: SparkSession, lines: DataFrame, evidence: DataFrame, *, key: bytes, device_id: str, parser_version: str = "1", inventory: DataFrame | None = None, edges: DataFrame | None = None, local: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, Parsed]:
@@ -63,18 +85,65 @@ def collect(spark: SparkSession, lines: DataFrame, evidence: DataFrame, *, key:
     checkpoints = work.save(parsed.checkpoints, "checkpoints")
     events = work.save(calculate_deltas(checkpoints), "deltas")
     require_empty(fork_conflicts(events), "copies of one event differ")
-    unique = deduplicate_events(events, fork_depths(metadata, work)).withColumn("checkpoint", F.xxhash64("logical_key.kind", "logical_key.id", "logical_key.n").cast("string"))
+    unique = deduplicate_events(events, fork_depths(metadata, work)).withColumn("checkpoint", F.to_json("logical_key"))
     unique = work.save(unique, "unique")
     parents, _ = build_lineage(parent_candidates(metadata, edges), work)
     parents = work.save(parents, "lineage")
     declared = metadata.select("thread_id", F.col("root_session_id").alias("root")).dropDuplicates(["thread_id"])
     root = work.save(roots(metadata.select("thread_id"), parents, declared, work), "roots")
+    probed = work.save(probed_remotes(evidence), "probed")
     nobody = spark.sql("SELECT '' AS thread_id, '' AS manual_project WHERE false")
     nowhere = spark.sql("SELECT '' AS thread_id, '' AS local_project WHERE false")
-    done = attribute(unique, activity=repository_activity(unique, evidence, local), self_remotes=self_remotes(metadata, inventory, evidence), parents=parents, roots=root, manual=nobody, local=nowhere, work=work)
+    done = attribute(unique, activity=repository_activity(unique, probed, local), self_remotes=self_remotes(metadata, inventory, probed), parents=parents, roots=root, manual=nobody, local=nowhere, work=work)
     done = done.join(root, "thread_id", "left").join(parents.select(F.col("child").alias("thread_id"), "parent"), "thread_id", "left")
     done = done.join(metadata.select("thread_id", "source_kind", "cli_version").dropDuplicates(["thread_id"]), "thread_id")
     done = source_ids(done, key)
     if known is not None:
         done = done.join(known, "source_event_id", "left_anti")
     return encode_usage(done, key=key, device_id=device_id, parser_version=parser_version), parsed
+
+
+class Collected(NamedTuple):
+    outbox: DataFrame
+    cursors: DataFrame
+    issues: DataFrame
+    fatal: DataFrame
+    appended: int
+
+
+def flush(spark: SparkSession, ledger_root: str, outbox: DataFrame, *, key: bytes, device_id: str, work: Scratch) -> tuple[DataFrame, int]:
+    """Append what waits in the outbox to the ledger: (outbox with all flushed, number of events that were new there).
+    A run that stopped after the append finds its events in the ledger and only marks them."""
+    waiting = work.save(to_events(outbox.where("flushed_at is null").select(F.col("payload_json").alias("value"))), "waiting")
+    n = append_events(spark, ledger_root, waiting, device_id=device_id, key_id=key_id(key))
+    paths = waiting.select("event_id", relative_path(F.col("device_id"), F.col("event_type"), F.col("occurred_at")).alias("ledger_path"))
+    return work.save(mark_flushed(outbox, paths), "flushed"), n
+
+
+def collect_files(spark: SparkSession, home: str, ledger_root: str, evidence: DataFrame, *, key: bytes, device_id: str, cursors: DataFrame, outbox: DataFrame, **options) -> Collected:
+    """From the logs below home to the ledger. cursors(source_id, size, modified, last_record) and
+    outbox(event_id, payload_json, sequence, flushed_at) are the state before; the result holds the state after.
+
+    Nothing is parsed where no log changed since its cursor. Otherwise all logs are, and only events that neither
+    ledger nor outbox knows are new. A log that is unusable is named in fatal and gets no cursor, so it is tried again.
+    options: see collect.
+    """
+    work = Scratch(spark)
+    found = work.save(discover(spark, home), "files")  # logs grow while they are read: all steps see one state of them
+    sources = found.select("file", "source_id", "size", "modified")
+    nothing = spark.createDataFrame([], "source_id string, record_index int, code string")
+    if changed(sources, cursors).isEmpty():
+        outbox, n = flush(spark, ledger_root, outbox, key=key, device_id=device_id, work=work)
+        return Collected(outbox, cursors, nothing, nothing, n)
+    lines = work.save(record_lines(found), "lines")
+    ledger, torn = read_ledger(spark, ledger_root)
+    require_empty(torn, "ledger files with a torn last line")
+    known = ledger.where("event_type = 'usage_checkpoint'").select("source_event_id").union(known_source_ids(outbox)).distinct()
+    events, parsed = collect(spark, lines, evidence, key=key, device_id=device_id, known=work.save(known, "known"), **options)
+    outbox = work.save(enqueue(outbox, work.save(events.select("event_id", "payload_json"), "new")), "outbox")
+    outbox, n = flush(spark, ledger_root, outbox, key=key, device_id=device_id, work=work)
+    named = lambda df: df.join(sources.select("file", "source_id"), "file").select("source_id", "record_index", "code")
+    fatal = work.save(named(parsed.fatal), "fatal")
+    read = lines.groupBy("file").agg(F.max("record_index").cast("long").alias("last_record"))
+    new = sources.join(read, "file").join(fatal, "source_id", "left_anti").select("source_id", "size", "modified", "last_record")
+    return Collected(outbox, work.save(merge_cursors(cursors, new), "cursors"), work.save(named(parsed.issues), "issues"), fatal, n)

@@ -6,6 +6,7 @@ reported, not read. Appends leave out events that are there and refuse events th
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..functions.text import canonical_json, is_uuid, utc_instant
 from ..operators.replay import payload_conflicts, require_empty
 from ..operators.validate import privacy_violations, schema_violations
 from ..schemas import EVENT, EVENT_FIELDS
+from ..work import Scratch
 
 
 def relative_path(device: Column, kind: Column, occurred_at: Column) -> Column:
@@ -34,6 +36,16 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(path.alias("file"), place.alias("place"), F.col("value").alias("text"))
 
 
+def stored_files(spark: SparkSession, root: str) -> DataFrame:
+    """files, or none where nothing was ever appended."""
+    try:
+        return files(spark, root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file string, place string, text string")
+
+
 def read_lines(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(complete lines: file, place, line_no, value; files with a torn last line)."""
     whole = F.when(F.contains("text", F.lit("\n")), F.regexp_replace("text", r"\n[^\n]*\z", ""))
@@ -62,7 +74,7 @@ def to_events(lines: DataFrame) -> DataFrame:
 
 def read_ledger(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(events of all devices, files with a torn last line). Any bad complete line is an error."""
-    lines, torn = read_lines(files(spark, root))
+    lines, torn = read_lines(stored_files(spark, root))
     require_empty(line_violations(lines), "ledger lines")
     return to_events(lines), torn
 
@@ -79,16 +91,9 @@ def append_events(spark: SparkSession, root: str, events: DataFrame, *, device_i
         payload = payload.when(F.col("event_type") == kind, canonical_json(*names))
     rows = rows.withColumn("payload_json", payload).withColumn("place", relative_path(F.col("device_id"), F.col("event_type"), F.col("occurred_at")))
     require_empty(rows.where("place is null").select("event_id"), "events without a path")
-    try:
-        there = to_events(read_lines(files(spark, root))[0]).select("event_id", "payload_json")
-    except Exception as error:  # an empty root
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        there = rows.select("event_id", "payload_json").where("false")
+    there = to_events(read_lines(stored_files(spark, root))[0]).select("event_id", "payload_json")
     require_empty(payload_conflicts(there.unionByName(rows.select("event_id", "payload_json"))), "an event_id is there with other content")
-    new = rows.dropDuplicates(["event_id"]).join(there.select("event_id"), "event_id", "left_anti").persist()
-    try:
-        new.select("place", F.col("payload_json").alias("value")).write.mode("append").partitionBy("place").text(f"{root.rstrip('/')}/devices")
-        return new.count()
-    finally:
-        new.unpersist()
+    # a written table, since a cached plan that reads the ledger is computed anew once the ledger was written
+    new = Scratch(spark).save(rows.dropDuplicates(["event_id"]).join(there.select("event_id"), "event_id", "left_anti").select("place", "payload_json"), "append")
+    new.select("place", F.col("payload_json").alias("value")).write.mode("append").partitionBy("place").text(f"{root.rstrip('/')}/devices")
+    return new.count()
