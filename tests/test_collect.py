@@ -73,36 +73,28 @@ def test_files_to_ledger_and_mappings(spark, tmp_path):
     ours, books = project("git.example/x/y"), project("xn--bcher-kva.example/Team/Repo")
     assert home.usage() == {(turn("a1"), 17): ours, (turn("a2"), 23): ours, (turn("b1"), 29): books}
 
-    assert home.collect().appended == 0  # file c is tried again, nothing is new
     write(home.logs, "c", session("fork", [("a1", 17), ("c1", 50)], forked_from_id="own", git={"repository_url": "ssh://git.example/x/y"}))
-    assert home.collect().appended == 1  # what the fork copied is known
+    assert home.collect().appended == 1  # file c is read again; what the fork copied is known
     assert home.cursors.count() == 3
-    done = home.collect()
-    assert (done.appended, home.outbox.where("flushed_at is null").count()) == (0, 0)
+    assert (home.collect().appended, home.outbox.where("flushed_at is null").count()) == (0, 0)
 
     # a turn to the other project, then that project to be the first one
-    rows, schema = [("turn", "a2", books)], "subject_type string, subject string, target_project_id string"
-    assert home.change(link, rows, schema).appended == 1
-    assert home.change(link, rows, schema).appended == 0  # as it is already
+    schema, pair = "subject_type string, subject string, target_project_id string", "source_project_id string, target_project_id string"
+    assert home.change(link, [("turn", "a2", books)], schema).appended == 1
     assert home.usage()[(turn("a2"), 23)] == books
-    pair = "source_project_id string, target_project_id string"
     assert home.change(alias, [(books, ours)], pair).appended == 1
     assert set(home.usage().values()) == {ours}
-    with pytest.raises(LedgerError):
-        home.change(alias, [(ours, books)], pair)
-    # a target goes through its alias; the thread is known to the inventory alone
-    idle = spark.createDataFrame([("idle",)], "thread_id string")
-    written = home.change(link, [("thread", "idle", books)], schema, threads=idle).mappings.first()
-    assert (written["target_project_id"], written["subject_id"], written["revision"]) == (ours, derive_one(KEY, "thread", "idle"), 1)
-    again = home.change(link, [("turn", turn("a2"), ours)], schema).mappings.first()
-    assert again["revision"] == 2
-
 
-@pytest.mark.parametrize("row", [("thread", "nobody", "known"), ("turn", "t1", "unknown"), ("project", "t1", "known"), ("thread", "thr_h1_short", "known")])
-def test_refused_links(spark, tmp_path, row):
-    home = Home(spark, tmp_path)
-    write(home.logs, "a", session("one", [("t1", 11)], git={"repository_url": "https://h.example/known"}))
-    home.collect()
+    # targets go through their alias; a thread may be known to the inventory alone
+    idle = spark.createDataFrame([("idle",)], "thread_id string")
+    written = home.change(link, [("thread", "idle", books), ("turn", turn("a2"), ours)], schema, threads=idle).mappings
+    found = {r["subject_id"]: (r["target_project_id"], r["revision"]) for r in written.collect()}
+    assert found == {derive_one(KEY, "thread", "idle"): (ours, 1), turn("a2"): (ours, 2)}
+
+    before = home.outbox.count()
+    for row in [("project", "a1", ours), ("thread", "thr_h1_short", ours), ("turn", "a1", project("nowhere"))]:
+        with pytest.raises(LedgerError):
+            home.change(link, [row], schema)
     with pytest.raises(LedgerError):
-        home.change(link, [(row[0], row[1], project(f"h.example/{row[2]}"))], "subject_type string, subject string, target_project_id string")
-    assert home.outbox.count() == 1
+        home.change(alias, [(ours, books)], pair)
+    assert home.outbox.count() == before
