@@ -1,7 +1,7 @@
 """Elias-Fano sequences and byte-quantised values in one flat file that numpy maps into memory.
 
 A sequence of n ascending integers below u keeps l = log2(u / n) low bits of each value packed, and the high
-bits in unary: value i sets bit (value >> l) + i. Counts of ones and zeros before each word serve select.
+bits in unary: value i sets bit (value >> l) + i. Counts of ones before each block of words serve select.
 All queries take arrays.
 """
 
@@ -12,18 +12,24 @@ import json
 import numpy as np
 
 U = np.uint64
+#: Words of the unary part for each count of ones.
+BLOCK = 4
+#: Position of the rank-th one of each byte.
+IN_BYTE = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little"), axis=1, kind="stable").astype(np.uint8)
 
 
 def select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Position of the rank-th (from 0) one in each word."""
-    words, rank, at = words.copy(), rank.astype(np.int64), np.zeros(len(words), dtype=np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(words & U((1 << width) - 1)).astype(np.int64)
-        up = rank >= ones
-        rank -= np.where(up, ones, 0)
-        words = np.where(up, words >> U(width), words)
-        at += np.where(up, width, 0)
-    return at
+    words, rank, at = words.copy(), rank.astype(np.uint8), np.zeros(len(words), dtype=np.uint8)
+    for width in (32, 16, 8):
+        ones = np.bitwise_count(words & U((1 << width) - 1))
+        up = (rank >= ones).astype(np.uint8)
+        rank -= ones * up
+        up *= width
+        words >>= up
+        at += up
+    at += IN_BYTE[(words & U(255)).astype(np.intp), rank & 7]
+    return at.astype(np.int64)
 
 
 def to_words(bits: np.ndarray, spare: int = 1) -> np.ndarray:
@@ -34,8 +40,8 @@ def to_words(bits: np.ndarray, spare: int = 1) -> np.ndarray:
 class EliasFano:
     """Parts are plain arrays, so that they can be views of a mapped file."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -51,17 +57,26 @@ class EliasFano:
         unary = np.zeros((int(place[-1]) if n else 0) + 2, dtype=np.uint8)
         unary[place] = 1
         high = to_words(unary, spare=0)
-        per_word = np.bitwise_count(high).astype(np.int64)
-        ones = np.concatenate([[0], np.cumsum(per_word)[:-1]]).astype(np.int64)
-        return cls(n, bits, low, high, ones, 64 * np.arange(len(high), dtype=np.int64) - ones)
+        high = np.pad(high, (0, -len(high) % BLOCK))
+        per_block = np.bitwise_count(high).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
+        return cls(n, bits, low, high, np.cumsum(per_block) - per_block)
+
+    def select(self, i: np.ndarray, before: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Position of the i-th one of the unary part, its words taken xor flip; before: ones before each block."""
+        block = np.searchsorted(before, i, side="right") - 1
+        rank, w = i - before[block], block * BLOCK
+        for _ in range(BLOCK - 1):
+            ones = np.bitwise_count(self.high[w] ^ flip)
+            up = rank >= ones
+            rank -= ones * up
+            w += up
+        return 64 * w + select_in_word(self.high[w] ^ flip, rank)
 
     def select1(self, i: np.ndarray) -> np.ndarray:
-        w = np.searchsorted(self.ones, i, side="right") - 1
-        return 64 * w + select_in_word(self.high[w], i - self.ones[w])
+        return self.select(i, self.ones, U(0))
 
     def select0(self, i: np.ndarray) -> np.ndarray:
-        w = np.searchsorted(self.zeros, i, side="right") - 1
-        return 64 * w + select_in_word(~self.high[w], i - self.zeros[w])
+        return self.select(i, 64 * BLOCK * np.arange(len(self.ones), dtype=np.int64) - self.ones, ~U(0))
 
     def low_at(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -77,7 +92,7 @@ class EliasFano:
     def successor(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first element >= value or n, whether it is equal)."""
         high = np.minimum(values >> U(self.low_bits), U(1 << 62)).astype(np.int64)
-        last = int(self.zeros[-1]) + int(64 - np.bitwise_count(self.high[-1])) - 1  # zeros that can be asked for
+        last = 64 * len(self.high) - self.n - 1  # zeros that can be asked for
         lo = np.where(high > 0, self.select0(np.clip(high - 1, 0, last)) - np.clip(high - 1, 0, last), 0)
         hi = np.minimum(self.select0(np.clip(high, 0, last)) - np.clip(high, 0, last), self.n)
         lo = np.where(high > last, self.n, np.minimum(lo, self.n))
@@ -96,12 +111,12 @@ class EliasFano:
         return lo, equal
 
     def parts(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.{k}": v for k, v in (("shape", np.array([self.n, self.low_bits], dtype=np.int64)), ("low", self.low), ("high", self.high), ("ones", self.ones), ("zeros", self.zeros))}
+        return {f"{name}.{k}": v for k, v in (("shape", np.array([self.n, self.low_bits], dtype=np.int64)), ("low", self.low), ("high", self.high), ("ones", self.ones))}
 
     @classmethod
     def of(cls, parts: dict[str, np.ndarray], name: str) -> EliasFano:
         n, bits = parts[f"{name}.shape"].tolist()
-        return cls(n, bits, *[parts[f"{name}.{k}"] for k in ("low", "high", "ones", "zeros")])
+        return cls(n, bits, *[parts[f"{name}.{k}"] for k in ("low", "high", "ones")])
 
 
 def quantise(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:

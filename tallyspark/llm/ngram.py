@@ -52,8 +52,9 @@ SHARD_BYTES, MOST_SHARDS_LOG2 = 16_000_000, 16
 HOME_BITS = 8
 #: Tokens that a task counts, or scores, at once. Three numbers below COUNT_TOKENS + 4 fit into 64 bits.
 COUNT_TOKENS, SCORE_TOKENS = 2_000_000, 1_000_000
-#: Bits of a word's hash: in contexts (two of a billion words may be one there), and relative to a context.
-WORD_BITS, SUCCESSOR_BITS = 60, 36
+#: Bits of a word's hash: in contexts (a hundred pairs of a billion words may be one there), and relative to a
+#: context (a word that never followed it is taken for one of its n followers with probability n / 2 ** 32).
+WORD_BITS, SUCCESSOR_BITS = 52, 32
 CACHE = 400_000
 NONE = np.uint32(0xFFFFFFFF)
 END = xxhash.xxh3_64_intdigest(b"")  # no word is empty
@@ -316,7 +317,7 @@ class Model:
 
     def shards(self, names: dict[int, str], shard: np.ndarray) -> Iterator[tuple[dict, np.ndarray]]:
         """Shards, and which of the questions go to them."""
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16), kind="stable")  # MOST_SHARDS_LOG2 bits, which sort by counting
         cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             part = self.part(names, int(shard[order[lo]]))
