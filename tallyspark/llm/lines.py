@@ -25,8 +25,8 @@ from ._work import Workspace, small, table
 THRESHOLD = 0.8
 #: Buckets of the count sketch, which comes to the driver and goes into plans: so many bytes, whatever the input.
 SKETCH_LOG2 = 17
-#: Words of a line that holds no separator but blanks; cutting at one character is much faster than at a pattern.
-WORDS = "array_remove(split(lower(line), ' '), '')"
+#: Hashes of the words of a line that holds no separator but blanks, each once; cutting at one character is much faster than at a pattern.
+WORDS = "array_remove(array_distinct(transform(split(lower(line), ' '), w -> xxhash64(w))), xxhash64(''))"
 #: Separators of words other than blanks (a line break ends a line).
 OTHERS = "\t\x0b\x0c\r"
 CLASS = ["k", "even", "odd", "n"]
@@ -63,15 +63,19 @@ def rarity_sketch(docs: DataFrame, text_col: str) -> list[int]:
 def encode_lines(lines: DataFrame, sketch: list[int], threshold: float) -> DataFrame:
     """Lines with words: id, th, line_no, class key (k, even, odd, n), prefix (ints, rarest first) and two group keys."""
     mask, flip = (1 << SKETCH_LOG2) - 1, 6364136223846793005
-    hashed = lines.select(*PLACE, F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("h"))
+    hashed = lines.select(*PLACE, F.expr(WORDS).alias("h"))
     # the sketch is a literal inside the expression, folded once; as a column it would be copied into every row
     codes = F.from_json(F.lit(json.dumps(sketch, separators=(",", ":"))), "array<tinyint>")
-    ranked = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.get(codes, x.bitwiseAND(F.lit(mask)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
+    # no code is null, which coalesce tells the sort: it then sorts plain longs
+    ranked = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.coalesce(F.get(codes, x.bitwiseAND(F.lit(mask)).cast("int")), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
     tokens = hashed.select(*PLACE, "h", ranked.alias("t"), F.size("h").alias("n"), F.transform("h", lambda x: x.bitwiseXOR(F.lit(flip))).alias("g"))
+    tokens = tokens.withColumn("all", F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))"))
+    tokens = tokens.withColumn("even", F.expr("aggregate(h, 0L, (a, x) -> if((x & 1L) = 0L, a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)), a))"))
     return tokens.select(
         *PLACE,
         F.xxhash64("t").alias("k"),
-        *[F.expr(f"aggregate(h, 0L, (a, x) -> if((x & 1) = {i}, a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)), a))").alias(c) for i, c in enumerate(BITS)],
+        "even",
+        F.col("all").bitwiseXOR(F.col("even")).alias("odd"),
         "n",
         F.expr(f"transform(slice(t, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
         F.xxhash64(F.array_min("h"), F.array_max("h")).alias("group1"),
@@ -79,9 +83,9 @@ def encode_lines(lines: DataFrame, sketch: list[int], threshold: float) -> DataF
     )
 
 
-def fits(a: str, b: str, threshold: float) -> Column:
-    """Whether parity bitmaps and sizes of sides a and b leave the threshold in reach."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+def fits(a: str, b: str, threshold: float, sizes: list[Column] | None = None) -> Column:
+    """Whether parity bitmaps and sizes (columns n if not given) of sides a and b leave the threshold in reach."""
+    n, m = sizes or (F.col(f"{a}.n"), F.col(f"{b}.n"))
     most = (n + m) * ((1 - threshold) / (1 + threshold)) + 1e-9  # words in one of the sets only, at most
     apart = [F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITS]
     return (apart[0] <= most) & (apart[0] + apart[1] <= most) & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9)
@@ -115,7 +119,7 @@ def words_at(places: DataFrame, docs: DataFrame, work: Workspace, name: str, id_
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
     found = texts.join(small(wanted), same).select("id", "th", F.explode("wanted").alias("x"), F.split(blanks(F.col("text")), "\n").alias("lines"))
     line = found.select("x.r", F.struct("id", "th", "x.line_no").alias("place"), F.get("lines", F.col("x.line_no")).alias("line"))
-    words = line.select("r", "place", F.expr(f"array_distinct(transform({WORDS}, w -> xxhash64(w)))").alias("words"))
+    words = line.select("r", "place", F.expr(WORDS).alias("words"))
     words = work.save(words, f"{name}-words")
     return words if words.count() == places.count() else words.dropDuplicates(["r"])  # rows that repeat id and text
 
@@ -143,17 +147,24 @@ def settled_first(reps: DataFrame, docs: DataFrame, work: Workspace, threshold:
 
 
 def joined_prefixes(reps: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes whose prefixes share a word and that may reach the threshold, not both settled."""
+    """Pairs (a, b) of classes whose prefixes share a word and that may reach the threshold, not both settled.
+
+    Two sets that reach it share 2 t / (1 + t) of the smaller one's words at least, so of the smaller set a prefix
+    of half the length does ("short"). Of equal sizes both short prefixes share a word, so either may be the smaller."""
     marked = reps.select("r", *BITS, "n", "prefix").join(small(settled.withColumn("settled", F.lit(1))), "r", "left")
-    # one narrow row for each word of a prefix: n, place in the order and state share a long
-    meta = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.coalesce("settled", F.lit(0)).cast("long"))
-    packed = marked.select("r", *BITS, "n", "settled", F.posexplode("prefix").alias("pos", "word")).select("word", "r", *BITS, meta.alias("meta"))
-    parts = {"n": F.shiftright("meta", 32), "pos": F.shiftright(F.col("meta").bitwiseAND(F.lit(0xFFFFFFFE)), 1), "done": F.col("meta").bitwiseAND(F.lit(1))}
-    s, l = packed.withColumns(parts).alias("s"), packed.withColumns(parts).alias("l")  # noqa: E741
-    reach = F.least(F.col("s.n") - F.col("s.pos"), F.col("l.n") - F.col("l.pos")) >= threshold / (1 + threshold) * (F.col("s.n") + F.col("l.n")) - 1e-9
-    once = (F.col("s.r") < F.col("l.r")) & (F.col("s.done") + F.col("l.done") < 2)
-    met = s.join(l, (F.col("s.word") == F.col("l.word")) & once & fits("s", "l", threshold) & reach)
-    return met.select(F.col("s.r").alias("a"), F.col("l.r").alias("b")).distinct()
+    # one narrow row for each word of a prefix: n, place in the order, short and state share a long, taken apart in
+    # the join only, so that both sides are one exchange
+    short = F.col("pos") < F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - 1e-9) + 1
+    parts = [F.shiftleft(F.col("n").cast("long"), 32), F.shiftleft(F.col("pos").cast("long"), 2), F.when(short, 2).otherwise(0), F.coalesce("settled", F.lit(0))]
+    packed = marked.select("r", *BITS, "n", "settled", F.posexplode("prefix").alias("pos", "word")).select("word", "r", *BITS, sum(parts).cast("long").alias("meta"))
+    s, l = packed.alias("s"), packed.alias("l")  # noqa: E741
+    meta, r, n, rest = ([f(x) for x in "sl"] for f in (lambda x: F.col(f"{x}.meta"), lambda x: F.col(f"{x}.r"), lambda x: F.shiftright(f"{x}.meta", 32), lambda x: F.shiftright(f"{x}.meta", 32) - F.shiftright(F.col(f"{x}.meta").bitwiseAND(F.lit(0xFFFFFFFF)), 2)))
+    once = (meta[0] < meta[1]) | ((meta[0] == meta[1]) & (r[0] < r[1]))
+    # short and not both settled, as one term of both sides: a term of one side would part the exchanges
+    asked = meta[0].bitwiseAND(F.lit(3)).bitwiseXOR(F.lit(2)) + meta[1].bitwiseAND(F.lit(1)) < 2
+    reach = F.least(*rest) >= threshold / (1 + threshold) * (n[0] + n[1]) - 1e-9
+    met = s.join(l, (F.col("s.word") == F.col("l.word")) & once & asked & fits("s", "l", threshold, n) & reach)
+    return met.select(F.least(*r).alias("a"), F.greatest(*r).alias("b")).distinct()
 
 
 def removed_classes(docs: DataFrame, reps: DataFrame, work: Workspace, threshold: float, id_col: str, text_col: str) -> DataFrame:
