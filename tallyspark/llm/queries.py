@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, lines, mixing, neardup, ngram, quality, sharding, toxicity
+from . import centroids, chat, decontaminate, embeddings, lines, mixing, neardup, ngram, quality, sharding, toxicity
 
 QUERIES = {
     "op1_lm_scoring": ngram.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_toxicity": toxicity.query,
     "op10_quality": quality.query,
+    "op12_centroid_clustering": centroids.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": lines.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op12_centroid_clustering": centroids.SQL,
 }
