@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat, decontaminate, embeddings, lines, mixing, neardup, ngram, quality, sharding, toxicity
+from . import centroids, chat, decontaminate, embeddings, lines, mixing, neardup, ngram, pieces, quality, sharding, toxicity
 
 QUERIES = {
     "op1_lm_scoring": ngram.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_quality": quality.query,
     "op12_centroid_clustering": centroids.query,
+    "op13_sentencepiece": pieces.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
