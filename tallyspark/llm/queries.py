@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat, decontaminate, embeddings, lines, mixing, neardup, ngram, pieces, quality, sharding, toxicity
+from . import centroids, chat, decontaminate, embeddings, lines, mixing, neardup, ngram, phrases, pieces, quality, sharding, toxicity
 
 QUERIES = {
     "op1_lm_scoring": ngram.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.query,
     "op9_toxicity": toxicity.query,
     "op10_quality": quality.query,
+    "op11_phrases": phrases.query,
     "op12_centroid_clustering": centroids.query,
     "op13_sentencepiece": pieces.query,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op6_line_dedup": lines.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op11_phrases": phrases.SQL,
     "op12_centroid_clustering": centroids.SQL,
 }
