@@ -348,13 +348,20 @@ def decode(m: Model, ids: np.ndarray) -> bytes:
     said = np.flatnonzero(kinds != 2)
     if m.dummy and len(said) and kinds[said[0]] == 0 and parts[said[0]].startswith(b" "):
         parts[said[0]] = parts[said[0]][1:]
-    joined = b"".join(parts)
+    control = np.flatnonzero(kinds == 2)
+    if not len(control):
+        return readable(b"".join(parts))
+    edges = [0, *(control + 1).tolist(), len(parts)]  # bytes before and after such an id are no character together
+    return b"".join(readable(b"".join(parts[lo:hi])) for lo, hi in zip(edges[:-1], edges[1:], strict=True))
+
+
+def readable(text: bytes) -> bytes:
     try:
-        joined.decode()
-    except UnicodeDecodeError:  # not from encode(): runs of bytes stand alone
+        text.decode()
+    except UnicodeDecodeError:  # not from encode()
         codecs.register_error("tallyspark-bytes", _byte_by_byte)
-        return joined.decode("utf-8", errors="tallyspark-bytes").encode()
-    return joined
+        return text.decode("utf-8", errors="tallyspark-bytes").encode()
+    return text
 
 
 def encode_documents(docs: DataFrame, *, model: str) -> DataFrame:
