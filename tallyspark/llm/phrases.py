@@ -32,7 +32,9 @@ from ._work import UPPER, Workspace, small, table
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bytes of text of a unit: larger ones repeat fewer entries between units, and a task holds a few of them.
-UNIT_BYTES = 16 << 20
+UNIT_BYTES = 8 << 20
+#: Rows that leave a task at a time.
+SLICE = 1 << 16
 #: Parts in which a language's best phrases are found before its ranks are given.
 PARTS = 64
 BREAKS = b".,;:!?\x0b\x0c\r"
@@ -90,7 +92,7 @@ def cut_units(batches: Iterator[pa.RecordBatch], most: int = UNIT_BYTES) -> Iter
             sizes[lang] = sizes.get(lang, 0) + len(text)
             if sizes[lang] >= most:
                 yield unit(lang)
-            elif sum(sizes.values()) >= 4 * most:
+            elif sum(sizes.values()) >= 2 * most:
                 yield unit(max(sizes, key=sizes.__getitem__))
     for lang in list(held):
         yield unit(lang)
@@ -104,8 +106,11 @@ def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
             key, n = np.unique(c[here] << 32 | c[here + 1], return_counts=True)
             names = ids.values.to_numpy()
-            columns = [np.full(len(key), unit), key, names[key >> 32], names[key & 0xFFFFFFFF], n]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["unit", "key", "first", "last", "n"])
+            del c, here
+            for k in range(0, len(key), SLICE):
+                part = key[k : k + SLICE]
+                columns = [np.full(len(part), unit), part, names[part >> 32], names[part & 0xFFFFFFFF], n[k : k + SLICE]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["unit", "key", "first", "last", "n"])
 
 
 def renamed(pairs: bool):
