@@ -13,6 +13,7 @@ from ..functions.text import logical_key
 from ..schemas import COUNTERS
 from ..work import Scratch
 from .graph import cycle_nodes, terminals
+from .scan import Running, scan, split_of
 
 
 def consistent(counts: Column) -> Column:
@@ -20,13 +21,17 @@ def consistent(counts: Column) -> Column:
     return counts["input_tokens"] + counts["output_tokens"] == counts["total_tokens"]
 
 
-def calculate_deltas(checkpoints: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+def calculate_deltas(checkpoints: DataFrame, seeds: DataFrame | None = None, split_rows: int | None = None) -> DataFrame:
     """Adds delta (null struct where the total fell) and flags (sorted). Files are read by record_index.
 
-    seeds(file, seed): counters that precede the first record of a file.
+    seeds(file, seed): counters that precede the first record of a file. split_rows: a task holds so many record
+    numbers of a file at most, and checkpoints (a saved table) is read twice; without it, a file is one task's.
     """
-    order = Window.partitionBy("file").orderBy("record_index")
-    rows = checkpoints.withColumn("previous", F.lag("cumulative").over(order))
+    if split_rows is None:
+        rows = checkpoints.withColumn("previous", F.lag("cumulative").over(Window.partitionBy("file").orderBy("record_index")))
+    else:
+        numbered = checkpoints.withColumn("split__", split_of(F.col("record_index"), split_rows))
+        rows = scan(numbered, {"previous": Running("last", F.col("cumulative"), before=True)}, key=["file"], split="split__", order="record_index").drop("split__")
     if seeds is not None:
         rows = rows.join(seeds.select("file", "seed"), "file", "left").withColumn("previous", F.coalesce("previous", "seed")).drop("seed")
     c, p = F.col("cumulative"), F.col("previous")

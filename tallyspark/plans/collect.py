@@ -18,8 +18,9 @@ from ..operators.encode import encode_usage, source_ids
 from ..operators.graph import build_lineage, roots
 from ..operators.lifecycle import calculate_deltas, deduplicate_events, fork_conflicts, fork_depths
 from ..operators.replay import require_empty
+from ..operators.scan import SPLIT_ROWS
 from ..sources.ledger import append_events, read_ledger, relative_path, to_events
-from ..sources.rollouts import Parsed, changed, discover, parse_rollouts, record_lines
+from ..sources.rollouts import Parsed, changed, discover, folders, parse_rollouts, read_lines
 from ..sources.state import enqueue, known_source_ids, mark_flushed, merge_cursors
 from ..work import Scratch
 
@@ -80,10 +81,10 @@ def self_remotes(metadata: DataFrame, inventory: DataFrame | None, probed: DataF
 def collect(spark: SparkSession, lines: DataFrame, evidence: DataFrame, *, key: bytes, device_id: str, parser_version: str = "1", inventory: DataFrame | None = None, edges: DataFrame | None = None, local: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, Parsed]:
     """(new ledger events with payload_json, what the parser found). evidence: repository table; known(source_event_id)."""
     work = Scratch(spark)
-    parsed = parse_rollouts(lines)
+    parsed = parse_rollouts(lines, work)
     metadata = work.save(parsed.metadata, "metadata")
     checkpoints = work.save(parsed.checkpoints, "checkpoints")
-    events = work.save(calculate_deltas(checkpoints), "deltas")
+    events = work.save(calculate_deltas(checkpoints, split_rows=SPLIT_ROWS), "deltas")
     require_empty(fork_conflicts(events), "copies of one event differ")
     unique = deduplicate_events(events, fork_depths(metadata, work)).withColumn("checkpoint", F.to_json("logical_key"))
     unique = work.save(unique, "unique")
@@ -129,13 +130,13 @@ def collect_files(spark: SparkSession, home: str, ledger_root: str, evidence: Da
     options: see collect.
     """
     work = Scratch(spark)
-    found = work.save(discover(spark, home), "files")  # logs grow while they are read: all steps see one state of them
+    found = work.save(discover(spark, home), "files")  # sizes and times only
     sources = found.select("file", "source_id", "size", "modified")
     nothing = spark.createDataFrame([], "source_id string, record_index int, code string")
     if changed(sources, cursors).isEmpty():
         outbox, n = flush(spark, ledger_root, outbox, key=key, device_id=device_id, work=work)
         return Collected(outbox, cursors, nothing, nothing, n)
-    lines = work.save(record_lines(found), "lines")
+    lines = work.save(read_lines(spark, *[path for _, path in folders(spark, home)], work=work).join(sources.select("file"), "file", "left_semi"), "numbered")
     ledger, torn = read_ledger(spark, ledger_root)
     require_empty(torn, "ledger files with a torn last line")
     known = ledger.where("event_type = 'usage_checkpoint'").select("source_event_id").union(known_source_ids(outbox)).distinct()

@@ -1,8 +1,8 @@
 """Session logs ("rollouts"): discovery, changed files, and the record parser as window expressions.
 
 A log is JSON lines. What a record means depends on the records before it (current turn, operation, model), so
-the parser carries values forward with windows over (file, record_index); there is no per-row Python but for the
-recursive search of tool inputs for working directories.
+the parser carries values forward, over splits of a log (see operators/scan), so that a log of any length is many
+tasks; there is no per-row Python but for the recursive search of tool inputs for working directories.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_instant
+from ..operators.scan import SPLIT_ROWS, Running, scan, split_of
 from ..schemas import COUNTERS
+from ..work import Scratch
 
 # Fixed values of the log format.
 FOLDERS = ("sessions", "archived_sessions")
@@ -34,21 +36,23 @@ class Parsed(NamedTuple):
     fatal: DataFrame
 
 
-def discover(spark: SparkSession, home: str) -> DataFrame:
-    """All logs below home: file, source_id, priority (0 active, 1 archived), size, modified, text."""
-    frames = []
+def folders(spark: SparkSession, home: str) -> list[tuple[int, str]]:
+    out = []
     for priority, folder in enumerate(FOLDERS):
         path = f"{home.rstrip('/')}/{folder}"
         files = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not files.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(files):
-            continue
-        rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
-        frames.append(rows.select(F.col("_metadata.file_path").alias("file"), F.lit(priority).alias("priority"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text")))
-    if not frames:
-        return spark.sql("SELECT '' AS file, '' AS source_id, 0 AS priority, 0L AS size, current_timestamp() AS modified, '' AS text WHERE false")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+        if files.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(files):
+            out.append((priority, path))
+    return out
+
+
+def discover(spark: SparkSession, home: str) -> DataFrame:
+    """All logs below home: file, source_id, priority (0 active, 1 archived), size, modified. No text is read: of binary
+    files only what the listing knows is asked for."""
+    out = spark.createDataFrame([], "file string, priority int, size long, modified timestamp")
+    for priority, path in folders(spark, home):
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(path)
+        out = out.unionByName(rows.select(F.col("_metadata.file_path").alias("file"), F.lit(priority).alias("priority"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
     return out.withColumn("source_id", F.sha2("file", 256))
 
 
@@ -57,10 +61,24 @@ def changed(files: DataFrame, cursors: DataFrame) -> DataFrame:
     return files.join(cursors.select("source_id", "size", "modified"), ["source_id", "size", "modified"], "left_anti")
 
 
-def record_lines(files: DataFrame) -> DataFrame:
-    """(file, record_index from 1, line) up to the last line feed; a torn last line waits for the next read."""
-    whole = F.when(F.contains("text", F.lit("\n")), F.regexp_replace("text", r"\n[^\n]*\z", ""))
-    return files.select("file", F.posexplode(F.split(whole, "\n")).alias("at", "line")).select("file", (F.col("at") + 1).alias("record_index"), "line")
+def read_lines(spark: SparkSession, *paths: str, work: Scratch, pattern: str = "*.jsonl") -> DataFrame:
+    """(file, record_index from 1, line) of the files below the paths, up to the last line feed; a torn last line waits for
+    the next read.
+
+    A file of any size is read by as many tasks as it has blocks. A task numbers the lines of a block as it reads
+    them; the numbers of lines of the blocks before come from one small table. Whether the last line is whole follows
+    from the bytes of all lines and the size of the file (a byte-order mark, which the reader drops, has three).
+    """
+    rows = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(list(paths))
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    rows = work.save(rows, "lines")
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size"))
+    before = Window.partitionBy("file").orderBy("block")
+    whole = Window.partitionBy("file")
+    over = F.sum("bytes").over(whole) - F.col("size")
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), (F.sum("n").over(whole) - F.when((over > 0) | (over == -2), 1).otherwise(0)).alias("last"))
+    found = rows.join(blocks, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("record_index"), "line", "last")
+    return found.where(F.col("record_index") <= F.col("last")).drop("last")
 
 
 def text_at(doc: Column, path: str) -> Column:
@@ -140,74 +158,113 @@ def source_of(doc: Column) -> Column:
     return F.struct(F.when(plain.isin(*PLAIN_SOURCES), plain).when(sub, kind).otherwise("unknown").alias("kind"), F.when(sub, parent).alias("parent"))
 
 
-def parse_rollouts(lines: DataFrame) -> Parsed:
-    """lines(file, record_index, line) -> metadata, checkpoints, issues, and (file, record_index, code) of what
-    makes a whole file unusable; such files give no rows elsewhere."""
+def typed_records(lines: DataFrame, split_rows: int) -> DataFrame:
+    """lines(file, record_index, line) as plain columns: all that the parser asks of a record, from one look at its JSON."""
     doc = F.col("doc")
     kind, event = F.col("type"), F.col("event")
-    rows = lines.withColumn("doc", F.try_parse_json("line"))
+    rows = lines.select("file", F.col("record_index").cast("long").alias("record_index"), F.try_parse_json("line").alias("doc"))
     rows = rows.withColumns({"type": text_at(doc, "$.type"), "event": text_at(doc, "$.payload.type")})
-    started, ended, context = ((kind == "event_msg") & (event == "task_started")), ((kind == "event_msg") & (event == "task_complete")), kind == "turn_context"
-    turn = text_at(doc, "$.payload.turn_id")
+    message, item = kind == "event_msg", kind == "response_item"
     effort = F.when(kind_at(doc, "$.payload.effort").isNull(), text_at(doc, "$.payload.reasoning_effort")).otherwise(text_at(doc, "$.payload.effort"))
+    info, total, last = "$.payload.info", "$.payload.info.total_token_usage", "$.payload.info.last_token_usage"
+    is_count = F.coalesce(message & (event == "token_count"), F.lit(False))
+    git = lambda f: text_at(doc, f"$.payload.git.{f}")
+    thread = text_at(doc, "$.payload.id")
+    fields = {
+        "thread_id": thread,
+        "root_session_id": F.coalesce(text_at(doc, "$.payload.session_id"), thread),
+        "forked_from": text_at(doc, "$.payload.forked_from_id"),
+        "source": source_of(doc),
+        "cli_version": text_at(doc, "$.payload.cli_version"),
+        "cwd": text_at(doc, "$.payload.cwd"),
+        "git_repository_url": git("repository_url"),
+        "git_branch": git("branch"),
+        "git_commit_hash": git("commit_hash"),
+    }
+    raw = F.when(kind_at(doc, "$.payload.input").isNull(), F.variant_get(doc, "$.payload.arguments", "variant")).otherwise(F.variant_get(doc, "$.payload.input", "variant"))
+    ran = message & event.isin("item_started", "item_completed") & text_at(doc, "$.payload.item.type").isin(*COMMANDS)
+    no = lambda test: F.coalesce(test, F.lit(False))
+    return rows.select(
+        "file",
+        "record_index",
+        split_of(F.col("record_index"), split_rows).alias("split"),
+        no(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT"))).alias("is_object"),
+        no(kind == "session_meta").alias("is_meta"),
+        no(message & (event == "task_started")).alias("started"),
+        no(message & (event == "task_complete")).alias("ended"),
+        no(kind == "turn_context").alias("is_context"),
+        no(kind == "compacted").alias("compacted"),
+        F.when(message | (kind == "turn_context"), text_at(doc, "$.payload.turn_id")).alias("own_turn"),
+        F.when(kind == "turn_context", F.struct(text_at(doc, "$.payload.model").alias("model"), effort.alias("effort"))).alias("own_context"),
+        F.when(kind == "session_meta", F.struct(*[v.alias(k) for k, v in fields.items()])).alias("meta"),
+        is_count.alias("is_count"),
+        is_object(doc, info).alias("has_info"),
+        is_object(doc, total).alias("has_total"),
+        F.when(is_count, bad_counts(doc, total) | bad_counts(doc, last)).alias("bad_counts"),
+        F.when(is_count, counts_at(doc, total)).alias("cumulative"),
+        F.when(is_count, counts_at(doc, last)).alias("reported_last"),
+        F.when(is_count, any_instant(text_at(doc, "$.timestamp"))).alias("occurred_ts"),
+        F.when(item & event.isin("custom_tool_call", "function_call"), F.to_json(raw)).alias("tool"),
+        F.when(item & event.isin(*COMMANDS), text_at(doc, "$.payload.cwd")).when(ran, text_at(doc, "$.payload.item.cwd")).alias("command_dir"),
+    )
+
+
+def with_state(typed: DataFrame, work: Scratch) -> DataFrame:
+    """Records with what those before them set: turn_id, segment, context, operation, metas (session_meta records
+    before). Two scans, as whether a record starts a segment depends on the turn before it."""
+    by = {"key": ["file"], "split": "split", "order": "record_index"}
     none = F.lit(None).cast("string")
-    order = Window.partitionBy("file").orderBy("record_index")
-    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    sets_turn = F.when(ended, F.struct(none.alias("id"))).when(started | (context & turn.isNotNull()), F.struct(turn.alias("id")))
-    rows = rows.withColumn("sets", F.coalesce(sets_turn))
-    was = F.last("sets", ignorenulls=True).over(before)["id"]
-    rows = rows.withColumn("boundary", F.coalesce(started | ended | (context & turn.isNotNull() & ~turn.eqNullSafe(was)), F.lit(False)))
-    sets_model = F.when(started | ended, F.struct(none.alias("model"), none.alias("effort"))).when(context, F.struct(text_at(doc, "$.payload.model").alias("model"), effort.alias("effort")))
-    sets_operation = F.when(F.col("boundary") & ended, "unknown").when(F.col("boundary"), "turn").when(kind == "compacted", "compact")
+    names_turn = F.col("is_context") & F.col("own_turn").isNotNull()
+    sets = F.when(F.col("ended"), F.struct(none.alias("id"))).when(F.col("started") | names_turn, F.struct(F.col("own_turn").alias("id")))
+    rows = scan(typed, {"was": Running("last", sets, before=True), "now": Running("last", sets)}, **by)
+    boundary = F.col("started") | F.col("ended") | (names_turn & ~F.col("own_turn").eqNullSafe(F.col("was.id")))
+    rows = work.save(rows.withColumns({"turn_id": F.col("now.id"), "boundary": boundary}).drop("was", "now", "own_turn"), "turns")
+    context = F.when(F.col("started") | F.col("ended"), F.struct(none.alias("model"), none.alias("effort"))).otherwise(F.col("own_context"))
+    operation = F.when(F.col("boundary") & F.col("ended"), "unknown").when(F.col("boundary"), "turn").when(F.col("compacted"), "compact")
     state = {
-        "turn_id": F.last("sets", ignorenulls=True).over(upto)["id"],
-        "segment": F.sum(F.col("boundary").cast("int")).over(upto),
-        "context": F.last(sets_model, ignorenulls=True).over(upto),
-        "operation": F.coalesce(F.last(sets_operation, ignorenulls=True).over(upto), F.lit("unknown")),
-        "has_meta": F.coalesce(F.max((kind == "session_meta").cast("int")).over(upto) == 1, F.lit(False)),
+        "segment": Running("sum", F.col("boundary").cast("long")),
+        "context": Running("last", context),
+        "operation": Running("last", operation),
+        "metas": Running("sum", F.col("is_meta").cast("long"), before=True),
     }
-    rows = rows.withColumns(state)
+    rows = scan(rows, state, **by).withColumn("operation", F.coalesce("operation", F.lit("unknown")))
+    return work.save(rows.drop("started", "ended", "is_context", "compacted", "own_context", "boundary"), "state")
 
-    # token counts
-    info, total, last = "$.payload.info", "$.payload.info.total_token_usage", "$.payload.info.last_token_usage"
-    is_count = (kind == "event_msg") & (event == "token_count")
-    has_info, has_total = is_object(doc, info), is_object(doc, total)
-    emitted = F.coalesce(is_count, F.lit(False)) & has_info & has_total
-    at = any_instant(text_at(doc, "$.timestamp"))
+
+def parse_rollouts(lines: DataFrame, work: Scratch | None = None, split_rows: int = SPLIT_ROWS) -> Parsed:
+    """lines(file, record_index, line) -> metadata, checkpoints, issues, and (file, record_index, code) of what
+    makes a whole file unusable; such files give no rows elsewhere. A task reads split_rows records of a log at most."""
+    work = work or Scratch(lines.sparkSession)
+    rows = with_state(work.save(typed_records(lines, split_rows), "typed"), work)
+    is_count, has_meta = F.col("is_count"), F.col("is_meta") | (F.col("metas") > 0)
+    emitted = is_count & F.col("has_info") & F.col("has_total")
     fatal = (
-        F.when(~F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False)), "record")
-        .when((kind == "session_meta") & (F.row_number().over(Window.partitionBy("file", "type").orderBy("record_index")) == 1) & text_at(doc, "$.payload.id").isNull(), "session_meta")
-        .when(is_count & ~F.col("has_meta"), "token_count_before_session_meta")
-        .when(emitted & (bad_counts(doc, total) | bad_counts(doc, last)), "counter")
-        .when(emitted & counts_at(doc, total)["total_tokens"].isNull(), "total_missing")
-        .when(emitted & at.isNull(), "timestamp")
+        F.when(~F.col("is_object"), "record")
+        .when(F.col("is_meta") & (F.col("metas") == 0) & F.col("meta.thread_id").isNull(), "session_meta")
+        .when(is_count & ~has_meta, "token_count_before_session_meta")
+        .when(emitted & F.col("bad_counts"), "counter")
+        .when(emitted & F.col("cumulative.total_tokens").isNull(), "total_missing")
+        .when(emitted & F.col("occurred_ts").isNull(), "timestamp")
     )
-    issue = F.when(is_count & ~has_info, "token_count_without_info").when(is_count & ~has_total, "token_count_without_total_usage").when(emitted & F.col("turn_id").isNull(), "token_count_without_turn")
-    rows = rows.withColumns({"fatal": fatal, "issue": issue, "emitted": emitted})
-    broken = rows.where("fatal is not null").select("file", "record_index", F.col("fatal").alias("code"))
-    bare = rows.groupBy("file").agg(F.max("has_meta").alias("m")).where("not m").select("file", F.lit(1).alias("record_index"), F.lit("no_session_meta").alias("code"))
-    broken = broken.unionByName(bare)
+    issue = F.when(is_count & ~F.col("has_info"), "token_count_without_info").when(is_count & ~F.col("has_total"), "token_count_without_total_usage").when(emitted & F.col("turn_id").isNull(), "token_count_without_turn")
+    broken = rows.select("file", "record_index", fatal.alias("code")).where("code is not null")
+    bare = rows.groupBy("file").agg(F.max("is_meta").alias("m")).where("not m").select("file", F.lit(1).cast("long").alias("record_index"), F.lit("no_session_meta").alias("code"))
+    broken = work.save(broken.unionByName(bare), "broken")
     good = rows.join(broken.select("file").distinct(), "file", "left_anti")
 
-    git = lambda f: text_at(doc, f"$.payload.git.{f}")
-    thread = text_at(doc, "$.payload.id")
-    fields = {"thread_id": thread, "root_session_id": F.coalesce(text_at(doc, "$.payload.session_id"), thread), "forked_from": text_at(doc, "$.payload.forked_from_id"), "source": source_of(doc), "cli_version": text_at(doc, "$.payload.cli_version"), "cwd": text_at(doc, "$.payload.cwd"), "git_repository_url": git("repository_url"), "git_branch": git("branch"), "git_commit_hash": git("commit_hash")}
-    metadata = good.where("type = 'session_meta'").groupBy("file").agg(F.min_by(F.struct(*[v.alias(k) for k, v in fields.items()]), "record_index").alias("m")).select("file", "m.*")
+    metadata = good.where("is_meta").groupBy("file").agg(F.min_by("meta", "record_index").alias("m")).select("file", "m.*")
     metadata = metadata.withColumns({"source_kind": F.col("source.kind"), "source_parent_thread_id": F.col("source.parent")}).drop("source")
 
     # working directories of the whole turn
-    item = lambda p: text_at(doc, p)
-    raw = F.when(kind_at(doc, "$.payload.input").isNull(), F.variant_get(doc, "$.payload.arguments", "variant")).otherwise(F.variant_get(doc, "$.payload.input", "variant"))
-    tool = F.when((kind == "response_item") & event.isin("custom_tool_call", "function_call"), F.to_json(raw))
-    own = F.when((kind == "response_item") & event.isin(*COMMANDS), item("$.payload.cwd")).when((kind == "event_msg") & event.isin("item_started", "item_completed") & item("$.payload.item.type").isin(*COMMANDS), item("$.payload.item.cwd"))
-    told = good.where("turn_id is not null").select("file", "turn_id", tool.alias("tool"), own.alias("own")).where("tool is not null or own is not null")
-    found = told.select("file", "turn_id", F.explode(F.concat(F.pandas_udf(tool_workdirs_of, "array<string>")("tool"), F.array_compact(F.array("own")))).alias("workdir"))
+    told = good.where("turn_id is not null and (tool is not null or command_dir is not null)").select("file", "turn_id", "tool", "command_dir")
+    found = told.select("file", "turn_id", F.explode(F.concat(F.pandas_udf(tool_workdirs_of, "array<string>")("tool"), F.array_compact(F.array("command_dir")))).alias("workdir"))
     workdirs = found.groupBy("file", "turn_id").agg(F.array_sort(F.collect_set("workdir")).alias("activity_workdirs"))
 
-    ordinal = F.when(F.col("turn_id").isNull(), F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("file", "segment").orderBy("record_index")) - 1)
-    counted = good.where("emitted").select("file", "record_index", "turn_id", ordinal.alias("ordinal"), "operation", F.col("context.model").alias("model"), F.col("context.effort").alias("reasoning_effort"), at.alias("occurred_ts"), counts_at(doc, total).alias("cumulative"), counts_at(doc, last).alias("reported_last"))
+    counted = scan(good.where(emitted), {"nth": Running("sum", F.lit(1).cast("long"))}, key=["file", "segment"], split="split", order="record_index")
+    ordinal = F.when(F.col("turn_id").isNull(), F.lit(0)).otherwise((F.col("nth") - 1).cast("int"))
+    counted = counted.select("file", "record_index", "turn_id", ordinal.alias("ordinal"), "operation", F.col("context.model").alias("model"), F.col("context.effort").alias("reasoning_effort"), "occurred_ts", "cumulative", "reported_last")
     counted = counted.join(metadata.select("file", "thread_id", "forked_from"), "file").join(workdirs, ["file", "turn_id"], "left").withColumn("activity_workdirs", F.coalesce("activity_workdirs", F.array().cast("array<string>")))
-    issues = good.where("issue is not null").select("file", "record_index", F.col("issue").alias("code"))
+    issues = good.select("file", "record_index", issue.alias("code")).where("code is not null")
     return Parsed(metadata, counted, issues, broken)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.lifecycle import calculate_deltas, deduplicate_events, fork_conflicts, fork_depths
 from tallyspark.schemas import COUNTS
-from tallyspark.sources.rollouts import early_metadata, parse_rollouts, record_lines
+from tallyspark.sources.rollouts import early_metadata, parse_rollouts
 from tallyspark.work import Scratch
 
 SCHEMA = f"file string, record_index long, thread_id string, forked_from string, turn_id string, ordinal int, operation string, model string, reasoning_effort string, occurred_ts timestamp, cumulative {COUNTS}, reported_last {COUNTS}"
@@ -23,15 +23,26 @@ def deltas(spark, rows):
     return [(r["delta"] and r["delta"]["total_tokens"], r["flags"]) for r in calculate_deltas(frame(spark, rows)).orderBy("record_index").collect()]
 
 
-def test_regression_is_the_new_baseline(spark):
-    rows = [{"file": "f", "at": i, "c": counts(t - 10, 10, t)} for i, t in enumerate((110, 100, 120), 1)]
-    assert deltas(spark, rows) == [(110, []), (None, ["counter_regression"]), (20, [])]
+def test_deltas_add_up_between_regressions(spark):
+    """Whatever the totals: a fall gives none, and what was added since the last fall (or the start) is what the total rose."""
+    totals = [37, 37, 52, 8, 8, 61, 60, 3, 1000]
+    found = deltas(spark, [{"file": "f", "at": i, "c": counts(t - 2, 2, t)} for i, t in enumerate(totals, 1)])
+    base, added = 0, 0
+    for was, now, (delta, flags) in zip([0, *totals], totals, found, strict=False):
+        assert (delta is None) == (now < was) == ("counter_regression" in flags)
+        base, added = (now, 0) if delta is None else (base, added + delta)
+        assert base + added == now
 
 
-def test_component_regression(spark):
-    rows = [{"file": "f", "at": 1, "c": counts(100, 10, 110)}, {"file": "f", "at": 2, "c": counts(90, 30, 120)}]
+@pytest.mark.parametrize("fallen", ["input_tokens", "cached_input_tokens", "output_tokens"])
+def test_a_component_that_falls_is_null_and_no_other_is(spark, fallen):
+    names = ("input_tokens", "cached_input_tokens", "output_tokens")
+    first = dict.fromkeys(names, 40)
+    then = {n: 40 - 7 if n == fallen else 40 + 11 for n in names}
+    rows = [{"file": "f", "at": i, "c": counts(v["input_tokens"], v["output_tokens"], 500 + i, v["cached_input_tokens"])} for i, v in enumerate((first, then), 1)]
     last = calculate_deltas(frame(spark, rows)).where("record_index = 2").first()
-    assert (last["delta"]["input_tokens"], last["delta"]["output_tokens"], last["delta"]["total_tokens"], last["flags"]) == (None, 20, 10, ["component_regression:input_tokens"])
+    assert {n: last["delta"][n] for n in names} == {n: None if n == fallen else 11 for n in names}
+    assert [f for f in last["flags"] if f.startswith("component_regression")] == [f"component_regression:{fallen}"]
 
 
 def test_flags_of_reported_values(spark):
@@ -134,11 +145,6 @@ def test_unusable_files_give_nothing_else(spark, records, code):
     assert {r["file"] for r in parsed.checkpoints.collect()} == {"good"}
 
 
-def test_torn_last_line_waits(spark):
-    files = spark.createDataFrame([("f", 'a\nb\n{"torn'), ("g", "torn"), ("h", "a\n")], "file string, text string")
-    assert sorted(map(tuple, record_lines(files).collect())) == [("f", 1, "a"), ("f", 2, "b"), ("h", 1, "a")]
-
-
 def test_early_metadata(spark):
     rows = lines(spark, [event("x"), meta(), meta(id="later")])
     assert json.loads(early_metadata(rows).first()["line"])["payload"]["id"] == "thread"
