@@ -32,7 +32,7 @@ from ._work import UPPER, Workspace, small, table
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bytes of text of a unit: larger ones repeat fewer entries between units, and a task holds a few of them.
-UNIT_BYTES = 8 << 20
+UNIT_BYTES = 4 << 20
 #: Rows that leave a task at a time.
 SLICE = 1 << 16
 #: Parts in which a language's best phrases are found before its ranks are given.
@@ -82,9 +82,9 @@ def cut_units(batches: Iterator[pa.RecordBatch], most: int = UNIT_BYTES) -> Iter
         sizes.pop(lang)
         made += 1
         counts = np.bincount(codes[codes >= 0], minlength=len(entries))
-        row = [[(part << 32) + made], [lang], [int(counts.sum())], [entries.cast(pa.string()).to_pylist()], [counts], [compact(codes).tobytes()]]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["unit", "lang", "n", "words", "counts", "codes"])
+        one = [pa.array([(part << 32) + made], pa.int64()), pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64())]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (entries.cast(pa.string()), pa.array(counts, pa.int64()))]
+        return pa.RecordBatch.from_arrays([*one, *lists, pa.array([compact(codes).tobytes()], pa.binary())], ["unit", "lang", "n", "words", "counts", "codes"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -101,8 +101,8 @@ def cut_units(batches: Iterator[pa.RecordBatch], most: int = UNIT_BYTES) -> Iter
 def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, key, first, last, n): each pair of adjacent symbols of a unit once."""
     for batch in batches:
-        for unit, codes, ids in zip(batch.column("unit").to_pylist(), batch.column("codes").to_pylist(), batch.column("ids"), strict=True):
-            c = np.frombuffer(codes, dtype=np.int32).astype(np.int64)
+        for unit, codes, ids in zip(batch.column("unit").to_pylist(), batch.column("codes"), batch.column("ids"), strict=True):
+            c = np.frombuffer(codes.as_buffer(), dtype=np.int32).astype(np.int64)
             here = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
             key, n = np.unique(c[here] << 32 | c[here + 1], return_counts=True)
             names = ids.values.to_numpy()
@@ -120,7 +120,7 @@ def renamed(pairs: bool):
         kind = pa.schema([("unit", pa.int64()), ("codes", pa.binary()), ("ids", pa.list_(pa.int64()))])
         if not sequence.num_rows or not names.num_rows:
             return kind.empty_table()
-        c = np.frombuffer(sequence.column("codes")[0].as_py(), dtype=np.int32).astype(np.int64)
+        c = np.frombuffer(sequence.column("codes")[0].as_buffer(), dtype=np.int32).astype(np.int64)
         if pairs:
             c = np.where((c[:-1] >= 0) & (c[1:] >= 0), c[:-1] << 32 | c[1:], -1)
         keys, ids = names.column("key").to_numpy(), names.column("id").to_numpy()
