@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..work import Scratch
-from .graph import ancestors
+from .tour import descendant_agreement, euler_tour, nearest_label
 
 
 def activity_evidence(activity: DataFrame) -> DataFrame:
@@ -65,26 +65,44 @@ def cascade(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"project_identity": identity, "project_resolution": reason})
 
 
-def thread_hints(direct: DataFrame, descent: DataFrame) -> DataFrame:
-    """direct(thread_id, identity) of checkpoints or threads, descent(node, ancestor, depth) -> (thread_id, hint).
+def own_hints(direct: DataFrame) -> DataFrame:
+    """direct(thread_id, identity) of checkpoints or threads -> thread_id, hint: the single identity, null for several."""
+    low, high = F.min("identity"), F.max("identity")
+    return direct.where("identity is not null").groupBy("thread_id").agg(F.when(low == high, low).alias("hint"))
+
+
+def thread_hints(direct: DataFrame, tour: DataFrame, work: Scratch) -> DataFrame:
+    """direct: see own_hints; tour: see euler_tour -> (thread_id, hint).
 
     A thread hints at its single distinct identity. One that has none takes the single hint among its
     descendants; one that has several gives none.
     """
-    own = direct.groupBy("thread_id").agg(F.collect_set("identity").alias("ids"))
-    sure = own.where(F.size("ids") == 1).select("thread_id", F.get("ids", F.lit(0)).alias("hint"))
-    below = descent.join(sure.select(F.col("thread_id").alias("node"), "hint"), "node").groupBy(F.col("ancestor").alias("thread_id")).agg(F.collect_set("hint").alias("hints"))
-    silent = below.join(own.where(F.size("ids") > 0).select("thread_id"), "thread_id", "left_anti")
-    return sure.unionByName(silent.where(F.size("hints") == 1).select("thread_id", F.get("hints", F.lit(0)).alias("hint")))
+    own = work.save(own_hints(direct), "own-hints")
+    sure = own.where("hint is not null")
+    return sure.unionByName(_borrowed(own, _agreed_below(sure, tour, work)))
+
+
+def _agreed_below(sure: DataFrame, tour: DataFrame, work: Scratch) -> DataFrame:
+    """(thread_id, hint) where all descendants that have a hint of their own have the same. What silent ones borrow is
+    below them as well, so it changes nothing here."""
+    found = descendant_agreement(tour, sure.select(F.col("thread_id").alias("node"), F.col("hint").alias("label")), work)
+    return work.save(found.where("label is not null").select(F.col("node").alias("thread_id"), F.col("label").alias("hint")), "agreed")
+
+
+def _borrowed(own: DataFrame, agreed: DataFrame) -> DataFrame:
+    return agreed.join(own.select("thread_id"), "thread_id", "left_anti")
 
 
 def lineage_hints(threads: DataFrame, parents: DataFrame, roots: DataFrame, direct: DataFrame, work: Scratch) -> DataFrame:
     """threads(thread_id) with ancestor_project (nearest hint), root_project (if the root is another thread) and
-    descendant_projects (sorted)."""
-    descent = ancestors(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), work, "descent")
-    hints = work.save(thread_hints(direct, descent), "hints")
-    up = descent.join(hints.select(F.col("thread_id").alias("ancestor"), "hint"), "ancestor").groupBy(F.col("node").alias("thread_id")).agg(F.min_by("hint", "depth").alias("ancestor_project"))
-    down = descent.join(hints.select(F.col("thread_id").alias("node"), "hint"), "node").groupBy(F.col("ancestor").alias("thread_id")).agg(F.array_sort(F.collect_set("hint")).alias("descendant_projects"))
+    descendant_projects (the one that all hints below agree on, or none). No step writes a thread's ancestors out."""
+    edges = work.save(parents.select(F.col("child").alias("src"), F.col("parent").alias("dst")), "lineage-edges")
+    own = work.save(own_hints(direct), "own-hints")
+    sure = own.where("hint is not null")
+    agreed = _agreed_below(sure, euler_tour(edges, work), work)
+    hints = work.save(sure.unionByName(_borrowed(own, agreed)), "hints")
+    up = nearest_label(edges, hints.select(F.col("thread_id").alias("node"), F.col("hint").alias("label")), work).select(F.col("node").alias("thread_id"), F.col("label").alias("ancestor_project"))
+    down = agreed.select("thread_id", F.array("hint").alias("descendant_projects"))
     root = roots.where("root <> thread_id").join(hints.select(F.col("thread_id").alias("root"), F.col("hint").alias("root_project")), "root").select("thread_id", "root_project")
     return threads.select("thread_id").distinct().join(up, "thread_id", "left").join(root, "thread_id", "left").join(down, "thread_id", "left")
 
@@ -106,9 +124,3 @@ def attribute(checkpoints: DataFrame, *, activity: DataFrame, self_remotes: Data
     hints = lineage_hints(threads, parents, roots, direct.unionByName(extra), work)
     done = cascade(rows.join(hints, "thread_id", "left"))
     return done.select(*checkpoints.columns, "project_identity", "project_resolution", F.coalesce("n_repositories", F.lit(0)).alias("activity_repository_count"))
-
-
-def agreed(values: Column) -> Column:
-    """The only distinct non-null value of an array, else null."""
-    distinct = F.array_distinct(F.array_compact(values))
-    return F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0)))

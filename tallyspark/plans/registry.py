@@ -11,8 +11,9 @@ from ..functions.identity import derive, derive_inline
 from ..functions.remote import normalize_remote, remote_error, resolve_remote
 from ..functions.text import canonical_json, short_identifier, single_line
 from ..operators import doctor, graph, lifecycle, projects, replay
-from ..operators.attribution import activity_evidence, cascade, thread_hints
+from ..operators.attribution import activity_evidence, cascade, lineage_hints, thread_hints
 from ..operators.report import ReportQuery, daily_usage_utc, grand_total, latest_names, records, usage_report
+from ..operators.tour import euler_tour
 from ..operators.validate import location_codes, schema_violations
 from ..sources.rollouts import parse_rollouts
 from ..work import Scratch, spread
@@ -334,10 +335,38 @@ _OWN = """own AS (SELECT src AS t, CASE WHEN src % 3 = 0 THEN 'p' || (src % 4) E
 
 @query("descendant_consensus", _UP + f""", {_OWN.format(dv("tree"))} SELECT t AS thread_id, hint FROM sure UNION ALL SELECT ancestor, max(hint) FROM w JOIN sure ON sure.t = w.node WHERE ancestor IN (SELECT t FROM silent UNION SELECT 0) GROUP BY ancestor HAVING count(DISTINCT hint) = 1""")
 def descendant_consensus(spark, sf_dir):
+    tree, direct = _hinted(spark, sf_dir)
+    work = Scratch(spark)
+    return thread_hints(direct, euler_tour(tree, work), work)
+
+
+def _hinted(spark, sf_dir):
+    """(tree, threads that have one identity, two or none)."""
     tree = view(spark, sf_dir, "tree")
     t = F.col("src")
-    direct = tree.select(t.alias("thread_id"), F.explode(F.array_compact(F.array(F.when(t % 3 == 0, F.concat(F.lit("p"), (t % 4).cast("string"))), F.when(t % 6 == 0, F.lit("q"))))).alias("identity"))
-    return thread_hints(direct, graph.ancestors(tree, Scratch(spark), "up"))
+    ids = F.array(F.when(t % 3 == 0, F.concat(F.lit("p"), (t % 4).cast("string"))), F.when(t % 6 == 0, F.lit("q")))
+    return tree, tree.select(t.alias("thread_id"), F.explode(F.array_compact(ids)).alias("identity"))
+
+
+@query("lineage_hints", _UP + f""", {_OWN.format(dv("tree"))}, agreed AS (SELECT ancestor AS t, max(hint) AS hint FROM w JOIN sure ON sure.t = w.node GROUP BY ancestor HAVING count(DISTINCT hint) = 1),
+hints AS (SELECT t, hint FROM sure UNION ALL SELECT t, hint FROM agreed WHERE t NOT IN (SELECT t FROM own WHERE a IS NOT NULL OR b IS NOT NULL)),
+near AS (SELECT w.node AS t, arg_min(hint, depth) AS hint FROM w JOIN hints ON hints.t = w.ancestor GROUP BY w.node)
+SELECT n.t AS thread_id, near.hint AS ancestor_project, r.hint AS root_project, agreed.hint AS descendant_project FROM (SELECT src AS t FROM {dv("tree")} UNION SELECT 0) n LEFT JOIN near ON near.t = n.t LEFT JOIN hints r ON r.t = 0 AND n.t <> 0 LEFT JOIN agreed ON agreed.t = n.t""")
+def q_lineage_hints(spark, sf_dir):
+    tree, direct = _hinted(spark, sf_dir)
+    threads = tree.select(F.col("src").alias("thread_id")).union(tree.select("dst"))
+    parents = tree.select(F.col("src").alias("child"), F.col("dst").alias("parent"))
+    work = Scratch(spark)
+    roots = work.save(graph.roots(threads, parents, None, work), "roots")
+    found = lineage_hints(threads, parents, roots, direct, work)
+    return found.select("thread_id", "ancestor_project", "root_project", F.get("descendant_projects", F.lit(0)).alias("descendant_project"))
+
+
+@query("preorder", f"""WITH RECURSIVE t AS (SELECT * FROM {dv("tree")}), d(node, parent, depth, path) AS (SELECT 0::BIGINT, NULL::BIGINT, 0::BIGINT, [0::BIGINT] UNION ALL SELECT t.src, t.dst, depth + 1, list_append(path, t.src) FROM d JOIN t ON t.dst = d.node),
+w(node, ancestor) AS (SELECT src, dst FROM t UNION ALL SELECT w.node, t.dst FROM w JOIN t ON t.src = w.ancestor), s AS (SELECT ancestor, count(*) AS n FROM w GROUP BY 1)
+SELECT node, coalesce(parent, -1) AS parent, row_number() OVER (ORDER BY path) - 1 AS pre, coalesce(s.n, 0) + 1 AS size, depth FROM d LEFT JOIN s ON s.ancestor = d.node""")
+def preorder(spark, sf_dir):
+    return euler_tour(view(spark, sf_dir, "tree"), Scratch(spark)).select("node", F.coalesce("parent", F.lit(-1).cast("bigint")).alias("parent"), "pre", "size", "depth")
 
 
 @query("attribution_resolution", f"""SELECT thread_id, CASE WHEN n % 11 = 0 THEN 'manual' WHEN n % 7 = 0 AND n % 2 = 0 THEN 'activity_git' WHEN n % 7 = 0 THEN 'ambiguous_multi_repo' WHEN n % 5 = 0 THEN 'self_origin' WHEN n % 5 = 1 THEN 'unique_remote' WHEN n % 5 = 2 AND n % 3 = 0 THEN 'ambiguous_remote' WHEN n % 13 < 3 THEN 'ancestor' WHEN n % 13 = 4 THEN 'root' WHEN n % 13 = 6 THEN 'descendant_consensus' WHEN n % 13 = 8 THEN 'local_mapping' ELSE 'unclassified' END AS project_resolution,
