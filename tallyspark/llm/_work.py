@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import json
 import tempfile
 import uuid
@@ -55,6 +56,12 @@ class Workspace:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished queries go when the driver collects its garbage; this asks for it between rounds."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables of the workspaces that were opened inside: for results that are written by then."""

@@ -4,8 +4,8 @@ A task cuts its texts into words and keeps, for units of some megabytes of one l
 codes of the unit's own dictionary. What is counted globally are the dictionary's entries, not the occurrences: one
 row for each word and unit. Words that are frequent get an id; a frequent phrase of k words is named as the pair of the ids of
 its first and its last k - 1 words. So in each round the units replace adjacent ids by the pairs that they form, the
-pairs are counted and named in one grouping over all units, and the names go back to the units that hold
-them, where they are the symbols of the next round. A phrase is no more frequent than its parts, so pairs of
+pairs are counted and named in one grouping over all units (the name is the first place that holds the pair), and the names
+go back to the units, where they are the symbols of the next round. A phrase is no more frequent than its parts, so pairs of
 frequent ids are all that is needed, and nothing is lost.
 
 A pair's two ids are parent pointers: following them gives the frequencies of all first and last parts (the cuts),
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import UPPER, Workspace, small, table
+from ._work import UPPER, Workspace, forget_shuffles, small, table
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bytes of text of a unit: larger ones repeat fewer entries between units, and a task holds a few of them.
@@ -41,6 +41,21 @@ BREAKS = b".,;:!?\x0b\x0c\r"
 BYTES = bytes.maketrans(UPPER.encode() + BREAKS + b"\t", UPPER.lower().encode() + b"\n" * len(BREAKS) + b" ")
 UNIT = "unit long, lang string, n long, words array<string>, counts array<long>, codes binary"
 SEQUENCE = "unit long, codes binary, ids array<long>"
+#: A place is a unit and the number of an entry in it: bits of the tasks, of the units of a task, and of the entries.
+TASK_BITS, MADE_BITS, ENTRY_BITS = 20, 16, 27
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Codes as compressed planes of bytes, after their number."""
+    planes = np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return np.int64(len(codes)).tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(value: pa.BinaryScalar) -> np.ndarray:
+    buffer = value.as_buffer()
+    n = int(np.frombuffer(buffer, dtype=np.int64, count=1)[0])
+    planes = np.frombuffer(pa.decompress(buffer.slice(8), decompressed_size=4 * n, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").reshape(n).astype(np.int64)
 
 
 def compact(codes: np.ndarray) -> np.ndarray:
@@ -81,10 +96,12 @@ def cut_units(batches: Iterator[pa.RecordBatch], most: int = UNIT_BYTES) -> Iter
         entries, codes = words_of(held.pop(lang))
         sizes.pop(lang)
         made += 1
+        if part >> TASK_BITS or made >> MADE_BITS or len(entries) >> ENTRY_BITS:
+            raise ValueError("more tasks, units of a task or words of a unit than a place can name")
         counts = np.bincount(codes[codes >= 0], minlength=len(entries))
-        one = [pa.array([(part << 32) + made], pa.int64()), pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64())]
+        one = [pa.array([part << MADE_BITS | made], pa.int64()), pa.array([lang], pa.string()), pa.array([int(counts.sum())], pa.int64())]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (entries.cast(pa.string()), pa.array(counts, pa.int64()))]
-        return pa.RecordBatch.from_arrays([*one, *lists, pa.array([compact(codes).tobytes()], pa.binary())], ["unit", "lang", "n", "words", "counts", "codes"])
+        return pa.RecordBatch.from_arrays([*one, *lists, pa.array([packed(compact(codes))], pa.binary())], ["unit", "lang", "n", "words", "counts", "codes"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -98,19 +115,25 @@ def cut_units(batches: Iterator[pa.RecordBatch], most: int = UNIT_BYTES) -> Iter
         yield unit(lang)
 
 
+def pair_keys(c: np.ndarray) -> np.ndarray:
+    """Adjacent symbols as one number, -1 where one of them separates."""
+    return np.where((c[:-1] >= 0) & (c[1:] >= 0), c[:-1] << 32 | c[1:], -1)
+
+
 def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, key, first, last, n): each pair of adjacent symbols of a unit once."""
+    """(place, first, last, n): each pair of adjacent symbols of a unit once, in the order of pair_keys."""
     for batch in batches:
         for unit, codes, ids in zip(batch.column("unit").to_pylist(), batch.column("codes"), batch.column("ids"), strict=True):
-            c = np.frombuffer(codes.as_buffer(), dtype=np.int32).astype(np.int64)
-            here = np.flatnonzero((c[:-1] >= 0) & (c[1:] >= 0))
-            key, n = np.unique(c[here] << 32 | c[here + 1], return_counts=True)
+            keys = pair_keys(unpacked(codes))
+            key, n = np.unique(keys[keys >= 0], return_counts=True)
+            del keys
+            if len(key) >> ENTRY_BITS:
+                raise ValueError("more pairs of a unit than a place can name")
             names = ids.values.to_numpy()
-            del c, here
             for k in range(0, len(key), SLICE):
                 part = key[k : k + SLICE]
-                columns = [np.full(len(part), unit), part, names[part >> 32], names[part & 0xFFFFFFFF], n[k : k + SLICE]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["unit", "key", "first", "last", "n"])
+                columns = [(unit << ENTRY_BITS) + k + np.arange(len(part)), names[part >> 32], names[part & 0xFFFFFFFF], n[k : k + SLICE]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["place", "first", "last", "n"])
 
 
 def renamed(pairs: bool):
@@ -120,23 +143,25 @@ def renamed(pairs: bool):
         kind = pa.schema([("unit", pa.int64()), ("codes", pa.binary()), ("ids", pa.list_(pa.int64()))])
         if not sequence.num_rows or not names.num_rows:
             return kind.empty_table()
-        c = np.frombuffer(sequence.column("codes")[0].as_buffer(), dtype=np.int32).astype(np.int64)
+        c = unpacked(sequence.column("codes")[0])
         if pairs:
-            c = np.where((c[:-1] >= 0) & (c[1:] >= 0), c[:-1] << 32 | c[1:], -1)
-        keys, ids = names.column("key").to_numpy(), names.column("id").to_numpy()
-        order = np.argsort(keys)
-        keys, ids = keys[order], ids[order]
-        at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-        new = compact(np.where(keys[at] == c, at, -1))
-        if not len(new):
+            keys = pair_keys(c)
+            there = keys >= 0
+            c = np.full(len(keys), -1)
+            c[there] = np.unique(keys[there], return_inverse=True)[1]
+        entry, ids = names.column("entry").to_numpy(), names.column("id").to_numpy()
+        new = np.full(max(int(c.max(initial=-1)), int(entry.max())) + 2, -1)  # its last one stands for -1
+        new[entry] = np.arange(len(entry))
+        codes = compact(new[c])
+        if not len(codes):
             return kind.empty_table()
-        return pa.table([pa.array([sequence.column("unit")[0].as_py()], pa.int64()), pa.array([new.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], schema=kind)
+        return pa.table([pa.array([sequence.column("unit")[0].as_py()], pa.int64()), pa.array([packed(codes)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], schema=kind)
 
     return run
 
 
 def symbols(sequences: DataFrame, names: DataFrame, pairs: bool) -> DataFrame:
-    own = names.select(F.col("unit").alias("of"), "key", "id")  # both sides come from one table
+    own = names.select(F.col("unit").alias("of"), "entry", "id")  # both sides come from one table
     both = sequences.select("unit", "codes").groupBy("unit").cogroup(own.groupBy("of"))
     return both.applyInArrow(renamed(pairs), SEQUENCE)
 
@@ -150,30 +175,33 @@ def mine_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
     units = work.save(texts.mapInArrow(lambda batches: cut_units(batches, unit_bytes), UNIT), "units")
     totals = work.save(units.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
 
-    def frequent(counted: DataFrame, by: list[str], name: str) -> DataFrame:
-        found = counted.groupBy(*by).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-        return work.save(found.withColumn("id", F.monotonically_increasing_id()), name)
-
-    entries = units.select("unit", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("key", "entry")).select("unit", "lang", F.col("key").cast("long").alias("key"), F.col("entry.words").alias("word"), F.col("entry.counts").alias("count"))
-    words = frequent(entries, ["lang", "word"], "names-1")
-    named = entries.select("unit", "lang", "key", "word").join(small(words.select("lang", "word", "id"), of=words), ["lang", "word"])
-    sequences, was = work.save(symbols(units, named, False), "symbols-1"), "units"
+    entries = units.select("unit", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("entry", "of")).select("unit", "lang", "entry", F.col("of.words").alias("word"), F.col("of.counts").alias("count"))
+    words = entries.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    words = work.save(words.withColumn("id", F.monotonically_increasing_id()), "words")
+    named = entries.select("unit", "lang", "entry", "word").join(small(words.select("lang", "word", "id"), of=words), ["lang", "word"])
+    sequences = work.save(symbols(units, named, False), "symbols-1")
+    work.drop("units")
     none = F.array().cast("array<bigint>")
     facts = words.select("id", "lang", F.array("word").alias("words"), "f", none.alias("heads"), none.alias("tails"))
     levels = []
     for k in range(2, longest + 1):
-        pairs = sequences.mapInArrow(pairs_of, "unit long, key long, first long, last long, n long")
-        names = frequent(pairs.select("first", "last", F.col("n").alias("count")), ["first", "last"], f"names-{k}")
-        work.drop(was)
+        forget_shuffles(docs.sparkSession)
+        same = Window.partitionBy("first", "last")
+        pairs = sequences.mapInArrow(pairs_of, "place long, first long, last long, n long")
+        named = pairs.select("place", "first", "last", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("id"))
+        named = work.save(named.where(F.col("f") >= least), f"named-{k}")
+        names = named.where("place = id").select("id", "first", "last", "f")
         if k < longest:
-            named = pairs.select("unit", "key", "first", "last").join(small(names.select("first", "last", "id"), of=names), ["first", "last"])
-            sequences, was = work.save(symbols(sequences, named, True), f"symbols-{k}"), f"symbols-{k - 1}"
+            own = named.select(F.shiftright("place", ENTRY_BITS).alias("unit"), F.col("place").bitwiseAND((1 << ENTRY_BITS) - 1).alias("entry"), "id")
+            sequences = work.save(symbols(sequences, own, True), f"symbols-{k}")
+            work.drop(f"symbols-{k - 1}")
         head = facts.select(F.col("id").alias("first"), "lang", F.col("words").alias("front"), F.col("f").alias("head_f"), "heads")
         tail = facts.select(F.col("id").alias("last"), F.element_at("words", -1).alias("end"), F.col("f").alias("tail_f"), "tails")
         grown = names.join(head, "first").join(tail, "last")
         facts = grown.select("id", "lang", F.concat("front", F.array("end")).alias("words"), "f", F.concat("heads", F.array("head_f")).alias("heads"), F.concat(F.array("tail_f"), "tails").alias("tails"), "first", "last")
         facts = work.save(facts, f"facts-{k}")
         levels.append(facts)
+        work.drop(f"named-{k}")
     candidates = None
     for k, level in enumerate(levels):
         if k + 1 < len(levels):
