@@ -32,7 +32,7 @@ from ._work import UPPER, Workspace, forget_shuffles, small, table
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bytes of text of a unit: larger ones repeat fewer entries between units, and a task holds a few of them.
-UNIT_BYTES = 4 << 20
+UNIT_BYTES = 6 << 20
 #: Rows that leave a task at a time.
 SLICE = 1 << 16
 #: Parts in which a language's best phrases are found before its ranks are given.
@@ -166,6 +166,16 @@ def symbols(sequences: DataFrame, names: DataFrame, pairs: bool) -> DataFrame:
     return both.applyInArrow(renamed(pairs), SEQUENCE)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """A written table's `at` (monotonically increasing: a partition's number over the row's in it) as id from 0 without
+    gaps, so that most of its bytes are zeros in shuffles. One row a partition is summed up in one task."""
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.withColumn("part", part).join(starts, "part").withColumn("id", F.col("before") + row).drop("part", "before", "at")
+
+
 def mine_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST, top: int = TOP, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """docs(text, lang) -> lang, rank, phrase, a, l, r, n, score: the best phrases of each language.
 
@@ -177,24 +187,27 @@ def mine_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
 
     entries = units.select("unit", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("entry", "of")).select("unit", "lang", "entry", F.col("of.words").alias("word"), F.col("of.counts").alias("count"))
     words = entries.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    words = work.save(words.withColumn("id", F.monotonically_increasing_id()), "words")
+    words = work.save(numbered(work.save(words.withColumn("at", F.monotonically_increasing_id()), "found")), "words")
+    forget_shuffles(docs.sparkSession)
     named = entries.select("unit", "lang", "entry", "word").join(small(words.select("lang", "word", "id"), of=words), ["lang", "word"])
     sequences = work.save(symbols(units, named, False), "symbols-1")
     work.drop("units")
+    forget_shuffles(docs.sparkSession)
     none = F.array().cast("array<bigint>")
     facts = words.select("id", "lang", F.array("word").alias("words"), "f", none.alias("heads"), none.alias("tails"))
     levels = []
     for k in range(2, longest + 1):
-        forget_shuffles(docs.sparkSession)
         same = Window.partitionBy("first", "last")
         pairs = sequences.mapInArrow(pairs_of, "place long, first long, last long, n long")
         named = pairs.select("place", "first", "last", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("id"))
         named = work.save(named.where(F.col("f") >= least), f"named-{k}")
+        forget_shuffles(docs.sparkSession)
         names = named.where("place = id").select("id", "first", "last", "f")
         if k < longest:
             own = named.select(F.shiftright("place", ENTRY_BITS).alias("unit"), F.col("place").bitwiseAND((1 << ENTRY_BITS) - 1).alias("entry"), "id")
             sequences = work.save(symbols(sequences, own, True), f"symbols-{k}")
             work.drop(f"symbols-{k - 1}")
+            forget_shuffles(docs.sparkSession)
         head = facts.select(F.col("id").alias("first"), "lang", F.col("words").alias("front"), F.col("f").alias("head_f"), "heads")
         tail = facts.select(F.col("id").alias("last"), F.element_at("words", -1).alias("end"), F.col("f").alias("tail_f"), "tails")
         grown = names.join(head, "first").join(tail, "last")
