@@ -18,7 +18,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import Workspace, literal_rows, table
+from ._work import Workspace, fresh, literal_rows, table
 
 SLICES_LOG2 = 14
 
@@ -62,8 +62,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id
     """All rows and columns of docs with size, text_crc32, law, shard, slot and grown_shard.
 
     The law is `rows`: counts of the shards differ by one at most, and slots of a shard run from 0 without
-    gaps. Columns of docs with these names are replaced. Null text: size 1, checksum 0. Null ids share one
-    place on the ring; repeated rows follow one another. An empty table gives an empty result.
+    gaps. Columns of docs with these names, in any case of letters, are replaced; all others come back as they
+    were. Null text: size 1, checksum 0. Rows of null id have their places on the ring from their texts; repeated
+    rows follow one another. An empty table gives an empty result.
     """
     spark, slices = docs.sparkSession, 1 << SLICES_LOG2
     work, nodes = Workspace(spark), ring(n_shards, vnodes, slices)
@@ -73,25 +74,40 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id
         while arc < len(nodes) and starts[arc] < s:
             arc += 1
         arc_of.append(arc % len(nodes))
-    arc_at = F.element_at(F.from_json(F.lit(json.dumps(arc_of)), "array<int>"), F.col("__slice") + 1)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = F.xxhash64(F.col(id_col))
+    # helpers and the results on their way have names that no column of docs has, in any case of letters
+    names = ("size", "text_crc32", "h", "slice", "rank", "n", "arc", "before", "lo", "hi", "shard", "slot0")
+    c = dict(zip(names, fresh(docs.columns, *(f"__{name}" for name in names)), strict=True))
+    arc_at = F.element_at(F.from_json(F.lit(json.dumps(arc_of)), "array<int>"), F.col(c["slice"]) + 1)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    ident = F.col(f"`{id_col}`")
+    # rows without an id are dealt by their texts, else all of them would share one slice
+    hashed = F.when(ident.isNull(), F.xxhash64(text, F.lit(-1))).otherwise(F.xxhash64(ident))
     slice_of = F.shiftrightunsigned(hashed, 64 - SLICES_LOG2).cast("int")
 
-    counts = work.save(docs.select(slice_of.alias("__slice")).groupBy("__slice").agg(F.count("*").alias("__n")).withColumn("__arc", arc_at), "slices")
-    per_arc = {r["__arc"]: r["n"] for r in counts.groupBy("__arc").agg(F.sum("__n").alias("n")).collect()}  # at most n_shards * vnodes rows
+    counts = docs.select(slice_of.alias(c["slice"])).groupBy(c["slice"]).agg(F.count("*").alias(c["n"])).withColumn(c["arc"], arc_at)
+    counts = work.save(counts, "slices")
+    per_arc = {r[0]: r[1] for r in counts.groupBy(c["arc"]).agg(F.sum(c["n"])).collect()}  # at most n_shards * vnodes rows
     cuts = fill([s for _, s in nodes], [per_arc.get(a, 0) for a in range(len(nodes))], capacities(sum(per_arc.values()), n_shards, slack))
-    cut_rows = literal_rows(spark, cuts, "__arc int,__lo long,__hi long,__shard int,__slot0 long")
-    before = F.sum("__n").over(Window.partitionBy("__arc").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("__slice", "__arc", F.coalesce(before, F.lit(0)).alias("__before"))
-
-    own = {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "law": F.lit("rows")}
-    rows = docs.withColumns({f"__{k}": v for k, v in own.items()} | {"__h": hashed, "__slice": slice_of})
-    rank = F.row_number().over(Window.partitionBy("__slice").orderBy("__h", F.col(id_col), "__text_crc32", "__size"))
-    ranked = rows.withColumn("__rank", rank).join(F.broadcast(offsets), "__slice").withColumn("__rank", F.col("__before") + F.col("__rank") - 1)
-    placed = ranked.join(F.broadcast(cut_rows), (ranked["__arc"] == cut_rows["__arc"]) & (ranked["__rank"] >= cut_rows["__lo"]) & (ranked["__rank"] < cut_rows["__hi"]))
-    new = {"size": F.col("__size"), "text_crc32": F.col("__text_crc32"), "law": F.col("__law"), "shard": F.col("__shard"), "slot": F.col("__slot0") + F.col("__rank") - F.col("__lo"), "grown_shard": F.lit(None).cast("int")}
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    (cut_arc,) = fresh([*docs.columns, *c.values()], "__cut_arc")
+    cut_rows = literal_rows(spark, cuts, "arc int,lo long,hi long,shard int,slot0 long")
+    cut_rows = cut_rows.select(F.col("arc").alias(cut_arc), *[F.col(k).alias(c[k]) for k in ("lo", "hi", "shard", "slot0")])
+    before = F.sum(c["n"]).over(Window.partitionBy(c["arc"]).orderBy(c["slice"]).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(c["slice"], c["arc"], F.coalesce(before, F.lit(0)).alias(c["before"]))
+
+    rows = docs.withColumns({c["size"]: size, c["text_crc32"]: crc, c["h"]: hashed, c["slice"]: slice_of})
+    rank = F.row_number().over(Window.partitionBy(c["slice"]).orderBy(c["h"], ident, c["text_crc32"], c["size"]))
+    ranked = rows.withColumn(c["rank"], rank).join(F.broadcast(offsets), c["slice"]).withColumn(c["rank"], F.col(c["before"]) + F.col(c["rank"]) - 1)
+    placed = ranked.join(F.broadcast(cut_rows), (F.col(c["arc"]) == F.col(cut_arc)) & (F.col(c["rank"]) >= F.col(c["lo"])) & (F.col(c["rank"]) < F.col(c["hi"])))
+    new = {
+        "size": F.col(c["size"]),
+        "text_crc32": F.col(c["text_crc32"]),
+        "law": F.lit("rows"),
+        "shard": F.col(c["shard"]),
+        "slot": F.col(c["slot0"]) + F.col(c["rank"]) - F.col(c["lo"]),
+        "grown_shard": F.lit(None).cast("int"),
+    }
+    return placed.select(*[F.col(f"`{x}`") for x in docs.columns if x.lower() not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,9 @@ def test_clashing_columns_and_empty_tables(spark):
         assert out.columns == docs.columns and not out.isEmpty()
         assert out.where(" or ".join(f"{c} <> 'mine'" for c in extra)).isEmpty()
         assert stage(spark, docs.where("false"), SF).isEmpty()
+    helpers = ("__h", "__slice", "__rank", "__Text_crc32", "__law", "__arc")
+    sharded = corpus_pipeline.shard(spark, docs.withColumns({c: F.lit("mine") for c in helpers}), SF)
+    assert sharded.where(" or ".join(f"{c} <> 'mine'" for c in (*extra, *helpers))).isEmpty() and sharded.count() == docs.count()
     assert corpus_pipeline.shard(spark, docs.where("false"), SF).isEmpty()
 
 
