@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import derive, derive_inline
 from ..functions.remote import normalize_remote, remote_error, resolve_remote
 from ..functions.text import canonical_json, short_identifier, single_line
-from ..operators import doctor, graph, lifecycle, projects, replay
+from ..operators import daily, doctor, graph, lifecycle, projects, replay
 from ..operators.attribution import activity_evidence, cascade, lineage_hints, thread_hints
 from ..operators.report import ReportQuery, daily_usage_utc, grand_total, latest_names, records, usage_report
 from ..operators.tour import euler_tour
@@ -246,6 +246,30 @@ def void_filter(spark, sf_dir):
     return replay.latest_revisions(view(spark, sf_dir, "revisions"), "source_event_id").where("not voided").select("source_event_id", "total")
 
 
+@query("daily_incremental", _FLAT + f""", f AS (SELECT src, arg_min(dst, depth) AS dst FROM ends GROUP BY src), last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_event_id ORDER BY revision DESC, event_id DESC) AS k FROM {dv("revisions")}) WHERE k = 1 AND NOT voided AND total IS NOT NULL)
+SELECT right(source_event_id, 10) AS utc_date, CAST(coalesce(f.dst, last.project_id) AS BIGINT) AS effective_project_id, CAST(sum(total) AS BIGINT) AS total_tokens, count(*) AS event_count FROM last LEFT JOIN f ON f.src = last.project_id GROUP BY 1, 2""")
+def daily_incremental(spark, sf_dir):
+    """First the first revisions, without aliases; then all later ones, voids and aliases as signed changes of days."""
+    work, shape = Scratch(spark), daily.Shape(("utc_date", "effective_project_id"), ("total_tokens",))
+    ledger = view(spark, sf_dir, "revisions")
+    flat, _ = graph.flatten_aliases(view(spark, sf_dir, "aliases"), work)
+
+    def state_of(events: DataFrame, aliases: DataFrame) -> DataFrame:
+        rows = replay.latest_revisions(events, "source_event_id").where("not voided and total is not null")
+        rows = rows.join(aliases.select(F.col("source").alias("project_id"), "target"), "project_id", "left")
+        return rows.select("source_event_id", "thread_key", "turn_key", F.col("project_id").alias("own_project_id"), F.expr("right(source_event_id, 10)").alias("utc_date"), F.coalesce("target", "project_id").cast("bigint").alias("effective_project_id"), F.col("total").alias("total_tokens"))
+
+    nothing = flat.where("false")
+    first = ledger.where("revision = 1")
+    state = work.save(state_of(first, nothing), "state")
+    stored = work.save(daily.day_changes(state.where("false"), state, shape), "daily")
+    keys = daily.affected(state, ledger.where("revision > 1"), projects=daily.changed_aliases(nothing, flat))
+    keys = work.save(keys, "keys")
+    after = work.save(state_of(ledger.join(keys, "source_event_id", "left_semi"), flat), "after")
+    changes = daily.day_changes(state.join(keys, "source_event_id", "left_semi"), after, shape)
+    return daily.shown(daily.merged(stored, changes, shape), shape)
+
+
 @query("alias_cycles", _FLAT + "SELECT node FROM cyc")
 def alias_cycles(spark, sf_dir):
     return graph.cycle_nodes(view(spark, sf_dir, "aliases"), Scratch(spark), "cycles")
