@@ -107,14 +107,16 @@ def lineage_hints(threads: DataFrame, parents: DataFrame, roots: DataFrame, dire
     return threads.select("thread_id").distinct().join(up, "thread_id", "left").join(root, "thread_id", "left").join(down, "thread_id", "left")
 
 
-def attribute(checkpoints: DataFrame, *, activity: DataFrame, self_remotes: DataFrame, parents: DataFrame, roots: DataFrame, manual: DataFrame, local: DataFrame, work: Scratch) -> DataFrame:
+def attribute(checkpoints: DataFrame, *, activity: DataFrame, self_remotes: DataFrame, parents: DataFrame, roots: DataFrame, manual: DataFrame, local: DataFrame, work: Scratch, manual_turns: DataFrame | None = None) -> DataFrame:
     """checkpoints(checkpoint, thread_id, ...) with project_identity, project_resolution and
     activity_repository_count.
 
     self_remotes(thread_id, self_kind, self_canonical); manual(thread_id, manual_project); local(thread_id,
-    local_project); activity: see activity_evidence.
+    local_project); activity: see activity_evidence. manual_turns(turn_id, manual_turn): goes before the thread's.
     """
     rows = checkpoints.join(activity_evidence(activity), "checkpoint", "left").join(self_remotes, "thread_id", "left").join(manual, "thread_id", "left").join(local, "thread_id", "left")
+    if manual_turns is not None:
+        rows = rows.join(manual_turns, "turn_id", "left").withColumn("manual_project", F.coalesce("manual_turn", "manual_project")).drop("manual_turn")
     rows = work.save(rows, "evidence")
     none = {"ancestor_project": F.lit(None).cast("string"), "root_project": F.lit(None).cast("string"), "descendant_projects": F.array().cast("array<string>")}
     direct = cascade(rows.withColumns(none)).where("project_identity is not null").select("thread_id", F.col("project_identity").alias("identity"))

@@ -34,6 +34,12 @@ def calculate_deltas(checkpoints: DataFrame, seeds: DataFrame | None = None, spl
         rows = scan(numbered, {"previous": Running("last", F.col("cumulative"), before=True)}, key=["file"], split="split__", order="record_index").drop("split__")
     if seeds is not None:
         rows = rows.join(seeds.select("file", "seed"), "file", "left").withColumn("previous", F.coalesce("previous", "seed")).drop("seed")
+    return deltas_of(rows).drop("previous")
+
+
+def deltas_of(rows: DataFrame) -> DataFrame:
+    """rows with cumulative, reported_last, operation, turn_id and previous (the counters before, null at first): adds delta
+    and flags. Streams have it too."""
     c, p = F.col("cumulative"), F.col("previous")
     fell = F.coalesce(c["total_tokens"] < p["total_tokens"], F.lit(False))
     each = {k: F.when(p.isNull(), c[k]).when(c[k] >= p[k], c[k] - p[k]) for k in COUNTERS}
@@ -50,7 +56,7 @@ def calculate_deltas(checkpoints: DataFrame, seeds: DataFrame | None = None, spl
         F.when(excluded, F.lit("compact_reported_last_excluded")),
         F.when(mismatch, F.lit("reported_last_mismatch")),
     ]
-    return rows.withColumn("flags", F.array_sort(F.array_compact(F.array(*flags)))).drop("previous")
+    return rows.withColumn("flags", F.array_sort(F.array_compact(F.array(*flags))))
 
 
 def fork_depths(threads: DataFrame, work: Scratch) -> DataFrame:

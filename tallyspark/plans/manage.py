@@ -59,8 +59,8 @@ def write_mappings(spark: SparkSession, ledger_root: str, outbox: DataFrame, wan
     payloads = work.save(rows.select("event_id", canonical_json(*EVENT_FIELDS["mapping"]).alias("payload_json")), "payloads")
     # rows that only together close a cycle, or name a subject twice, show here
     replay_without_cycles(events.unionByName(to_events(payloads.select(F.col("payload_json").alias("value")))), key, "the aliases close a cycle")
-    outbox, n = flush(spark, ledger_root, work.save(enqueue(outbox, payloads), "outbox"), key=key, device_id=device_id, work=work)
-    return Written(outbox, rows, n)
+    outbox, totals = flush(spark, ledger_root, work.save(enqueue(outbox, payloads), "outbox"), key=key, device_id=device_id, work=work)
+    return Written(outbox, rows, totals["appended"])
 
 
 def link(spark: SparkSession, ledger_root: str, outbox: DataFrame, rows: DataFrame, *, key: bytes, device_id: str, threads: DataFrame | None = None) -> Written:

@@ -19,11 +19,6 @@ def merge_cursors(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__r", best).where("__r = 1").drop("__r", "__new")
 
 
-def cursors_of(cursors: DataFrame, sources: DataFrame) -> DataFrame:
-    """The cursors of sources(source_id); all of them are the table itself."""
-    return cursors.join(sources.select("source_id").distinct(), "source_id", "left_semi")
-
-
 def enqueue(outbox: DataFrame, events: DataFrame) -> DataFrame:
     """outbox(event_id, payload_json, sequence, flushed_at) with new events behind; same id and payload is nothing new."""
     require_empty(payload_conflicts(outbox.select("event_id", "payload_json").unionByName(events.select("event_id", "payload_json"))), "outbox")
@@ -50,10 +45,6 @@ def known_source_ids(payloads: DataFrame) -> DataFrame:
     return payloads.where(get("event_type") == "usage_checkpoint").select(get("source_event_id").alias("source_event_id")).where("source_event_id is not null").distinct()
 
 
-def unknown_events(checkpoints: DataFrame, known: DataFrame) -> DataFrame:
-    return checkpoints.join(known, "source_event_id", "left_anti")
-
-
 def record_issues(issues: DataFrame, new: DataFrame) -> DataFrame:
     return issues.unionByName(new).dropDuplicates(["source_id", "record_index", "code"])
 
@@ -61,7 +52,7 @@ def record_issues(issues: DataFrame, new: DataFrame) -> DataFrame:
 def begin_run(runs: DataFrame, kind: str) -> DataFrame:
     """runs with a running row behind; its id is one more than the last."""
     last = runs.agg((F.coalesce(F.max("run_id"), F.lit(0)) + 1).alias("run_id"))
-    new = {"status": F.lit("running"), "detail": F.lit(kind), "started_at": F.current_timestamp(), "finished_at": F.lit(None)}
+    new = {"status": F.lit("running"), "kind": F.lit(kind), "detail": F.lit(None), "started_at": F.current_timestamp(), "finished_at": F.lit(None)}
     return runs.unionByName(last.select(*[new.get(f.name, F.col("run_id")).cast(f.dataType).alias(f.name) for f in runs.schema.fields]))
 
 
