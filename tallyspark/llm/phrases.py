@@ -19,6 +19,7 @@ texts are not cut.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,13 @@ from ._work import UPPER, Workspace, forget_shuffles, small, table
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bytes of text of a unit: larger ones repeat fewer entries between units, and a task holds a few of them.
 UNIT_BYTES = 6 << 20
+#: Passes in which the pairs of a round are counted: what a pass shuffles is gone before the next one.
+PASSES = 3
 #: Rows that leave a task at a time.
 SLICE = 1 << 16
 #: Parts in which a language's best phrases are found before its ranks are given.
 PARTS = 64
+MIX = np.uint64(0x9E3779B97F4A7C15)
 BREAKS = b".,;:!?\x0b\x0c\r"
 BYTES = bytes.maketrans(UPPER.encode() + BREAKS + b"\t", UPPER.lower().encode() + b"\n" * len(BREAKS) + b" ")
 UNIT = "unit long, lang string, n long, words array<string>, counts array<long>, codes binary"
@@ -120,20 +124,29 @@ def pair_keys(c: np.ndarray) -> np.ndarray:
     return np.where((c[:-1] >= 0) & (c[1:] >= 0), c[:-1] << 32 | c[1:], -1)
 
 
-def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, first, last, n): each pair of adjacent symbols of a unit once, in the order of pair_keys."""
-    for batch in batches:
-        for unit, codes, ids in zip(batch.column("unit").to_pylist(), batch.column("codes"), batch.column("ids"), strict=True):
-            keys = pair_keys(unpacked(codes))
-            key, n = np.unique(keys[keys >= 0], return_counts=True)
-            del keys
-            if len(key) >> ENTRY_BITS:
-                raise ValueError("more pairs of a unit than a place can name")
-            names = ids.values.to_numpy()
-            for k in range(0, len(key), SLICE):
-                part = key[k : k + SLICE]
-                columns = [(unit << ENTRY_BITS) + k + np.arange(len(part)), names[part >> 32], names[part & 0xFFFFFFFF], n[k : k + SLICE]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["place", "first", "last", "n"])
+def pairs_of(turn: int, passes: int):
+    """Function of a task: (place, first, last, n) of each pair of adjacent symbols of a unit, once; the pairs that are
+    dealt to a pass by their names. A place numbers all pairs of its unit, in the order of pair_keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, codes, ids in zip(batch.column("unit").to_pylist(), batch.column("codes"), batch.column("ids"), strict=True):
+                keys = pair_keys(unpacked(codes))
+                key, n = np.unique(keys[keys >= 0], return_counts=True)
+                del keys
+                if len(key) >> ENTRY_BITS:
+                    raise ValueError("more pairs of a unit than a place can name")
+                names = ids.values.to_numpy()
+                for k in range(0, len(key), SLICE):
+                    part = key[k : k + SLICE]
+                    first, last = names[part >> 32], names[part & 0xFFFFFFFF]
+                    with np.errstate(over="ignore"):
+                        dealt = (first.astype(np.uint64) * MIX + last.astype(np.uint64)) * MIX >> np.uint64(40)
+                    mine = np.flatnonzero(dealt % np.uint64(passes) == turn)
+                    columns = [(unit << ENTRY_BITS) + k + mine, first[mine], last[mine], n[k : k + SLICE][mine]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["place", "first", "last", "n"])
+
+    return run
 
 
 def renamed(pairs: bool):
@@ -197,11 +210,13 @@ def mine_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
     facts = words.select("id", "lang", F.array("word").alias("words"), "f", none.alias("heads"), none.alias("tails"))
     levels = []
     for k in range(2, longest + 1):
-        same = Window.partitionBy("first", "last")
-        pairs = sequences.mapInArrow(pairs_of, "place long, first long, last long, n long")
-        named = pairs.select("place", "first", "last", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("id"))
-        named = work.save(named.where(F.col("f") >= least), f"named-{k}")
-        forget_shuffles(docs.sparkSession)
+        same, parts = Window.partitionBy("first", "last"), []
+        for turn in range(PASSES):
+            pairs = sequences.mapInArrow(pairs_of(turn, PASSES), "place long, first long, last long, n long")
+            found = pairs.select("place", "first", "last", F.sum("n").over(same).alias("f"), F.min("place").over(same).alias("id"))
+            parts.append(work.save(found.where(F.col("f") >= least), f"named-{k}-{turn}"))
+            forget_shuffles(docs.sparkSession)
+        named = functools.reduce(DataFrame.unionByName, parts)
         names = named.where("place = id").select("id", "first", "last", "f")
         if k < longest:
             own = named.select(F.shiftright("place", ENTRY_BITS).alias("unit"), F.col("place").bitwiseAND((1 << ENTRY_BITS) - 1).alias("entry"), "id")
@@ -214,7 +229,7 @@ def mine_phrases(docs: DataFrame, *, least: int = LEAST, longest: int = LONGEST,
         facts = grown.select("id", "lang", F.concat("front", F.array("end")).alias("words"), "f", F.concat("heads", F.array("head_f")).alias("heads"), F.concat(F.array("tail_f"), "tails").alias("tails"), "first", "last")
         facts = work.save(facts, f"facts-{k}")
         levels.append(facts)
-        work.drop(f"named-{k}")
+        work.drop(*[f"named-{k}-{turn}" for turn in range(PASSES)])
     candidates = None
     for k, level in enumerate(levels):
         if k + 1 < len(levels):
