@@ -6,14 +6,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import is_identifier
-from ..functions.text import CONTROL, ISO, UUID
+from ..functions.text import CONTROL, UUID
 from ..schemas import COUNTERS, EVENT_FIELDS, MAPPING_KINDS, OPERATIONS, RESOLUTIONS, SOURCE_KINDS, SUBJECT_TYPES
+from .jsonschema import compile_schema, violations_of
 
 # Names that no ledger event may hold, at any depth.
 FORBIDDEN_KEYS = (
@@ -55,67 +54,41 @@ def _as(doc: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(doc, path, kind)
 
 
-def _is_count(value: Column) -> Column:
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    return (kind == "VOID") | ((kind == "BIGINT") & (_as(value, "$", "bigint") >= 0))
-
-
-def _tests(value: Column, kind: Column, text: Column, low: Column, high: Column, options: Column) -> dict[str, Column]:
-    """Whether a value of a JSON type (kind) keeps a rule, for each kind of rule."""
-    number, size = text.try_cast("double"), F.length(text)
-    is_int, is_text = kind == "BIGINT", kind == "STRING"
-    within = lambda v: (v >= low) & (high.isNull() | (v <= high))
-    items, parts = _as(value, "$", "array<string>"), _as(value, "$", "map<string,variant>")
-    counters = F.array_sort(F.array(*[F.lit(c) for c in COUNTERS]))
-    return {
-        "const": is_int & (number == low),
-        "int": is_int & within(number),
-        "num": (is_int | F.startswith(kind, F.lit("DECIMAL")) | (kind == "DOUBLE")) & within(number),
-        "bool": kind == "BOOLEAN",
-        "enum": is_text & F.array_contains(options, text),
-        "uuid": is_text & F.lower(text).rlike(UUID),
-        "time": is_text & text.rlike(ISO + r"(Z|[+-]\d{2}:\d{2})$") & F.try_to_timestamp(text).isNotNull(),
-        "id": is_text & size.between(8, 256),
-        "text": is_text & within(size),
-        "strings": kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & (F.size(F.array_distinct(items)) == F.size(items)),
-        "counts": F.startswith(kind, F.lit("OBJECT")) & (F.array_sort(F.map_keys(parts)) == counters) & F.forall(F.map_values(parts), _is_count),
+def ledger_schema() -> dict:
+    """The closed schema of ledger events as a JSON Schema document."""
+    nullable = lambda schema: {"oneOf": [schema, {"type": "null"}]}
+    count = {"type": ["integer", "null"], "minimum": 0}
+    definitions = {
+        "id": {"type": "string", "minLength": 8, "maxLength": 256},
+        "time": {"type": "string", "format": "date-time"},
+        "counts": {"type": "object", "additionalProperties": False, "required": list(COUNTERS), "properties": dict.fromkeys(COUNTERS, count)},
     }
+    bounds = {"int": ("integer", "minimum", "maximum"), "num": ("number", "minimum", "maximum"), "text": ("string", "minLength", "maxLength")}
+
+    def field(kind: str, arg) -> dict:
+        plain = kind.rstrip("?")
+        if plain in definitions:
+            out = {"$ref": f"#/$defs/{plain}"}
+        elif plain in bounds:
+            name, low, high = bounds[plain]
+            out = {"type": name} | {k: v for k, v in zip((low, high), arg, strict=True) if v is not None}
+        else:
+            out = {"const": {"const": arg}, "enum": {"enum": list(arg or ()) if plain == "enum" else None}, "bool": {"type": "boolean"}, "uuid": {"type": "string", "format": "uuid"}, "strings": {"type": "array", "items": {"type": "string"}, "uniqueItems": True}}[plain]
+        return nullable(out) if kind.endswith("?") else out
+
+    events = []
+    for name, fields in RULES.items():
+        properties = {"event_type": {"const": name}} | {f: field(*rule) for f, rule in fields.items()}
+        events.append({"type": "object", "additionalProperties": False, "required": list(EVENT_FIELDS[name]), "properties": properties})
+    return {"oneOf": events, "$defs": definitions}
 
 
-def _rules() -> Column:
-    """The rules as a map from `<event type> <field>`; a constant."""
-    rows = {}
-    for name, fields in RULES.items():
-        for field, (kind, arg) in fields.items():
-            low, high = (arg, None) if kind == "const" else arg if kind.rstrip("?") in ("int", "num", "text") else (None, None)
-            rows[f"{name} {field}"] = {"kind": kind.rstrip("?"), "nullable": kind.endswith("?"), "low": low, "high": high, "options": list(arg) if kind == "enum" else None}
-    return F.from_json(F.lit(json.dumps(rows)), "map<string,struct<kind:string,nullable:boolean,low:double,high:double,options:array<string>>>")
+LEDGER = compile_schema(ledger_schema())
 
 
 def schema_violations(lines: DataFrame, column: str = "value") -> DataFrame:
-    """lines with violations: sorted codes `json`, `event_type`, `unexpected:<key>`, `missing:<key>`, `<field>`.
-
-    A line is parsed once into its entries; each entry looks its rule up, so the work grows with the keys that a
-    line has, not with the number of rules.
-    """
-    parsed = {"__v": F.try_parse_json(F.col(column)), "__m": F.from_json(F.col(column), "map<string,variant>")}
-    doc, entries = F.col("__v"), F.coalesce(F.map_entries("__m"), F.array().cast("array<struct<key:string,value:variant>>"))
-    typed = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).alias("kind"), _as(e["value"], "$", "string").alias("text"), F.element_at(_rules(), F.concat_ws(" ", "__kind", e["key"])).alias("rule")))
-
-    def wrong(e: Column) -> Column:
-        r, test = e["rule"], F.lit(False)
-        for kind, ok in reversed(_tests(e["value"], e["kind"], e["text"], r["low"], r["high"], r["options"]).items()):
-            test = F.when(r["kind"] == kind, ok).otherwise(test)
-        return F.when(r.isNotNull() & ~(r["nullable"] & (e["kind"] == "VOID")) & ~F.coalesce(test, F.lit(False)), e["key"])
-
-    rows = lines.withColumns(parsed).withColumn("__kind", _as(doc, "$.event_type", "string")).withColumn("__e", typed)
-    keys, own = F.transform("__e", lambda e: e["key"]), F.when(F.lit(False), F.array().cast("array<string>"))
-    for name in RULES:
-        own = own.when(F.col("__kind") == name, F.array(*[F.lit(f) for f in EVENT_FIELDS[name]]))
-    rows = rows.withColumns({"__keys": keys, "__own": own})
-    codes = F.concat(F.transform(F.array_except("__keys", "__own"), lambda k: F.concat(F.lit("unexpected:"), k)), F.transform(F.array_except("__own", "__keys"), lambda k: F.concat(F.lit("missing:"), k)), F.array_compact(F.transform("__e", wrong)))
-    found = F.when(doc.isNull() | ~F.coalesce(F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), F.lit(False)), F.array(F.lit("json"))).when(~F.coalesce(F.col("__kind").isin(*RULES), F.lit(False)), F.array(F.lit("event_type"))).otherwise(codes)
-    return rows.withColumn("violations", F.array_sort(found)).drop("__v", "__m", "__kind", "__e", "__keys", "__own")
+    """lines with violations of the ledger's schema: see violations_of; `event_type` where there is no such type."""
+    return violations_of(lines, LEDGER, column)
 
 
 def location_codes(value: Column) -> Column:

@@ -515,6 +515,63 @@ def q_schema_violations(spark, sf_dir):
     return schema_violations(lines).select("event_id", F.array_join("violations", ",").alias("codes"))
 
 
+_COMMON = '"schema_version":1,"device_id":"11111111-1111-4111-8111-111111111111","key_id":"key_h1_0123456789","occurred_at":"2026-08-25T15:30:00Z"'
+_NULLS = ("supersedes", "project_id", "root_thread_key", "parent_thread_key", "forked_from_thread_key", "turn_key", "model", "reasoning_effort", "cli_version", "delta")
+
+
+def _event_lines(spark: SparkSession, sf_dir: str, *parts) -> DataFrame:
+    """A JSON line for each event: parts are texts and columns, one after the other."""
+    line = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return spread(table(spark, sf_dir, "events").select("event_id")).select("event_id", line.alias("value"))
+
+
+def _every(n: int, then: str, otherwise: str):
+    return F.when(F.col("event_id") % n == 0, then).otherwise(otherwise)
+
+
+@query("schema_usage", """SELECT event_id, concat_ws(',', CASE WHEN event_id % 7 = 0 THEN 'cumulative.output_tokens' END, CASE WHEN event_id % 11 = 0 THEN 'flags' END, CASE WHEN event_id % 13 = 0 THEN 'missing:reported_last.total_tokens' END, CASE WHEN event_id % 5 = 0 THEN 'operation' END, CASE WHEN event_id % 3 = 0 THEN 'unexpected:path' END) AS codes FROM events""")
+def schema_usage(spark, sf_dir):
+    """Usage events with faults at two depths."""
+    counters = ",".join(f'"{c}":null' for c in ("input_tokens", "cached_input_tokens", "cache_write_input_tokens", "reasoning_output_tokens"))
+    lines = _event_lines(
+        spark,
+        sf_dir,
+        "{" + _COMMON + ',"event_type":"usage_checkpoint","source_event_id":"src_h1_0123456789","revision":1,"voided":false,"parser_version":"1","project_resolution":"root","activity_repository_count":0,"thread_key":"thr_h1_0123456789","source_kind":"cli",',
+        ",".join(f'"{c}":null' for c in _NULLS) + ',"event_id":"evt_h1_0123456789","token_event_ordinal":',
+        F.col("event_id").cast("string"),
+        ',"operation":',
+        _every(5, '"other"', '"turn"'),
+        ',"flags":',
+        _every(11, '["a","a"]', '["a","b"]'),
+        ',"cumulative":{"total_tokens":9,' + counters + ',"output_tokens":',
+        _every(7, "-1", "1"),
+        '},"reported_last":{"output_tokens":1,' + counters,
+        _every(13, "", ',"total_tokens":2'),
+        "}",
+        _every(3, ',"path":{"a":[1]}', ""),
+        "}",
+    )
+    return schema_violations(lines).select("event_id", F.array_join("violations", ",").alias("codes"))
+
+
+@query("schema_quota", """SELECT event_id, concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'event_type' END, CASE WHEN event_id % 13 <> 0 AND event_id % 7 = 0 THEN 'missing:reset_at' END, CASE WHEN event_id % 13 <> 0 AND event_id % 5 = 0 THEN 'used_percent' END, CASE WHEN event_id % 13 <> 0 AND event_id % 3 = 0 THEN 'window_minutes' END) AS codes FROM events""")
+def schema_quota(spark, sf_dir):
+    """Quota snapshots beyond their bounds, and events of no known type."""
+    lines = _event_lines(
+        spark,
+        sf_dir,
+        "{" + _COMMON + ',"event_id":"quota_h1_0123456789","scope_key":null,"remaining_percent":0.5,"event_type":',
+        _every(13, '"gauge"', '"quota_snapshot"'),
+        ',"used_percent":',
+        _every(5, "100.25", "99.75"),
+        ',"window_minutes":',
+        _every(3, "0", "null"),
+        _every(7, "", ',"reset_at":"2026-08-25T15:30:00+09:00"'),
+        "}",
+    )
+    return schema_violations(lines).select("event_id", F.array_join("violations", ",").alias("codes"))
+
+
 @query("short_identifier", "SELECT page_id, CASE WHEN len(url) > 12 THEN substr(url, 1, 8) || '…' ELSE url END AS short, regexp_replace(url, '[\\x00-\\x1f\\x7f]', ' ', 'g') AS line FROM pages")
 def q_short_identifier(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", short_identifier(F.col("url")).alias("short"), single_line(F.col("url")).alias("line"))
