@@ -23,9 +23,10 @@ def says(pattern: str, *values) -> Column:
     return F.format_string(pattern, *values)
 
 
-def rollouts(files: DataFrame) -> DataFrame:
+def rollouts(files: DataFrame, there: bool = True) -> DataFrame:
+    """A home that is missing is an error, one without logs a warning."""
     n = files.agg(F.count("*").alias("n"))
-    return check("rollouts", n, warn_if(F.col("n") == 0), says("%d files", "n"))
+    return check("rollouts", n, warn_if(F.col("n") == 0) if there else F.lit("error"), says("%d files", "n") if there else F.lit("the home is missing"))
 
 
 def lineage(issues: DataFrame) -> DataFrame:
@@ -57,17 +58,19 @@ def join_check(rollout_threads: DataFrame, inventory: DataFrame) -> DataFrame:
     return check("source-join", counts, warn_if((F.col("left_only") > 0) | (F.col("right_only") > 0)), says("%d in logs only, %d in the inventory only", "left_only", "right_only"))
 
 
-def state_database(candidates: DataFrame) -> DataFrame:
-    """candidates(version): state databases that were found. None is an error, several of the last version too."""
-    c = candidates.agg(F.count("*").alias("n"), F.count_if(F.col("version") == F.lit(candidates.agg(F.max("version")).first()[0])).alias("last"))
-    return check("state-db", c, F.when(F.col("last") == 1, "ok").otherwise("error"), says("%d found, %d of the last version", "n", "last"))
+def state_database(spark: SparkSession, threads: DataFrame | None, edges: DataFrame | None) -> DataFrame:
+    """None is a warning: the logs will do."""
+    if threads is None:
+        return check("state-db", spark.range(1), F.lit("warning"), F.lit("no state database; logs only"))
+    n = threads.agg(F.count("*").alias("threads"), F.lit(0).alias("k"))
+    m = edges.agg(F.count("*").alias("edges"), F.lit(0).alias("k")) if edges is not None else spark.range(1).select(F.lit(0).alias("edges"), F.lit(0).alias("k"))
+    return check("state-db", n.join(m, "k"), F.lit("ok"), says("%d threads, %d edges", "threads", "edges"))
 
 
-def local_state(tables: DataFrame, version: int) -> DataFrame:
-    """tables(name, schema_version, readable): newer or unreadable is an error, older a warning."""
-    c = tables.agg(F.count_if(~F.col("readable")).alias("broken"), F.count_if(F.col("schema_version") > version).alias("newer"), F.count_if(F.col("schema_version") < version).alias("older"))
-    status = F.when((F.col("broken") > 0) | (F.col("newer") > 0), "error").otherwise(warn_if(F.col("older") > 0))
-    return check("local-state", c, status, says("%d unreadable, %d newer, %d older", "broken", "newer", "older"))
+def local_state(spark: SparkSession, there: bool, found: int, version: int) -> DataFrame:
+    """None yet is a warning, a newer one an error, an older one a warning."""
+    status = "warning" if not there or found < version else "error" if found > version else "ok"
+    return check("local-state", spark.range(1), F.lit(status), F.lit(f"version {found}, known {version}" if there else "no state yet"))
 
 
 def run_history(name: str, runs: DataFrame) -> DataFrame:
@@ -95,8 +98,10 @@ def parser_issues(issues: DataFrame) -> DataFrame:
     return check("parser-issues", summary(issues, "code"), warn_if(F.col("n") > 0), says("%d: %s", "n", "list"))
 
 
-def classification(usage: DataFrame) -> DataFrame:
-    return check("classification", summary(usage.where("effective_project_id is null"), "project_resolution"), warn_if(F.col("n") > 0), says("%d: %s", "n", "list"))
+def classification(usage: DataFrame, threads: DataFrame) -> DataFrame:
+    """threads: one row with the number of threads that have unresolved events."""
+    counts = summary(usage.where("effective_project_id is null"), "project_resolution").withColumn("k", F.lit(0)).join(threads.select("threads", F.lit(0).alias("k")), "k")
+    return check("classification", counts, warn_if(F.col("n") > 0), says("%d events of %d threads: %s", "n", "threads", "list"))
 
 
 def ledger(violations: DataFrame, partial_files: DataFrame) -> DataFrame:

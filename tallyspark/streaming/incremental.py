@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the incremental work: new ledger events, deltas with state, windowed usage."""
+"""Structured Streaming forms of the incremental work: new ledger events, rebuilds on them, deltas with state."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
-from ..functions.text import utc_instant
+from ..operators.lifecycle import deltas_of
 from ..schemas import EVENT
 
-DELTA = "file string, record_index long, total_tokens long, delta_total long, regressed boolean"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ORDERED = "file string, sequence long, payload string, before string, missing boolean"
+ORDERED_NAMES = [part.split()[0] for part in ORDERED.split(", ")]
 
 
 def ledger_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -33,27 +36,69 @@ def rebuild_on_change(events: DataFrame, rebuild: Callable[[SparkSession], None]
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def next_deltas(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """State of a file: last record and its total. Records that were seen (a file read again) give nothing."""
-    seen, total = state.get if state.exists else (0, None)
-    rows = pd.concat(list(batches)).sort_values("record_index", kind="stable").drop_duplicates("record_index")
-    out = []
-    for at, now in zip(rows["record_index"], rows["total_tokens"], strict=True):
-        if at <= seen:
-            continue
-        fell = total is not None and now < total
-        out.append((key[0], int(at), int(now), None if fell else int(now - (total or 0)), fell))
-        seen, total = int(at), int(now)
-    state.update((seen, total))
-    yield pd.DataFrame(out, columns=["file", "record_index", "total_tokens", "delta_total", "regressed"]).astype({"delta_total": "Int64"})
-
-
-def delta_stream(checkpoints: DataFrame) -> DataFrame:
-    """Streaming checkpoints(file, record_index, total_tokens) -> totals with deltas, one state per file."""
-    return checkpoints.groupBy("file").applyInPandasWithState(next_deltas, DELTA, "seen long, total long", "append", "NoTimeout")
-
-
-def windowed_usage(usage: DataFrame, *, every: str = "1 day", late: str = "7 days") -> DataFrame:
-    """Tokens by window and project from a stream of usage events; windows close when the watermark passes them."""
-    rows = usage.withColumn("at", utc_instant(F.col("occurred_at"))).withWatermark("at", late)
-    return rows.groupBy(F.window("at", every).alias("w"), "project_id").agg(F.sum("delta.total_tokens").alias("total_tokens"), F.count("*").alias("events")).select(F.col("w.start").alias("window_start"), "project_id", "total_tokens", "events")
+class InOrder(StatefulProcessor):
+    """Gives the records of a file in their order, each with the one before it, whatever order they come in.
+
+    State: the last record given, and those that wait for a predecessor. Records that were given before (a file read
+    again) give nothing. A timer tells the place of a predecessor that does not come; what waits goes on waiting.
+    """
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.given = handle.getValueState("given", "sequence long, payload string")
+        self.waiting = handle.getMapState("waiting", "sequence long", "payload string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        at, before = self.given.get() if self.given.exists() else (0, None)
+        new = {}
+        for batch in rows:
+            new |= {int(k): v for k, v in zip(batch["sequence"], batch["payload"], strict=True) if k > at}
+        held, out = self.waiting.exists(), []
+        while True:
+            payload = new.pop(at + 1, None)
+            if held and self.waiting.containsKey((at + 1,)):
+                payload = payload or self.waiting.getValue((at + 1,))[0]
+                self.waiting.removeKey((at + 1,))
+            if payload is None:
+                break
+            at += 1
+            out.append((key[0], at, payload, before, False))
+            before = payload
+        if out:
+            self.given.update((at, before))
+        for sequence, payload in new.items():
+            self.waiting.updateValue((sequence,), (payload,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if self.waiting.exists():
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
+        yield pd.DataFrame(out, columns=ORDERED_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.waiting.exists():
+            at = self.given.get()[0] if self.given.exists() else 0
+            yield pd.DataFrame([(key[0], at + 1, None, None, True)], columns=ORDERED_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def delta_stream(checkpoints: DataFrame, *, patience_ms: int = 3_600_000) -> DataFrame:
+    """Streaming checkpoints(file, sequence from 1 without gaps, record_index, turn_id, operation, cumulative, reported_last)
+    in any order -> the same with delta and flags as calculate_deltas gives them, and missing: rows that hold nothing but
+    the sequence of a predecessor that has not come for patience_ms. Needs the RocksDB state store."""
+    spark = checkpoints.sparkSession
+    if "RocksDB" not in spark.conf.get(STATE_STORE):
+        raise ValueError(f"{STATE_STORE}: the RocksDB provider")
+    rest = [f for f in checkpoints.schema.fields if f.name not in ("file", "sequence")]
+    kind = StructType(rest)
+    # counters travel as text, since pandas has no exact integers beside nulls
+    rows = checkpoints.select("file", "sequence", F.to_json(F.struct(*[f.name for f in rest])).alias("payload"))
+    ordered = rows.groupBy("file").transformWithStateInPandas(InOrder(patience_ms), ORDERED, "append", "ProcessingTime")
+    ordered = ordered.select("file", "sequence", F.from_json("payload", kind).alias("now"), F.from_json("before", kind)["cumulative"].alias("previous"), "missing")
+    ordered = ordered.select("file", "sequence", "now.*", "previous", "missing")
+    done = deltas_of(ordered).drop("previous")
+    return done.withColumns({c: F.when(~F.col("missing"), F.col(c)) for c in ("delta", "flags")})

@@ -14,7 +14,6 @@ from tallyspark.operators.validate import privacy_violations
 from tallyspark.schemas import COUNTERS
 from tallyspark.sources.state import enqueue, known_source_ids, mark_flushed, merge_cursors, pending
 from tallyspark.sources.threads import InventoryError, pick_state_file, read_inventory
-from tallyspark.streaming.incremental import delta_stream, ledger_stream
 from tallyspark.work import Scratch
 
 SAME = "github.com/owner/repository"
@@ -162,23 +161,3 @@ def test_state_tables(spark):
     assert merge_cursors(old, spark.createDataFrame([("a", 2, 6, 12)], old.schema)).first()["last_record"] == 12
     with pytest.raises(ValueError):
         merge_cursors(old, spark.createDataFrame([("a", 1, 5, 9)], old.schema))
-
-
-def test_streams(spark, tmp_path):
-    source = tmp_path / "in"
-    rows = lambda *r: spark.createDataFrame(list(r), "file string, record_index long, total_tokens long").coalesce(1).write.mode("append").parquet(f"file://{source}")
-    rows(("f", 1, 110), ("f", 2, 100), ("g", 1, 7))
-    out = []
-
-    def keep(batch, _):
-        out.extend(tuple(r) for r in batch.collect())
-
-    def run():
-        stream = delta_stream(spark.readStream.schema("file string, record_index long, total_tokens long").parquet(f"file://{source}"))
-        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"file://{tmp_path}/offsets").trigger(availableNow=True).start().awaitTermination(120)
-
-    run()
-    rows(("f", 2, 100), ("f", 3, 120))  # the file again, with one record more
-    run()
-    assert sorted(out) == [("f", 1, 110, 110, False), ("f", 2, 100, None, True), ("f", 3, 120, 20, False), ("g", 1, 7, 7, False)]
-    assert ledger_stream(spark, f"file://{tmp_path}").isStreaming if (tmp_path / "devices").mkdir() is None else False
