@@ -314,6 +314,28 @@ def test_identity_terms_do_not_move_scores(spark):
     assert got[500]["score"] == got[501]["score"] and got[1]["shard"] == "x"
 
 
+def test_swap_penalty_lowers_false_positives(spark):
+    """Toxic sentences name one group far more often than another: the plain fit takes the group for a sign of toxicity."""
+    rows = []
+    for i in range(400):
+        toxic = i % 2
+        group = ("muslim" if i % 20 < 18 else "christian") if toxic else ("christian" if i % 20 < 18 else "muslim")
+        # four in ten say nothing but the group, so only that is left to go by
+        text = f"here come {group} folk" if i // 2 % 5 < 2 else f"those {group} folk are vile scum" if toxic else f"the {group} folk met in the park"
+        rows.append((i, f"{text} number{i % 7}", "a"))
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, toxic int")
+    ask = docs(spark, [(1, "here come muslim folk", "a"), (2, "here come christian folk", "a"), (3, "those muslim folk are vile scum", "a"), (4, "those christian folk are vile scum", "a")])
+
+    def scores(penalty):
+        model = toxicity.fit(docs(spark, rows), labels, swap_penalty=penalty)
+        return model, {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(ask, model).collect()}
+
+    (plain, before), (fair, after) = scores(0.0), scores(4.0)
+    assert plain.n_swaps == fair.n_swaps > 0
+    assert before[1] - before[2] > 0.1 and abs(after[1] - after[2]) < (before[1] - before[2]) / 3
+    assert before[1] > 0.7 > max(after[1], after[2]) and min(after[3], after[4]) > 0.7  # a neutral mention is no more rejected
+
+
 def test_quality_edges(spark):
     model = quality.fit(docs(spark, []).where("false"), spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.score_quality(docs(spark, ODD), model).count() == len(ODD)
@@ -322,7 +344,7 @@ def test_quality_edges(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     expected, df = c.sql(ORACLE_SQL[name]), QUERIES[name](spark, SF)
     names = expected.columns
