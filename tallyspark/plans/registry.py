@@ -15,7 +15,8 @@ from ..operators.attribution import activity_evidence, cascade, lineage_hints, t
 from ..operators.report import ReportQuery, daily_usage_utc, grand_total, latest_names, records, usage_report
 from ..operators.tour import euler_tour
 from ..operators.validate import location_codes, schema_violations
-from ..sources.rollouts import parse_rollouts
+from ..sources.appendonly import append_only, split_digests
+from ..sources.rollouts import parse_rollouts, read_lines
 from ..work import Scratch, spread
 from .views import duckdb_view as dv
 from .views import view
@@ -479,6 +480,31 @@ def carry_forward_context(spark, sf_dir):
     return parse_rollouts(rollout_lines(spark, sf_dir)).checkpoints.select("file", F.col("cumulative.total_tokens").alias("total_tokens"), "model", "reasoning_effort", "operation")
 
 
+@query("log_record_numbers", """SELECT conv_id // 50 AS log, row_number() OVER (PARTITION BY conv_id // 50 ORDER BY conv_id, turn) AS record_index, concat('{"conv":', conv_id, ',"turn":', turn, ',"role":"', role, '"}') AS line FROM conversations""")
+def log_record_numbers(spark, sf_dir):
+    """Fifty conversations to a log, written as text and numbered as the blocks of the files are read."""
+    work = Scratch(spark)
+    line = F.format_string('{"conv":%d,"turn":%d,"role":"%s"}', F.col("conv_id"), F.col("turn"), F.col("role"))
+    rows = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 50").alias("log"), "conv_id", "turn", line.alias("value"))
+    rows.repartition("log").sortWithinPartitions("log", "conv_id", "turn").select("log", "value").write.partitionBy("log").text(f"{work.root}/logs")
+    found = read_lines(spark, f"{work.root}/logs", work=work, pattern="*.txt")
+    return found.select(F.regexp_extract("file", r"/log=(\d+)/", 1).cast("bigint").alias("log"), "record_index", "line")
+
+
+@query("split_log_deltas", f"""SELECT file, record_index, d_total AS delta_total, d_input AS delta_input, {_FLAGS} AS flags FROM ({_DELTA.format(dv("checkpoints"))})""")
+def split_log_deltas(spark, sf_dir):
+    """Splits of two records, dealt out in any order."""
+    rows = Scratch(spark).save(checkpoints(spark, sf_dir).repartition(7, F.rand(3)), "rows")
+    return lifecycle.calculate_deltas(rows, split_rows=2).select("file", "record_index", F.col("delta.total_tokens").alias("delta_total"), F.col("delta.input_tokens").alias("delta_input"), F.array_join("flags", ",").alias("flags"))
+
+
+@query("split_log_ordinals", ORACLE_SQL["turn_ordinals"])
+def split_log_ordinals(spark, sf_dir):
+    """turn_ordinals again, where no task sees more than two records of a log."""
+    parsed = parse_rollouts(rollout_lines(spark, sf_dir), split_rows=2)
+    return parsed.checkpoints.select("file", F.col("cumulative.total_tokens").alias("total_tokens"), "turn_id", "ordinal")
+
+
 @query("rollout_metadata", f"""SELECT DISTINCT file, thread_id, thread_id AS root_session_id, 'cli' AS source_kind FROM {dv("checkpoints")}""")
 def rollout_metadata(spark, sf_dir):
     return parse_rollouts(rollout_lines(spark, sf_dir)).metadata.select("file", "thread_id", "root_session_id", "source_kind")
@@ -572,6 +598,22 @@ def schema_quota(spark, sf_dir):
     return schema_violations(lines).select("event_id", F.array_join("violations", ",").alias("codes"))
 
 
+_FILES = "SELECT concat('log-', user_id % 60) AS file, user_id % 60 AS k, row_number() OVER (PARTITION BY user_id % 60 ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id % 60) AS n, concat(event_id, ' ', event_type) AS line FROM {events}"
+_OLD = "SELECT file, CAST(i AS BIGINT) AS record_index, line FROM ({files}) f WHERE k % 10 <> 9 AND i <= n - (k % 3) * 4"
+_NEW = "SELECT file, CAST(i AS BIGINT) AS record_index, CASE WHEN k % 10 = 0 AND i = 3 THEN concat(line, '!') ELSE line END AS line FROM ({files}) f WHERE k % 10 <> 2 AND (k % 10 <> 1 OR i <= n - 20)"
+
+
+@query("append_only_files", f"""WITH o AS ({_OLD.format(files=_FILES.format(events="events"))}), n AS ({_NEW.format(files=_FILES.format(events="events"))}),
+b AS (SELECT coalesce(o.file, n.file) AS file, count(o.file) AS olds, count(n.file) AS news, count(*) FILTER (o.line <> n.line) AS other, count(*) FILTER (n.file IS NULL) AS missing FROM o FULL JOIN n ON n.file = o.file AND n.record_index = o.record_index GROUP BY 1)
+SELECT file, CASE WHEN olds = 0 THEN 'new' WHEN news = 0 THEN 'gone' WHEN other > 0 THEN 'changed' WHEN missing > 0 THEN 'cut' WHEN news > olds THEN 'appended' ELSE 'same' END AS status FROM b""")
+def append_only_files(spark, sf_dir):
+    """Two states of logs made of events, in splits of 16 lines."""
+    events = table(spark, sf_dir, "events")
+    old, new = (spark.sql(text.format(files=_FILES), events=events) for text in (_OLD, _NEW))
+    state = Scratch(spark).save(split_digests(old, 16), "state")
+    return append_only(state, new, 16)
+
+
 @query("short_identifier", "SELECT page_id, CASE WHEN len(url) > 12 THEN substr(url, 1, 8) || '…' ELSE url END AS short, regexp_replace(url, '[\\x00-\\x1f\\x7f]', ' ', 'g') AS line FROM pages")
 def q_short_identifier(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", short_identifier(F.col("url")).alias("short"), single_line(F.col("url")).alias("line"))
