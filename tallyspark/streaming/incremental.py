@@ -29,7 +29,7 @@ def rebuild_on_change(events: DataFrame, rebuild: Callable[[SparkSession], None]
     """Call rebuild for every micro-batch that brings events; offsets live in the checkpoint folder."""
 
     def run(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
+        if batch.count():  # all partitions run, as their state must be committed; isEmpty() would stop at the first row
             rebuild(batch.sparkSession)
 
     writer = events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
@@ -43,7 +43,7 @@ class InOrder(StatefulProcessor):
     again) give nothing. A timer tells the place of a predecessor that does not come; what waits goes on waiting.
     """
 
-    def __init__(self, patience_ms: int):
+    def __init__(self, patience_ms: int | None):
         self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -71,9 +71,10 @@ class InOrder(StatefulProcessor):
             self.given.update((at, before))
         for sequence, payload in new.items():
             self.waiting.updateValue((sequence,), (payload,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if self.waiting.exists():
+        if self.patience_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if self.patience_ms is not None and self.waiting.exists():
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
         yield pd.DataFrame(out, columns=ORDERED_NAMES)
 
@@ -86,10 +87,11 @@ class InOrder(StatefulProcessor):
         pass
 
 
-def delta_stream(checkpoints: DataFrame, *, patience_ms: int = 3_600_000) -> DataFrame:
+def delta_stream(checkpoints: DataFrame, *, patience_ms: int | None = None) -> DataFrame:
     """Streaming checkpoints(file, sequence from 1 without gaps, record_index, turn_id, operation, cumulative, reported_last)
     in any order -> the same with delta and flags as calculate_deltas gives them, and missing: rows that hold nothing but
-    the sequence of a predecessor that has not come for patience_ms. Needs the RocksDB state store."""
+    the sequence of a predecessor that has not come for patience_ms. Needs the RocksDB state store. With a patience the query
+    has timers, so it never runs out of batches: an availableNow trigger would not end."""
     spark = checkpoints.sparkSession
     if "RocksDB" not in spark.conf.get(STATE_STORE):
         raise ValueError(f"{STATE_STORE}: the RocksDB provider")
@@ -97,7 +99,7 @@ def delta_stream(checkpoints: DataFrame, *, patience_ms: int = 3_600_000) -> Dat
     kind = StructType(rest)
     # counters travel as text, since pandas has no exact integers beside nulls
     rows = checkpoints.select("file", "sequence", F.to_json(F.struct(*[f.name for f in rest])).alias("payload"))
-    ordered = rows.groupBy("file").transformWithStateInPandas(InOrder(patience_ms), ORDERED, "append", "ProcessingTime")
+    ordered = rows.groupBy("file").transformWithStateInPandas(InOrder(patience_ms), ORDERED, "append", "None" if patience_ms is None else "ProcessingTime")
     ordered = ordered.select("file", "sequence", F.from_json("payload", kind).alias("now"), F.from_json("before", kind)["cumulative"].alias("previous"), "missing")
     ordered = ordered.select("file", "sequence", "now.*", "previous", "missing")
     done = deltas_of(ordered).drop("previous")

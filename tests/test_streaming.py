@@ -50,8 +50,8 @@ class Feed:
     def run(self, **options):
         stream = self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", "1").parquet(f"{self.root}/in")
         writer = delta_stream(stream, **options).writeStream.format("parquet").option("checkpointLocation", f"{self.root}/checkpoint")
-        query = writer.trigger(availableNow=True).start(f"{self.root}/out")
-        assert query.awaitTermination(400) and query.exception() is None
+        query = writer.trigger(**({"once": True} if options else {"availableNow": True})).start(f"{self.root}/out")
+        assert query.awaitTermination(100) and query.exception() is None
         return self.spark.read.parquet(f"{self.root}/out")
 
 
@@ -79,7 +79,7 @@ def test_state_lives_on_and_gaps_are_told(rocks, tmp_path):
     told = feed.run(patience_ms=1).where("missing").select("file", "sequence", "delta").distinct().collect()
     assert [tuple(x) for x in told] == [("a", 2, None)]
     feed.add([rows[1], rows[3]])
-    found = feed.run().where("not missing and file = 'a'").orderBy("sequence").collect()
+    found = feed.run(patience_ms=60_000).where("not missing and file = 'a'").orderBy("sequence").collect()
     assert [x["sequence"] for x in found] == [1, 2, 3, 4, 5]
     want = calculate_deltas(rocks.createDataFrame(rows, SCHEMA)).orderBy("sequence").collect()
     assert [x["delta"] for x in found] == [x["delta"] for x in want]
