@@ -123,9 +123,9 @@ def _type_of(value: Column) -> Column:
     return F.when(kind == "STRING", "string").when(kind == "BIGINT", "integer").when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(starts("DECIMAL", "DOUBLE", "FLOAT"), "number").when(starts("ARRAY"), "array").otherwise("object")
 
 
-def _wrong(e: Column) -> Column:
+def _wrong(e: Column, r: Column) -> Column:
     """Whether an entry breaks its rule. A keyword speaks of values of its own types only."""
-    r, kind, text = e["rule"], e["kind"], e["text"]
+    kind, text = e["kind"], e["text"]
     is_number, is_text, is_list = kind.isin("integer", "number"), kind == "string", kind == "array"
     number, items = text.try_cast("double"), F.try_variant_get(e["value"], "$", "array<variant>")
     spelt = F.transform(items, lambda v: F.to_json(v))
@@ -151,14 +151,17 @@ def _wrong(e: Column) -> Column:
 def violations_of(lines: DataFrame, schema: Compiled, column: str = "value") -> DataFrame:
     """lines with violations: sorted codes `json` (no object), the telling property (no alternative has its value), `unexpected:<path>`,
     `missing:<path>`, `<path>`; no values. Keys of any depth that have dots in them read as paths."""
-    rules = F.from_json(F.lit(json.dumps(schema.rules)), f"map<string,{RULE}>")
-    strings, entry = "array<string>", "array<struct<path:string,value:variant,kind:string,text:string,rule:" + RULE + ">>"
+    # entries hold the number of their rule, as a rule itself would be copied with each of them
+    numbers = F.from_json(F.lit(json.dumps({path: k for k, path in enumerate(schema.rules, 1)})), "map<string,int>")
+    rules = F.from_json(F.lit(json.dumps(list(schema.rules.values()))), f"array<{RULE}>")
+    rule_of = lambda e: F.element_at(rules, e["rule"])
+    strings, entry = "array<string>", "array<struct<path:string,value:variant,kind:string,text:string,rule:int>>"
     doc = F.col("__doc")
     text_of = lambda v: F.try_variant_get(v, "$", "string")
     kind = F.lit("") if schema.tag is None else F.try_variant_get(doc, f"$.{schema.tag}", "string")
 
     def entry_of(path: Column, value: Column) -> Column:
-        return F.struct(path.alias("path"), value.alias("value"), _type_of(value).alias("kind"), text_of(value).alias("text"), F.element_at(rules, F.concat_ws(" ", "__kind", path)).alias("rule"))
+        return F.struct(path.alias("path"), value.alias("value"), _type_of(value).alias("kind"), text_of(value).alias("text"), F.element_at(numbers, F.concat_ws(" ", "__kind", path)).alias("rule"))
 
     def below(e: Column) -> Column:
         parts = F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>"))
@@ -171,12 +174,12 @@ def violations_of(lines: DataFrame, schema: Compiled, column: str = "value") ->
 
     def codes_of(e: Column) -> Column:
         at = lambda word: lambda k: F.concat(F.lit(word), F.when(e["path"] == "", k).otherwise(F.concat(e["path"], F.lit("."), k)))
-        r, keys = e["rule"], keys_of(e)
+        r, keys = rule_of(e), keys_of(e)
         of_object = F.when(
             r["inner"] & (e["kind"] == "object"),
             F.concat(F.when(r["closed"], F.transform(F.array_except(keys, r["properties"]), at("unexpected:"))).otherwise(F.array().cast(strings)), F.transform(F.array_except(r["required"], keys), at("missing:"))),
         )
-        own = F.when(r.isNotNull() & _wrong(e), F.array(e["path"])).otherwise(F.array().cast(strings))
+        own = F.when(e["rule"].isNotNull() & _wrong(e, r), F.array(e["path"])).otherwise(F.array().cast(strings))
         return F.concat(own, F.coalesce(of_object, F.array().cast(strings)))
 
     rows = lines.withColumn("__doc", F.try_parse_json(F.col(column))).withColumn("__kind", kind)
@@ -184,7 +187,7 @@ def violations_of(lines: DataFrame, schema: Compiled, column: str = "value") ->
     names = ["__0"]
     for k in range(schema.depth):
         names.append(f"__{k + 1}")
-        inner = F.filter(names[k], lambda e: F.coalesce(e["rule"]["inner"], F.lit(False)))
+        inner = F.filter(names[k], lambda e: F.coalesce(rule_of(e)["inner"], F.lit(False)))
         rows = rows.withColumn(names[-1], F.flatten(F.transform(inner, below)))
     found = F.array_distinct(F.flatten(F.concat(*[F.transform(n, codes_of) for n in names])))
     no_object = doc.isNull() | (_type_of(doc) != "object")
