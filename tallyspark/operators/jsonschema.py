@@ -1,8 +1,9 @@
 """JSON Schema documents as tables of rules that the entries of a JSON text look up.
 
-`compile_schema` resolves references and gives a rule for each path of a document (`a.b`, `a[]` for items); `violations_of`
-takes a text apart level by level, as deep as the schema goes, and tests each entry against the rule of its path. So
-the plan has one test, whatever the number of properties, and the work grows with the entries that a text has.
+`compile_schema` resolves references and gives a tree of rules; `violations_of` turns it into columns: types of the values
+at all paths (`a.b`) first, then one test a path, with only the keywords that its rule has. Both are compiled by Spark; a
+walk over entries with lambdas is interpreted and took ten times as long. Only items of arrays (`a[]`) go through a
+lambda. So the plan grows with the properties of the schema, and the work of a row with those of its kind.
 
 Understood: $ref into $defs, type, const, enum, properties, required, additionalProperties (true or false), items, uniqueItems,
 minItems, maxItems, minLength, maxLength, pattern, minimum, maximum, format (date-time, uuid); oneOf of a schema and
@@ -13,6 +14,7 @@ value are refused when the schema is compiled, as are references in circles.
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,8 @@ TYPES = ("null", "boolean", "integer", "number", "string", "array", "object")
 NOTES = ("$schema", "$id", "$defs", "title", "description", "$comment", "examples", "default")
 KNOWN = ("$ref", "oneOf", "type", "const", "enum", "properties", "required", "additionalProperties", "items", "uniqueItems", "minItems", "maxItems", "minLength", "maxLength", "pattern", "minimum", "maximum", "format")
 FORMATS = ("date-time", "uuid")
-RULE = "struct<types:array<string>,options:array<string>,low:double,high:double,shortest:long,longest:long,pattern:string,format:string,distinct:boolean,closed:boolean,properties:array<string>,required:array<string>,inner:boolean>"
+#: A rule: path, prefix of what is below, keywords, and the rules below. Keywords that are not there are None.
+Rule = dict
 
 
 class SchemaError(ValueError):
@@ -32,18 +35,16 @@ class SchemaError(ValueError):
 
 
 class Compiled(NamedTuple):
-    """rules: by `<kind> <path>`, the root's path being empty; tag: the property that tells the kinds apart, or None."""
+    """tag: the property that tells the kinds apart, or None; roots: the rule of each kind."""
 
-    rules: dict[str, dict]
     tag: str | None
-    kinds: list[str]
-    depth: int
+    roots: dict[str, Rule]
 
 
 def compile_schema(document: dict) -> Compiled:
     root = _resolved(document, document, ())
     alternatives = [_resolved(a, document, ()) for a in root["oneOf"]] if "oneOf" in root else [root]
-    tag, rules = None, {}
+    tag = None
     if len(alternatives) > 1:
         constants = [{k for k, v in a.get("properties", {}).items() if isinstance(_resolved(v, document, ()).get("const"), str) and k in a.get("required", [])} for a in alternatives]
         for name in sorted(set.intersection(*constants)):
@@ -51,10 +52,8 @@ def compile_schema(document: dict) -> Compiled:
                 tag = name
         if tag is None:
             raise SchemaError("oneOf: no constant property tells the alternatives apart")
-    kinds = [a["properties"][tag]["const"] if tag else "" for a in alternatives]
-    for kind, a in zip(kinds, alternatives, strict=True):
-        _add(rules, kind, "", a, document, ())
-    return Compiled(rules, tag, kinds, max(k.count(".") + k.count("[]") + bool(k.split(" ", 1)[1]) for k in rules))
+    names = [a["properties"][tag]["const"] if tag else "" for a in alternatives]
+    return Compiled(tag, {name: _rule("", a, document, ()) for name, a in zip(names, alternatives, strict=True)})
 
 
 def _resolved(schema: dict, document: dict, seen: tuple[str, ...]) -> dict:
@@ -77,7 +76,7 @@ def _resolved(schema: dict, document: dict, seen: tuple[str, ...]) -> dict:
     return schema
 
 
-def _add(rules: dict, kind: str, path: str, schema: dict, document: dict, seen: tuple[str, ...]) -> None:
+def _rule(path: str, schema: dict, document: dict, seen: tuple[str, ...]) -> Rule:
     name = schema.get("$ref")
     if name in seen:
         raise SchemaError("references in a circle")
@@ -96,7 +95,10 @@ def _add(rules: dict, kind: str, path: str, schema: dict, document: dict, seen:
         options = options and [*options, None]
     of_text = any(k in s for k in ("minLength", "maxLength"))
     spell = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
-    rules[f"{kind} {path}"] = {
+    prefix = path and f"{path}."
+    return {
+        "path": path,
+        "prefix": prefix,
         "types": types,
         "options": None if options is None else [spell(v) for v in options],
         "low": s.get("minimum"),
@@ -107,89 +109,158 @@ def _add(rules: dict, kind: str, path: str, schema: dict, document: dict, seen:
         "format": s.get("format"),
         "distinct": s.get("uniqueItems", False),
         "closed": s.get("additionalProperties") is False,
-        "properties": sorted(s.get("properties", {})),
         "required": sorted(s.get("required", [])),
-        "inner": "properties" in s or "items" in s or bool(s.get("required")),
+        "children": {key: _rule(f"{prefix}{key}", child, document, seen) for key, child in sorted(s.get("properties", {}).items())},
+        "items": _rule(f"{path}[]", s["items"], document, seen) if "items" in s else None,
     }
-    for key, child in s.get("properties", {}).items():
-        _add(rules, kind, f"{path}.{key}" if path else key, child, document, seen)
-    if "items" in s:
-        _add(rules, kind, f"{path}[]", s["items"], document, seen)
-
-
-def _type_of(value: Column) -> Column:
-    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    starts = lambda *names: F.substring_index(F.substring_index(kind, "<", 1), "(", 1).isin(*names)
-    return F.when(kind == "STRING", "string").when(kind == "BIGINT", "integer").when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(starts("DECIMAL", "DOUBLE", "FLOAT"), "number").when(starts("ARRAY"), "array").otherwise("object")
-
-
-def _wrong(e: Column, r: Column) -> Column:
-    """Whether an entry breaks its rule. A keyword speaks of values of its own types only."""
-    kind, text = e["kind"], e["text"]
-    is_number, is_text, is_list = kind.isin("integer", "number"), kind == "string", kind == "array"
-    number, items = text.try_cast("double"), F.try_variant_get(e["value"], "$", "array<variant>")
-    spelt = F.transform(items, lambda v: F.to_json(v))
-    size = F.when(is_text, F.length(text)).when(is_list, F.size(items))
-    moment = text.rlike(ISO + r"(Z|[+-]\d{2}:\d{2})$") & F.try_to_timestamp(text).isNotNull()
-    typed = r["types"].isNull() | F.array_contains(r["types"], kind) | ((kind == "integer") & F.array_contains(r["types"], "number"))
-    tests = [
-        ~typed,
-        r["options"].isNotNull() & ~F.array_contains(r["options"], F.coalesce(F.to_json(e["value"]), F.lit("null"))),
-        is_number & ((number < r["low"]) | (number > r["high"])),
-        (size < r["shortest"]) | (size > r["longest"]),
-        is_text & r["pattern"].isNotNull() & ~F.regexp_like(text, r["pattern"]),
-        is_text & (r["format"] == "uuid") & ~F.lower(text).rlike(UUID),
-        is_text & (r["format"] == "date-time") & ~F.coalesce(moment, F.lit(False)),
-        is_list & r["distinct"] & (F.size(F.array_distinct(spelt)) < F.size(spelt)),
-    ]
-    out = F.lit(False)
-    for test in reversed(tests):
-        out = F.when(F.coalesce(test, F.lit(False)), True).otherwise(out)
-    return out
+
+
+def _get(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
+
+
+class Stages:
+    """Columns that the tests need, each computed once: every stage is a projection that reads those before it."""
+
+    def __init__(self) -> None:
+        self.stages: list[dict[str, Column]] = []
+        self.names: dict[tuple[str, str], tuple[str, int]] = {}
+
+    def add(self, what: str, path: str, column: Column, after: int) -> tuple[Column, int]:
+        """The column and its stage, the one behind `after`. Alternatives share what is at a path."""
+        if (what, path) not in self.names:
+            self.names[what, path] = name, stage = f"__{len(self.names)}", after + 1
+            self.stages += [{} for _ in range(stage + 1 - len(self.stages))]
+            self.stages[stage][name] = column
+        name, stage = self.names[what, path]
+        return F.col(name), stage
+
+
+class Place:
+    """A value of a text, and what the tests ask of it. Keys are looked up in a map of the object, since a variant is slow
+    to say that it lacks a path. Without stages, inside lambdas, all is computed where it stands."""
+
+    def __init__(self, value: Column, path: str, stages: Stages | None, stage: int, kind: Column | None = None) -> None:
+        self.value, self.path, self.stages, self.stage = value, path, stages, stage
+        self.kind = self.staged("kind", F.schema_of_variant(value))[0] if kind is None else kind
+
+    def staged(self, what: str, column: Column, more: int = 0) -> tuple[Column, int]:
+        return self.stages.add(what, self.path, column, self.stage + more) if self.stages else (column, 0)
+
+    def text(self) -> Column:
+        return self.staged("text", _get(self.value, "string"))[0]
+
+    def items(self) -> Column:
+        return self.staged("items", _get(self.value, "array<variant>"))[0]
+
+    def fields(self) -> tuple[Column, int]:
+        return self.staged("fields", F.when(_is(self.kind, "object"), _get(self.value, "map<string,variant>")), 1)
+
+    def below(self, key: str, path: str, asked: Column | None = None) -> Place:
+        fields, stage = self.fields()
+        value = F.element_at(fields, key) if asked is None else F.when(asked, F.element_at(fields, key))
+        if self.stages:
+            value, stage = self.stages.add("value", path, value, stage + 1)
+        return Place(value, path, self.stages, stage)
+
+
+def _is(kind: Column, name: str) -> Column:
+    """Whether schema_of_variant says that a value has a type."""
+    plain = {"string": "STRING", "null": "VOID", "integer": "BIGINT", "boolean": "BOOLEAN"}
+    if name in plain:
+        return kind == plain[name]
+    if name == "number":
+        return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return kind.startswith("ARRAY" if name == "array" else "OBJECT")
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _wrong(at: Place, rule: Rule) -> Column | None:
+    """Whether a value breaks its rule (null: it is not there). A keyword speaks of values of its own types only."""
+    tests, shortest, longest = [], rule["shortest"], rule["longest"]
+    if rule["types"] is not None:
+        tests.append(~_any([_is(at.kind, t) for t in rule["types"]]))
+    if rule["options"] is not None:
+        tests.append(~F.coalesce(F.to_json(at.value), F.lit("null")).isin(rule["options"]))
+    if rule["low"] is not None or rule["high"] is not None:
+        number = _get(at.value, "double")
+        tests.append(_is(at.kind, "number") & _any([t for v, t in ((rule["low"], number < rule["low"]), (rule["high"], number > rule["high"])) if v is not None]))
+    text_tests, item_tests = [], []
+    if (shortest, longest, rule["pattern"], rule["format"]) != (None,) * 4:
+        text = at.text()
+        size = F.length(text)
+        text_tests += [t for v, t in ((shortest, size < shortest), (longest, size > longest)) if v is not None]
+        if rule["pattern"] is not None:
+            text_tests.append(~F.regexp_like(text, F.lit(rule["pattern"])))
+        if rule["format"] == "uuid":
+            text_tests.append(~F.lower(text).rlike(UUID))
+        if rule["format"] == "date-time":
+            text_tests.append(~(text.rlike(ISO + r"(Z|[+-]\d{2}:\d{2})$") & F.try_to_timestamp(text).isNotNull()))
+    if (shortest, longest) != (None, None) or rule["distinct"]:
+        items = at.items()
+        size = F.size(items)
+        item_tests += [t for v, t in ((shortest, size < shortest), (longest, size > longest)) if v is not None]
+        if rule["distinct"]:
+            item_tests.append(F.size(F.array_distinct(F.transform(items, lambda v: F.to_json(v)))) < size)
+    for name, found in (("string", text_tests), ("array", item_tests)):
+        if found:
+            tests.append(_is(at.kind, name) & _any(found))
+    return at.kind.isNotNull() & _any(tests) if tests else None
+
+
+def _codes(at: Place, rule: Rule, asked: dict[str, Column] | None = None) -> tuple[list[Column], list[Column]]:
+    """Codes, null where a test finds nothing, and arrays of codes of the value at a place and of all below it.
+    asked: for some keys, the rows that need them."""
+    asked = asked or {}
+    codes, lists = [], []
+    wrong = _wrong(at, rule)
+    if wrong is not None:
+        codes.append(F.when(wrong, F.lit(rule["path"])))
+    if rule["closed"]:
+        known = F.array(*[F.lit(k) for k in rule["children"]]).cast("array<string>")
+        lists.append(F.transform(F.array_except(F.map_keys(at.fields()[0]), known), lambda k: F.concat(F.lit(f"unexpected:{rule['prefix']}"), k)))
+    for key in rule["required"]:
+        path = f"{rule['prefix']}{key}"
+        codes.append(F.when(_is(at.kind, "object") & at.below(key, path, asked.get(key)).kind.isNull(), F.lit(f"missing:{path}")))
+    for key, child in rule["children"].items():
+        more = _codes(at.below(key, child["path"], asked.get(key)), child)
+        codes, lists = codes + more[0], lists + more[1]
+    if rule["items"] is not None:
+        lists.append(F.flatten(F.transform(at.items(), lambda v: _found(*_codes(Place(v, rule["items"]["path"], None, 0), rule["items"])))))
+    return codes, lists
+
+
+def _found(codes: list[Column], lists: list[Column]) -> Column:
+    """All codes as an array without nulls, each once."""
+    none = F.array().cast("array<string>")
+    found = F.concat(F.array(*codes) if codes else none, *[F.coalesce(x, none) for x in lists])
+    return F.array_except(found, F.array(F.lit(None).cast("string")))
 
 
 def violations_of(lines: DataFrame, schema: Compiled, column: str = "value") -> DataFrame:
     """lines with violations: sorted codes `json` (no object), the telling property (no alternative has its value), `unexpected:<path>`,
-    `missing:<path>`, `<path>`; no values. Keys of any depth that have dots in them read as paths."""
-    # entries hold the number of their rule, as a rule itself would be copied with each of them
-    numbers = F.from_json(F.lit(json.dumps({path: k for k, path in enumerate(schema.rules, 1)})), "map<string,int>")
-    rules = F.from_json(F.lit(json.dumps(list(schema.rules.values()))), f"array<{RULE}>")
-    rule_of = lambda e: F.element_at(rules, e["rule"])
-    strings, entry = "array<string>", "array<struct<path:string,value:variant,kind:string,text:string,rule:int>>"
-    doc = F.col("__doc")
-    text_of = lambda v: F.try_variant_get(v, "$", "string")
-    kind = F.lit("") if schema.tag is None else F.try_variant_get(doc, f"$.{schema.tag}", "string")
-
-    def entry_of(path: Column, value: Column) -> Column:
-        return F.struct(path.alias("path"), value.alias("value"), _type_of(value).alias("kind"), text_of(value).alias("text"), F.element_at(numbers, F.concat_ws(" ", "__kind", path)).alias("rule"))
-
-    def below(e: Column) -> Column:
-        parts = F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>"))
-        named = F.transform(parts, lambda p: entry_of(F.when(e["path"] == "", p["key"]).otherwise(F.concat(e["path"], F.lit("."), p["key"])), p["value"]))
-        listed = F.transform(F.try_variant_get(e["value"], "$", "array<variant>"), lambda v: entry_of(F.concat(e["path"], F.lit("[]")), v))
-        return F.when(e["kind"] == "object", named).when(e["kind"] == "array", listed).otherwise(F.array().cast(entry))
-
-    def keys_of(e: Column) -> Column:
-        return F.map_keys(F.try_variant_get(e["value"], "$", "map<string,variant>"))
-
-    def codes_of(e: Column) -> Column:
-        at = lambda word: lambda k: F.concat(F.lit(word), F.when(e["path"] == "", k).otherwise(F.concat(e["path"], F.lit("."), k)))
-        r, keys = rule_of(e), keys_of(e)
-        of_object = F.when(
-            r["inner"] & (e["kind"] == "object"),
-            F.concat(F.when(r["closed"], F.transform(F.array_except(keys, r["properties"]), at("unexpected:"))).otherwise(F.array().cast(strings)), F.transform(F.array_except(r["required"], keys), at("missing:"))),
-        )
-        own = F.when(e["rule"].isNotNull() & _wrong(e, r), F.array(e["path"])).otherwise(F.array().cast(strings))
-        return F.concat(own, F.coalesce(of_object, F.array().cast(strings)))
-
-    rows = lines.withColumn("__doc", F.try_parse_json(F.col(column))).withColumn("__kind", kind)
-    rows = rows.withColumn("__0", F.array(entry_of(F.lit(""), doc)))
-    names = ["__0"]
-    for k in range(schema.depth):
-        names.append(f"__{k + 1}")
-        inner = F.filter(names[k], lambda e: F.coalesce(rule_of(e)["inner"], F.lit(False)))
-        rows = rows.withColumn(names[-1], F.flatten(F.transform(inner, below)))
-    found = F.array_distinct(F.flatten(F.concat(*[F.transform(n, codes_of) for n in names])))
-    no_object = doc.isNull() | (_type_of(doc) != "object")
-    codes = F.when(no_object, F.array(F.lit("json"))).when(~F.coalesce(F.col("__kind").isin(*schema.kinds), F.lit(False)), F.array(F.lit(schema.tag or "kind"))).otherwise(found)
-    return rows.withColumn("violations", F.array_sort(codes)).drop("__doc", "__kind", *names)
+    `missing:<path>`, `<path>`; no values."""
+    stages = Stages()
+    doc, _ = stages.add("value", "", F.try_parse_json(F.col(column)), -1)
+    # the type of a whole text is as long as the text, so whether it is an object is told by its map
+    root = Place(doc, "", stages, 0, F.lit("OBJECT"))
+    fields, level = root.fields()
+    kind, asked = F.lit(""), {}
+    if schema.tag is not None:
+        kind, _ = stages.add("kind", "", _get(F.element_at(fields, schema.tag), "string"), level)
+        owners = {key: [name for name, rule in schema.roots.items() if key in rule["children"] or key in rule["required"]] for rule in schema.roots.values() for key in (*rule["children"], *rule["required"])}
+        asked = {key: kind.isin(names) for key, names in owners.items() if len(names) < len(schema.roots)}
+    codes = F.when(fields.isNull(), F.array(F.lit("json")))
+    for name, rule in schema.roots.items():
+        codes = codes.when(kind == name, _found(*_codes(root, rule, asked)))
+    codes = codes.otherwise(F.array(F.lit(schema.tag or "kind")))
+    rows = lines
+    for stage in stages.stages:
+        # with a lambda among its columns a projection stays out of whole-stage code, whose one method for many columns
+        # would be longer than the JVM compiles (8,000 bytes), and is split into methods
+        apart = {name: F.element_at(F.transform(F.array(c), lambda x: x), 1) for name, c in list(stage.items())[:1] if len(stage) > 8}
+        rows = rows.withColumns(stage | apart)
+    return rows.withColumn("violations", F.sort_array(codes)).drop(*[name for stage in stages.stages for name in stage])

@@ -29,7 +29,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """For work that is long for each row: a table of fewer partitions than there are cores is dealt out, others stay."""
+#: Rows of a task at most, for work that is long for each row.
+TASK_ROWS = 50_000
+
+
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """For work that is long for each row: the rows are dealt out evenly, to so many tasks that none has more than `rows`,
+    and to all cores. What the splits of files hold says nothing of that: a small file of many rows is a few row groups,
+    and most of its splits are empty. The rows are counted for it, which reads the footers only of a plain Parquet scan."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-df.count() // rows)))

@@ -4,10 +4,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.operators.jsonschema import SchemaError, compile_schema, violations_of
 from tallyspark.operators.validate import schema_violations
 from tallyspark.schemas import COUNTERS
+from tallyspark.work import spread
 
 SCHEMA = {
     "oneOf": [{"$ref": "#/$defs/shop"}, {"$ref": "#/$defs/visit"}],
@@ -141,3 +143,31 @@ def test_ledger_events_and_what_they_may_not_be(spark):
     ]
     got = codes(spark, [json.dumps(copy.deepcopy(e)) for e, _ in cases], schema_violations)
     assert got == [w for _, w in cases]
+
+
+def test_rows_are_dealt_out_evenly_whatever_the_splits(spark, tmp_path):
+    """A small file of many rows is one row group: its splits are as many as the cores, and all but one are empty."""
+    spark.range(0, 3000, 1, 1).write.parquet(f"{tmp_path}/rows")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = spark.read.parquet(f"{tmp_path}/rows")
+        assert rows.rdd.getNumPartitions() >= 4
+        parts = spread(rows, 500).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(parts) == 6 and max(r["count"] for r in parts) <= 510
+
+
+def test_keys_with_signs_and_closed_objects_without_properties(spark):
+    """A key with a dot is no path; a closed object refuses all keys if it has no property."""
+    schema = compile_schema({"type": "object", "properties": {"a": {"type": "object", "properties": {"b": {"type": "string"}}}, "it's \"a\" ?": {"type": "integer"}, "none": {"type": "object", "additionalProperties": False}}})
+    texts = [{"a.b": 1}, {"a": {"b": 1}}, {"it's \"a\" ?": "x"}, {"none": {"k": 1}}, {"none": {}, "a": None}]
+    got = codes(spark, [json.dumps(t) for t in texts], lambda rows: violations_of(rows, schema))
+    assert got == [[], ["a.b"], ["it's \"a\" ?"], ["unexpected:none.k"], ["a"]]
+
+
+def test_entries_of_a_text_are_not_walked_by_lambdas(spark):
+    """Spark interprets lambdas; only unknown keys, items of arrays and a column of a wide projection go through one."""
+    plan = schema_violations(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_entries" not in plan
