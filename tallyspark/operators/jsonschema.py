@@ -1,8 +1,8 @@
-"""JSON Schema documents as tables of rules that the entries of a JSON text look up.
+"""JSON Schema documents as columns that test JSON texts.
 
 `compile_schema` resolves references and gives a tree of rules; `violations_of` turns it into columns: types of the values
 at all paths (`a.b`) first, then one test a path, with only the keywords that its rule has. Both are compiled by Spark; a
-walk over entries with lambdas is interpreted and took ten times as long. Only items of arrays (`a[]`) go through a
+walk over entries with lambdas is interpreted and slower. Only items of arrays (`a[]`) go through a
 lambda. So the plan grows with the properties of the schema, and the work of a row with those of its kind.
 
 Understood: $ref into $defs, type, const, enum, properties, required, additionalProperties (true or false), items, uniqueItems,
@@ -138,7 +138,7 @@ class Stages:
 
 class Place:
     """A value of a text, and what the tests ask of it. Keys are looked up in a map of the object, since a variant is slow
-    to say that it lacks a path. Without stages, inside lambdas, all is computed where it stands."""
+    to say that it lacks a path. The tests read no variant, so that values are not copied from stage to stage. Without stages, inside lambdas, all is computed where it stands."""
 
     def __init__(self, value: Column, path: str, stages: Stages | None, stage: int, kind: Column | None = None) -> None:
         self.value, self.path, self.stages, self.stage = value, path, stages, stage
@@ -153,6 +153,16 @@ class Place:
     def items(self) -> Column:
         return self.staged("items", _get(self.value, "array<variant>"))[0]
 
+    def number(self) -> Column:
+        return self.staged("number", F.when(_is(self.kind, "number"), _get(self.value, "double")), 1)[0]
+
+    def spelt(self) -> Column:
+        return self.staged("spelt", F.coalesce(F.to_json(self.value), F.lit("null")))[0]
+
+    def keys(self) -> Column:
+        fields, stage = self.fields()
+        return self.stages.add("keys", self.path, F.map_keys(fields), stage)[0] if self.stages else F.map_keys(fields)
+
     def fields(self) -> tuple[Column, int]:
         return self.staged("fields", F.when(_is(self.kind, "object"), _get(self.value, "map<string,variant>")), 1)
 
@@ -184,9 +194,13 @@ def _wrong(at: Place, rule: Rule) -> Column | None:
     if rule["types"] is not None:
         tests.append(~_any([_is(at.kind, t) for t in rule["types"]]))
     if rule["options"] is not None:
-        tests.append(~F.coalesce(F.to_json(at.value), F.lit("null")).isin(rule["options"]))
+        texts, rest = [v for v in map(json.loads, rule["options"]) if isinstance(v, str)], [v for v in rule["options"] if v[0] != '"']
+        found = [_is(at.kind, "string") & at.text().isin(texts)] if texts else []
+        found += [_is(at.kind, "null")] if "null" in rest else []
+        found += [at.spelt().isin(rest)] if set(rest) - {"null"} else []
+        tests.append(~_any(found) if found else F.lit(True))
     if rule["low"] is not None or rule["high"] is not None:
-        number = _get(at.value, "double")
+        number = at.number()
         tests.append(_is(at.kind, "number") & _any([t for v, t in ((rule["low"], number < rule["low"]), (rule["high"], number > rule["high"])) if v is not None]))
     text_tests, item_tests = [], []
     if (shortest, longest, rule["pattern"], rule["format"]) != (None,) * 4:
@@ -221,7 +235,7 @@ def _codes(at: Place, rule: Rule, asked: dict[str, Column] | None = None) -> tup
         codes.append(F.when(wrong, F.lit(rule["path"])))
     if rule["closed"]:
         known = F.array(*[F.lit(k) for k in rule["children"]]).cast("array<string>")
-        lists.append(F.transform(F.array_except(F.map_keys(at.fields()[0]), known), lambda k: F.concat(F.lit(f"unexpected:{rule['prefix']}"), k)))
+        lists.append(F.transform(F.array_except(at.keys(), known), lambda k: F.concat(F.lit(f"unexpected:{rule['prefix']}"), k)))
     for key in rule["required"]:
         path = f"{rule['prefix']}{key}"
         codes.append(F.when(_is(at.kind, "object") & at.below(key, path, asked.get(key)).kind.isNull(), F.lit(f"missing:{path}")))
@@ -253,7 +267,7 @@ def violations_of(lines: DataFrame, schema: Compiled, column: str = "value") ->
         kind, _ = stages.add("kind", "", _get(F.element_at(fields, schema.tag), "string"), level)
         owners = {key: [name for name, rule in schema.roots.items() if key in rule["children"] or key in rule["required"]] for rule in schema.roots.values() for key in (*rule["children"], *rule["required"])}
         asked = {key: kind.isin(names) for key, names in owners.items() if len(names) < len(schema.roots)}
-    codes = F.when(fields.isNull(), F.array(F.lit("json")))
+    codes = F.when(root.keys().isNull(), F.array(F.lit("json")))
     for name, rule in schema.roots.items():
         codes = codes.when(kind == name, _found(*_codes(root, rule, asked)))
     codes = codes.otherwise(F.array(F.lit(schema.tag or "kind")))
