@@ -9,8 +9,9 @@ ordered words share one, and length, position and a parity bitmap of the words l
 what stays is verified on the words.
 
 A template with thousands of variants would make pairs of all of them. So a first pass compares each class
-with the first line of its group under extremes of word hashes; those it removes ("settled") need no further
-partner: of the join only pairs count whose later class is not settled.
+with the first line of its groups under neighbours of fixed points among its word hashes; those it removes
+("settled") need no further partner: of the join only pairs count whose later class is not settled. Classes are
+numbered in the order of their first lines, so the join sees which one is later.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import Workspace, small, table
+from ._work import Workspace, let, small, table
 
 THRESHOLD = 0.8
 #: Buckets of the count sketch, which comes to the driver and goes into plans: so many bytes, whatever the input.
@@ -33,6 +34,9 @@ CLASS = ["k", "even", "odd", "n"]
 #: Parity bitmaps of the words with even and with odd hashes.
 BITS = ["even", "odd"]
 PLACE = ["id", "th", "line_no"]
+#: Points of the circle of word hashes. The words of a line next to a point, before and after it, are a group key:
+#: a variant keeps one of four such pairs far more often than one of two.
+POINTS = [-(2**63), -(2**62), 0, 2**62]
 
 
 def blanks(text: Column) -> Column:
@@ -61,16 +65,18 @@ def rarity_sketch(docs: DataFrame, text_col: str) -> list[int]:
 
 
 def encode_lines(lines: DataFrame, sketch: list[int], threshold: float) -> DataFrame:
-    """Lines with words: id, th, line_no, class key (k, even, odd, n), prefix (ints, rarest first) and two group keys."""
-    mask, flip = (1 << SKETCH_LOG2) - 1, 6364136223846793005
+    """Lines with words: id, th, line_no, class key (k, even, odd, n), prefix (ints, rarest first) and groups (a key for each of POINTS)."""
+    mask = (1 << SKETCH_LOG2) - 1
     hashed = lines.select(*PLACE, F.expr(WORDS).alias("h"))
     # the sketch is a literal inside the expression, folded once; as a column it would be copied into every row
     codes = F.from_json(F.lit(json.dumps(sketch, separators=(",", ":"))), "array<tinyint>")
     # no code is null, which coalesce tells the sort: it then sorts plain longs
     ranked = F.sort_array(F.transform("h", lambda x: F.shiftleft(F.coalesce(F.get(codes, x.bitwiseAND(F.lit(mask)).cast("int")), F.lit(0)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))))
-    tokens = hashed.select(*PLACE, "h", ranked.alias("t"), F.size("h").alias("n"), F.transform("h", lambda x: x.bitwiseXOR(F.lit(flip))).alias("g"))
+    tokens = hashed.select(*PLACE, "h", ranked.alias("t"), F.size("h").alias("n"), F.sort_array(F.concat("h", F.array(*map(F.lit, POINTS[1:])))).alias("circle"))
     tokens = tokens.withColumn("all", F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)))"))
     tokens = tokens.withColumn("even", F.expr("aggregate(h, 0L, (a, x) -> if((x & 1L) = 0L, a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)), a))"))
+    at = [F.array_position("circle", F.lit(p)).cast("int") for p in POINTS[1:]]
+    around = [(F.get("circle", F.size("circle") - 1), F.get("circle", F.lit(0))), *((F.get("circle", i - 2), F.get("circle", i)) for i in at)]
     return tokens.select(
         *PLACE,
         F.xxhash64("t").alias("k"),
@@ -78,8 +84,7 @@ def encode_lines(lines: DataFrame, sketch: list[int], threshold: float) -> DataF
         F.col("all").bitwiseXOR(F.col("even")).alias("odd"),
         "n",
         F.expr(f"transform(slice(t, 1, n - cast(ceil({threshold}D * n - 1e-9D) as int) + 1), x -> cast(x & 2147483647 as int))").alias("prefix"),
-        F.xxhash64(F.array_min("h"), F.array_max("h")).alias("group1"),
-        F.xxhash64(F.array_min("g"), F.array_max("g"), F.lit(1)).alias("group2"),
+        F.array(*(F.xxhash64(*pair, F.lit(i)) for i, pair in enumerate(around))).alias("groups"),
     )
 
 
@@ -111,43 +116,42 @@ def representatives(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def words_at(places: DataFrame, docs: DataFrame, work: Workspace, name: str, id_col: str, text_col: str) -> DataFrame:
-    """r, place and words (hashes) for each of places (r, id, th, line_no)."""
+    """r and words (hashes) for each of places (r, id, th, line_no)."""
     places = work.save(places, f"{name}-places")
     wanted = work.save(places.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list(F.struct("line_no", "r")).alias("wanted")), f"{name}-wanted")
     same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))
     text = F.col(f"`{text_col}`")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    found = texts.join(small(wanted), same).select("id", "th", F.explode("wanted").alias("x"), F.split(blanks(F.col("text")), "\n").alias("lines"))
-    line = found.select("x.r", F.struct("id", "th", "x.line_no").alias("place"), F.get("lines", F.col("x.line_no")).alias("line"))
-    words = line.select("r", "place", F.expr(WORDS).alias("words"))
+    # a text is cut into lines once, however many of them are wanted
+    found = let(F.split(blanks(F.col("text")), "\n"), lambda cut: F.transform("wanted", lambda x: F.struct(x["r"].alias("r"), F.get(cut, x["line_no"]).alias("line"))))
+    words = texts.join(small(wanted), same).select(F.inline(found)).select("r", F.expr(WORDS).alias("words"))
     words = work.save(words, f"{name}-words")
     return words if words.count() == places.count() else words.dropDuplicates(["r"])  # rows that repeat id and text
 
 
 def verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of classes those that reach the threshold by their words: r of the later one, once."""
-    left, right = words.select(F.col("r").alias("a"), F.col("place").alias("pa"), F.col("words").alias("x")), words.select(F.col("r").alias("b"), F.col("place").alias("pb"), F.col("words").alias("y"))
+    """Of pairs (a, b) of classes, a the earlier, those that reach the threshold by their words: r of the later one, once."""
+    left, right = words.select(F.col("r").alias("a"), F.col("words").alias("x")), words.select(F.col("r").alias("b"), F.col("words").alias("y"))
     met = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) >= threshold / (1 + threshold) * (F.size("x") + F.size("y")) - 1e-9)
-    return met.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("r")).distinct()
+    return met.select(F.col("b").alias("r")).distinct()
 
 
 def settled_first(reps: DataFrame, docs: DataFrame, work: Workspace, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """r of the classes that match the first line of a group of theirs."""
-    keys = reps.select(F.explode(F.array("group1", "group2")).alias("key"))
-    several = work.save(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "groups")
-    grouped = reps.select(F.explode(F.array("group1", "group2")).alias("key"), "r", *BITS, "n", place().alias("place")).join(small(several), "key")
-    grouped = work.save(grouped, "grouped")
-    pivots = work.save(grouped.groupBy("key").agg(F.min(F.struct("place", "r", *BITS, "n")).alias("p")).select("key", "p.r", *[f"p.{x}" for x in BITS], "p.n"), "pivots")
-    near = grouped.drop("place").alias("m").join(small(pivots).alias("p"), "key").where((F.col("m.r") != F.col("p.r")) & fits("m", "p", threshold))
-    near = work.save(near.select(F.col("p.r").alias("a"), F.col("m.r").alias("b")).distinct(), "near")
+    pivots = reps.select("r", F.explode("groups").alias("key")).groupBy("key").agg(F.min("r").alias("p"), F.count("*").alias("c")).where("c > 1")
+    pivots = work.save(pivots.drop("c"), "pivots")
+    members = reps.select("r", *BITS, "n", F.explode("groups").alias("key")).join(small(pivots), "key").where("r <> p")
+    members = work.save(members.drop("key").distinct(), "members")
+    near = small(members).alias("m").join(reps.select(F.col("r").alias("first"), *BITS, "n").alias("p"), F.col("m.p") == F.col("p.first")).where(fits("m", "p", threshold))
+    near = work.save(near.select(F.col("m.p").alias("a"), F.col("m.r").alias("b")), "near")
     places = reps.select("r", *PLACE).join(small(work.save(near.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "near-ids")), "r", "left_semi")
     settled = work.save(verified(near, words_at(places, docs, work, "near", id_col, text_col), threshold), "settled")
-    work.drop("groups", "grouped", "pivots", "near", "near-ids", "near-places", "near-wanted", "near-words")
+    work.drop("pivots", "members", "near", "near-ids", "near-places", "near-wanted", "near-words")
     return settled
 
 
 def joined_prefixes(reps: DataFrame, settled: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of classes whose prefixes share a word and that may reach the threshold, not both settled.
+    """Pairs (a, b) of classes whose prefixes share a word and that may reach the threshold, a the earlier, b not settled.
 
     Two sets that reach it share 2 t / (1 + t) of the smaller one's words at least, so of the smaller set a prefix
     of half the length does ("short"). Of equal sizes both short prefixes share a word, so either may be the smaller."""
@@ -160,8 +164,9 @@ def joined_prefixes(reps: DataFrame, settled: DataFrame, threshold: float) -> Da
     s, l = packed.alias("s"), packed.alias("l")  # noqa: E741
     meta, r, n, rest = ([f(x) for x in "sl"] for f in (lambda x: F.col(f"{x}.meta"), lambda x: F.col(f"{x}.r"), lambda x: F.shiftright(f"{x}.meta", 32), lambda x: F.shiftright(f"{x}.meta", 32) - F.shiftright(F.col(f"{x}.meta").bitwiseAND(F.lit(0xFFFFFFFF)), 2)))
     once = (meta[0] < meta[1]) | ((meta[0] == meta[1]) & (r[0] < r[1]))
-    # short and not both settled, as one term of both sides: a term of one side would part the exchanges
-    asked = meta[0].bitwiseAND(F.lit(3)).bitwiseXOR(F.lit(2)) + meta[1].bitwiseAND(F.lit(1)) < 2
+    # short, and the later one not settled, as one term of both sides: a term of one side would part the exchanges
+    later = F.when(r[0] < r[1], meta[1]).otherwise(meta[0])
+    asked = meta[0].bitwiseAND(F.lit(2)).bitwiseXOR(F.lit(2)) + later.bitwiseAND(F.lit(1)) < 1
     reach = F.least(*rest) >= threshold / (1 + threshold) * (n[0] + n[1]) - 1e-9
     met = s.join(l, (F.col("s.word") == F.col("l.word")) & once & asked & fits("s", "l", threshold, n) & reach)
     return met.select(F.least(*r).alias("a"), F.greatest(*r).alias("b")).distinct()
@@ -186,8 +191,10 @@ def repeated_lines(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str
     work = Workspace(docs.sparkSession)
     lines = work.save(encode_lines(lines_of(docs, id_col, text_col), rarity_sketch(docs, text_col), threshold), "lines")
     repeated = small(first_places(lines, work))
-    # classes get numbers, fixed once they are written
-    reps = work.save(representatives(lines, repeated).withColumn("r", F.monotonically_increasing_id()), "reps")
+    # classes get numbers in the order of their places, fixed once they are written
+    found = work.save(representatives(lines, repeated), "found")  # sorting reads its input twice
+    reps = work.save(found.sort(*PLACE).withColumn("r", F.monotonically_increasing_id()), "reps")
+    work.drop("found")
     removed = small(removed_classes(docs, reps, work, threshold, id_col, text_col))
     work.drop("reps", "several")
     # all lines of a removed class go, of the others all but the first
@@ -209,7 +216,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed_lines (numbers from 0, comma-joined)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gone = repeated_lines(docs).withColumnsRenamed({"id": "gid", "th": "gth"})
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     joined = base.join(gone, base["doc_id"].eqNullSafe(gone["gid"]) & (base["th"] == gone["gth"]), "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
 
