@@ -1,8 +1,12 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole, `<|im_start|>role<|im_sep|>text<|im_end|>` for each turn, and encoded once
-with character offsets. The spans of assistant texts, in order, are intersected with the sorted token spans
-by binary search. The three marks are special tokens, so no token crosses the edge of a text.
+A conversation is rendered turn by turn, `<|im_start|>role<|im_sep|>text<|im_end|>`, and every turn is encoded once
+with character offsets. The span of an assistant text is intersected with the sorted token spans by binary
+search. The three marks are special tokens, so no token crosses the edge of a turn or a text, and the tokens of the
+turns are those of the whole conversation.
+
+Turns reach a task in order, by a shuffle and an external sort, and are folded as they come: a task holds one turn's
+tokens and what the fold keeps (`Whole`: one conversation's output; `Digest`: two hashes and three counts).
 
 Control strings inside roles and texts are escaped reversibly: `<`, any number of backslashes and `|` get one
 backslash more, so that an escaped text holds no `<|`.
@@ -11,6 +15,7 @@ backslash more, so that an escaped text holds no `<|`.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -63,13 +68,12 @@ def mask_tokens(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int
 
 def covered(starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
     """Character ranges under the mask, merged; tokens of parts of one character share its range."""
-    out: list[list[int]] = []
-    for lo, hi in zip(starts[mask].tolist(), ends[mask].tolist(), strict=True):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(lo, hi) for lo, hi in out]
+    lo, hi = starts[mask], np.maximum.accumulate(ends[mask])
+    if not len(lo):
+        return []
+    first = np.flatnonzero(np.append(True, lo[1:] > hi[:-1]))
+    last = np.append(first[1:], len(lo)) - 1
+    return list(zip(lo[first].tolist(), hi[last].tolist(), strict=True))
 
 
 _loaded: dict = {}
@@ -87,47 +91,101 @@ def load_tokenizer(path: str):
     return _loaded[path]
 
 
-def format_conversations(conversations: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per conv_id: conv_id, formatted, token_ids, token_starts, token_ends, loss_mask.
+def encode_turn(t, role: str, text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A turn's formatted text, token ids, token starts and ends in that text, and mask."""
+    formatted, spans = render([(role, text)])
+    e = t.encode(formatted, add_special_tokens=False)
+    edges = np.fromiter(itertools.chain.from_iterable(e.offsets), dtype=np.int32, count=2 * len(e))
+    starts, ends = edges[::2], edges[1::2]
+    return formatted, np.array(e.ids, dtype=np.int32), starts, ends, mask_tokens(starts, ends, spans)
+
+
+class Whole:
+    """The output of a conversation."""
+
+    columns = "formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
+
+    def __init__(self) -> None:
+        self.turns, self.chars = [], 0
+
+    def add(self, formatted: str, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> None:
+        self.turns.append((formatted, ids, starts + self.chars, ends + self.chars, mask))
+        self.chars += len(formatted)
+
+    def row(self) -> tuple:
+        formatted, *arrays = zip(*self.turns, strict=True)
+        return "".join(formatted), *map(np.concatenate, arrays)
+
+
+class Digest:
+    """What the output says, read back from it turn by turn."""
+
+    columns = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+    def __init__(self) -> None:
+        self.n_turns = self.loss_chars = self.chars = 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, formatted: str, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> None:
+        turns = parse(formatted)
+        loss = "".join(unescape(formatted[lo:hi]) for lo, hi in covered(starts, ends, mask))
+        self.turns.update("".join(f"{r}\n{x}\n" for r, x in turns).encode())
+        self.loss.update(loss.encode())
+        self.n_turns += len(turns)
+        self.loss_chars += len(loss)
+        self.chars += len(formatted)
+
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
+#: Formatted characters after which a task hands on the conversations it has finished.
+FRAME_CHARS = 1 << 20
+
+
+def fold_turns(batches: Iterator[pd.DataFrame], tokenizer: str, into: type) -> Iterator[pd.DataFrame]:
+    """Rows of conversations from their turns, which lie together and in order but may go on in the next batches."""
+    t = load_tokenizer(tokenizer)
+    names = ["conv_id", *(x.split()[0] for x in into.columns.split(", "))]
+    turns = (x for batch in batches for x in zip(batch["conv_id"], batch["role"], batch["text"], strict=True))
+    rows, chars = [], 0
+    for conv, own in itertools.groupby(turns, key=lambda x: None if pd.isna(x[0]) else x[0]):
+        state = into()
+        for _, role, text in own:
+            state.add(*encode_turn(t, role, text))
+        rows.append((conv, *state.row()))
+        chars += state.chars
+        if chars >= FRAME_CHARS:
+            yield pd.DataFrame(rows, columns=names)
+            rows, chars = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
+def fold_conversations(conversations: DataFrame, into: type, *, tokenizer: str = TOKENIZER) -> DataFrame:
+    """One row per conv_id: conv_id and the columns of `into`, a class that is given each turn's output in order.
 
     Turns go by turn (nulls first), then role and text, so ties and repeated rows have one order; a null role
     or text is empty; rows of a null conv_id are one conversation. An empty table gives an empty result.
-    A conversation is encoded whole, so one task holds one conversation at a time, and never several texts more.
+    A conversation is one task's work, since its hashes run through its turns; that costs time, not memory.
+    """
+    empty = lambda x: F.coalesce(x, F.lit("")).alias(x)
+    turns = conversations.select("conv_id", "turn", empty("role"), empty("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    named = turns.select(F.col("conv_id").cast("string"), "role", "text")  # pandas has no null integers
+    out = named.mapInPandas(lambda batches: fold_turns(batches, tokenizer, into), f"conv_id string, {into.columns}")
+    return out.withColumn("conv_id", F.col("conv_id").cast(conversations.schema["conv_id"].dataType))
+
+
+def format_conversations(conversations: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
+    """One row per conv_id: conv_id, formatted, token_ids, token_starts, token_ends, loss_mask; see fold_conversations.
+
+    A row holds a conversation, so a task holds one at a time, and FRAME_CHARS of finished ones.
     """
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    whole = conversations.groupBy("conv_id").agg(turns.alias("turns")).withColumn("conv_id", F.col("conv_id").cast("string"))  # pandas has no null integers
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = load_tokenizer(tokenizer)
-        for batch in batches:
-            rows = []
-            for conv, turns in zip(batch["conv_id"], batch["turns"], strict=True):
-                text, spans = render([(x["role"], x["text"]) for x in turns])
-                e = t.encode(text, add_special_tokens=False)
-                offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-                starts, ends = offsets[:, 0], offsets[:, 1]
-                rows.append((conv, text, e.ids, starts, ends, mask_tokens(starts, ends, spans)))
-            yield pd.DataFrame(rows, columns=["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"])
-
-    kind = conversations.schema["conv_id"].dataType
-    out = whole.mapInPandas(encode, "conv_id string, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>")
-    return out.withColumn("conv_id", F.col("conv_id").cast(kind))
-
-
-def digest(formatted: pd.Series, starts: pd.Series, ends: pd.Series, mask: pd.Series) -> pd.DataFrame:
-    """What the output says, read back from it."""
-    rows = []
-    for text, s, e, m in zip(formatted, starts, ends, mask, strict=True):
-        turns = parse(text)
-        loss = "".join(unescape(text[lo:hi]) for lo, hi in covered(np.asarray(s), np.asarray(e), np.asarray(m, dtype=bool)))
-        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        rows.append((len(turns), sha("".join(f"{r}\n{x}\n" for r, x in turns)), len(loss), sha(loss), len(text)))
-    return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+    return fold_conversations(conversations, Whole, tokenizer=tokenizer)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LOSS_ROLE).alias("role"), F.lit(own).alias("text"))
-    read = F.pandas_udf(digest, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return format_conversations(rows.unionByName(extra)).select("conv_id", read("formatted", "token_starts", "token_ends", "loss_mask").alias("d")).select("conv_id", "d.*")
+    return fold_conversations(rows.unionByName(extra), Digest)
